@@ -80,6 +80,21 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "row_no") -> tu
     return numbered.withColumn(name, F.col("__start") + within).drop("__at", "__p", "__start"), total
 
 
+#: Stands for a null id where keys are compared.
+NO_ID = -(1 << 63)
+
+
+def row_key(id_: Column, text: Column) -> tuple[Column, Column]:
+    """Tells the rows of a table apart by id and text: columns __id and __raw."""
+    return F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("__raw")
+
+
+def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose row_key is in kept(__id, __raw); of rows that repeat in id and text one."""
+    keyed = df.withColumns(dict(zip(("__id", "__raw"), row_key(col(id_col), col(text_col)))))
+    return keyed.join(kept.hint("merge"), ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).drop("__id", "__raw")
+
+
 def bytes_of(array: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]

@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .gif import op9_gif
+from .mixing import OP6_SQL, op6_mixing
 from .packing import op3_packing
+from .quality import op7_quality
 from .repair import op4_token_files
+from .secrets import op10_secrets
 from .sharding import op1_sharding
 from .simhash import op5_simhash
 from .url_filter import OP2_SQL, op2_url_filter
@@ -18,5 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_gif": op9_gif,
+    "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
