@@ -95,6 +95,17 @@ def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col:
     return keyed.join(kept.hint("merge"), ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).drop("__id", "__raw")
 
 
+def small(batches, column: str = "text", limit: int = 2 << 20):
+    """The batches cut to at most about `limit` bytes of a string column (a longer row comes alone), so that what is derived from a batch stays small."""
+    for b in batches:
+        _, at = flat_utf8(b.column(column))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def bytes_of(array: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, table, with_row_number
+from .common import id_and_text, small, table, with_row_number
 from .tokens import encoder, vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
@@ -60,7 +60,7 @@ def token_pieces(df: DataFrame, capacity: int, end_id: int, vocab: str, id_col:
 
     def cut(batches):
         enc = encoder(vocab)
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, prompt, ids in zip(b.column("doc_id").to_pylist(), b.column("prompt").to_pylist(), enc.encode(b.column("text"))):
                 raw, n = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes(), len(ids) + 1
