@@ -11,7 +11,8 @@ all little-endian; with the expansion lengths a reader finds the symbol that cov
 expanding what lies before it (`Shard.tokens`).
 
 Shards are rows of a Parquet table in the shared folder, so a task that is lost and run again leaves no half file.
-Null texts count as empty and keep their end id. Null ids come first; rows that repeat an id are ordered by text. An
+Null texts count as empty and keep their end id. Null ids come first; rows that repeat an id are ordered by a hash of the
+text. An
 empty table gives an empty result. Other columns are not carried.
 """
 
@@ -150,8 +151,8 @@ class Shard:
 
 def write_shards(df: DataFrame, vocab: str, end_id: int, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table of shards, stored and reread. Its parts ascend by id; first_token counts within a part."""
-    docs = id_and_text(df, id_col, text_col)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    docs = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))  # a range key is sampled to the driver, so it is no text
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     parts = docs.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def encode(batches):
