@@ -24,8 +24,18 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+#: Rows go to Python workers in batches of at most so many bytes.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's limit on Arrow batches, whose buffers exist in the JVM and in Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, under fixed names, so that other columns cannot clash."""
+    small_batches(df.sparkSession)
     return df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, col, id_and_text, table
+from .common import bytes_of, col, id_and_text, small_batches, table
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -191,6 +191,7 @@ def score_quality(df: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", te
 
 def keep_good(df: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, that score at least the threshold."""
+    small_batches(df.sparkSession)
     carried = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), F.struct(*map(col, df.columns)).alias("row"))
     return with_statistics(carried).filter(model.column() >= threshold).select("row.*")
 
