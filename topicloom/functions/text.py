@@ -44,9 +44,13 @@ def strip_special(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(kept, "_", ""), r"(?U)\s+", " ")))
 
 
+# Fixed value: the words of a column name.
+NAME_WORDS = "([a-z][a-z1-9]*|[1-9]+|[A-Z](?:[a-z1-9]+|[A-Z1-9]+))"
+
+
 def name_words(name: Column) -> Column:
-    """The words of a column name: camel case, capitals, lower case and digits 1-9 are split."""
-    return F.transform(F.regexp_extract_all(name, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[1-9]+"), F.lit(0)), F.lower)
+    """The words of a column name, lower-case: camel case, capitals, lower case and digits 1-9 are split."""
+    return F.transform(F.regexp_extract_all(name, F.lit(NAME_WORDS), F.lit(1)), F.lower)
 
 
 def without_urls(text: Column) -> Column:
@@ -76,12 +80,14 @@ def singular(word: Column) -> Column:
     return out.otherwise(word)
 
 
-CHARACTER_KINDS = {"n_alpha": "[^A-Za-z]", "n_digit": "[^0-9]", "n_space": r"[^ \t\n\r\f\u000B]", "n_upper": "[^A-Z]", "n_sign": r"[A-Za-z0-9 \t\n\r\f\u000B]"}
+#: All characters but those of a kind; scripts other than Latin count.
+CHARACTER_KINDS = {"digit": r"[^\p{Nd}]", "alpha": r"[^\p{L}]", "space": r"[^\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\p{Z}]"}
 
 
 def character_features(text: Column) -> dict[str, Column]:
-    """The length of a text, and counts and shares of kinds of characters."""
-    length = F.length(text)
-    counts = {name: F.length(F.regexp_replace(text, other, "")) for name, other in CHARACTER_KINDS.items()}
-    shares = {name.replace("n_", "share_"): F.when(length > 0, c / length).otherwise(0.0) for name, c in counts.items()}
-    return {"n_chars": length, **counts, **shares}
+    """The length of a text, and counts and shares of digits, letters and white space."""
+    length, out = F.length(text), {"n_chars": F.length(text)}
+    for kind, others in CHARACTER_KINDS.items():
+        out[f"n_{kind}"] = F.length(F.regexp_replace(text, others, ""))
+        out[f"share_{kind}"] = F.when(length > 0, out[f"n_{kind}"] / length).otherwise(0.0)
+    return out

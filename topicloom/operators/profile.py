@@ -59,13 +59,11 @@ def hashed_sample(df: DataFrame, by: list[str], value: str, most: int, seed: int
 
 
 def reduced_values(values: DataFrame, numeric_bins: int = 20, other_bins: int = 100) -> DataFrame:
-    """Attr, ordinal, value thinned to every k-th; lists under 100 stay. Mostly numeric lists keep 20 bins of their numbers and all else."""
+    """Attr, ordinal, value thinned to every k-th in order; lists under 100 stay whole. Lists with less than 30 % other values keep 20 bins and all their other values, the rest 100 bins."""
     whole = Window.partitionBy("attr")
-    kinds = values.withColumn("num", is_float(F.col("value"))).withColumn("n", F.count("*").over(whole)).withColumn("n_num", F.sum(F.col("num").cast("long")).over(whole))
-    placed = kinds.withColumn("pos", F.row_number().over(Window.partitionBy("attr").orderBy("ordinal")) - 1).withColumn("num_pos", F.row_number().over(Window.partitionBy("attr", "num").orderBy("ordinal")) - 1)
-    mostly = F.col("n_num") > 0.3 * F.col("n")
-    step = F.greatest(F.floor(F.col("n_num") / numeric_bins), F.lit(1))
-    keep = F.when(F.col("n") < 100, True).when(mostly, ~F.col("num") | (F.col("num_pos") % step == 0)).otherwise(F.col("pos") % F.greatest(F.floor(F.col("n") / other_bins), F.lit(1)) == 0)
+    placed = values.withColumn("num", is_float(F.col("value"))).withColumn("n", F.count("*").over(whole)).withColumn("n_other", F.sum((~F.col("num")).cast("long")).over(whole)).withColumn("pos", F.row_number().over(whole.orderBy("ordinal")) - 1)
+    every = lambda bins: F.col("pos") % F.greatest(F.floor(F.col("n") / bins), F.lit(1)) == 0
+    keep = F.when(F.col("n") < other_bins, True).when(F.col("n_other") < 0.3 * F.col("n"), ~F.col("num") | every(numeric_bins)).otherwise(every(other_bins))
     return placed.filter(keep).select("attr", "ordinal", "value")
 
 

@@ -20,11 +20,11 @@ def best_attribute(scores: DataFrame) -> DataFrame:
 
 
 def potential_matches(scores: DataFrame, row: str, column: str, threshold: float = 2.0, least: float = 0.5) -> DataFrame:
-    """All columns that reach a row's maximum, if it is not 0 and every other is below maximum / threshold or the maximum is at least 0.5."""
+    """All columns that reach a row's maximum, if every other is below maximum / threshold (none is: a row of equal scores) or the maximum is at least 0.5."""
     by_row = Window.partitionBy(row)
     top = scores.withColumn("top", F.max("score").over(by_row))
     others = top.withColumn("next", F.max(F.when(F.col("score") < F.col("top"), F.col("score"))).over(by_row))
-    fine = (F.col("top") != 0) & ((F.col("top") >= least) | F.coalesce(F.col("next") < F.col("top") / threshold, F.lit(True)))
+    fine = (F.col("top") >= least) | F.coalesce(F.col("next") < F.col("top") / threshold, F.lit(True))
     return others.filter((F.col("score") == F.col("top")) & fine).select(row, column, "score")
 
 
