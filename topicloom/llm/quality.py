@@ -55,16 +55,21 @@ def statistics(text: bytes) -> list[float]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, row and STATISTICS for rows (doc_id, text, row); row, a struct, is handed on as it is."""
-    kept = [c for c in ("doc_id", "row") if c in docs.columns]
+    """doc_id and STATISTICS for rows (doc_id, text)."""
 
     def compute(batches):
         for b in batches:
-            values = np.array([statistics(t) for t in bytes_of(b.column("text"))], float).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATISTICS)))], [*kept, *STATISTICS])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_columns(b.column("text"))], ["doc_id", *STATISTICS])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in kept[1:]), *(T.StructField(x, T.DoubleType()) for x in STATISTICS)])
-    return docs.select(*kept, "text").mapInArrow(compute, schema)
+    return docs.select("doc_id", "text").mapInArrow(compute, T.StructType([T.StructField("doc_id", T.LongType()), *_FIELDS]))
+
+
+_FIELDS = [T.StructField(x, T.DoubleType()) for x in STATISTICS]
+
+
+def _columns(texts: pa.Array) -> list[pa.Array]:
+    values = np.array([statistics(t) for t in bytes_of(texts)], float).reshape(-1, len(STATISTICS))
+    return [pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATISTICS))]
 
 
 @dataclass(frozen=True)
@@ -189,11 +194,19 @@ def score_quality(df: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", te
     return with_statistics(id_and_text(df, id_col, text_col)).select("doc_id", model.column().alias("score"))
 
 
-def keep_good(df: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(df: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, that score at least the threshold."""
     small_batches(df.sparkSession)
-    carried = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), F.struct(*map(col, df.columns)).alias("row"))
-    return with_statistics(carried).filter(model.column() >= threshold).select("row.*")
+    carried = df.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"))  # names in it cannot clash
+    text = f"c{df.columns.index(text_col)}"
+
+    def compute(batches):
+        for b in batches:
+            row = b.column("row")
+            yield pa.RecordBatch.from_arrays([row, *_columns(row.field(text).cast(pa.string()))], ["row", *STATISTICS])
+
+    marked = carried.mapInArrow(compute, T.StructType([carried.schema["row"], *_FIELDS]))
+    return marked.filter(model.column() >= threshold).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
