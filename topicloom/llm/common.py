@@ -99,10 +99,20 @@ def row_key(id_: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("__raw")
 
 
+def packed(df: DataFrame, name: str) -> Column:
+    """All columns of df as one struct, in which their names cannot clash with an operator's own."""
+    return F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias(name)
+
+
+def unpacked(name: str, columns: list[str]) -> list[Column]:
+    return [F.col(f"{name}.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, whose row_key is in kept(__id, __raw); of rows that repeat in id and text one."""
-    keyed = df.withColumns(dict(zip(("__id", "__raw"), row_key(col(id_col), col(text_col)))))
-    return keyed.join(kept.hint("merge"), ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).drop("__id", "__raw")
+    keyed = df.select(packed(df, "__row"), *row_key(col(id_col), col(text_col)))
+    found = keyed.join(kept.hint("merge"), ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"])
+    return found.select(*unpacked("__row", df.columns))
 
 
 def small(batches, column: str = "text", limit: int = 2 << 20):

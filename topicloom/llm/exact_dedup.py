@@ -99,7 +99,7 @@ def tree_merge(marked: DataFrame, keep: str = "largest", fan_in: int = 8) -> Dat
     ranked = runs.sparkSession.createDataFrame(list(ranks.items()) or [(0, 0)], "run long, rank long")
     runs = runs.join(F.broadcast(ranked), "run").withColumn("slice", F.pmod("s0", F.lit(slices))).select("slice", F.col("rank").alias("run"), *RUN)
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(merge_runs(pdf[RUN].to_numpy(np.int64), largest), columns=RUN)
         out.insert(0, "run", key[1])
         out.insert(0, "slice", key[0])

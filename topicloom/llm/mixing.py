@@ -14,7 +14,7 @@ bucket, so no leaf is gathered in one task.
 
 A text's tokens are its UTF-8 bytes div 4, plus 1. Null domain, language or source count as empty strings, null ids
 as empty too; rows that repeat an id are taken together or not at all. A source with budget 0 gives nothing. An
-empty table gives an empty result. Other columns are kept only by `mix`.
+empty table gives an empty result. Other columns are kept, in m_row.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, table
+from .common import checkpointed, col, packed, table, unpacked
 
 LEAF = ["m_domain", "m_lang", "m_source"]
 #: Leaf tables of at most so many rows are broadcast; larger ones are shuffled.
@@ -89,12 +89,12 @@ def _join_leaves(rows: DataFrame, leaves: DataFrame, n_leaves: int) -> DataFrame
 
 
 def mix(df: DataFrame, plan: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """df's rows with m_domain, m_tokens and m_copies, how often each is taken (0 too)."""
+    """For every row of df: m_row (all its columns), m_id, m_domain, m_lang, m_source, m_tokens and m_copies, how often it is taken (0 too)."""
     plan = plan or Mix()
     name = lambda c: F.coalesce(col(c).cast("string"), F.lit(""))
     tokens = (F.floor(F.octet_length(F.coalesce(col(text_col), F.lit(""))) / 4) + 1).cast("long")
-    keyed = df.withColumns({"m_domain": domain_of(name(source_col)), "m_lang": name(lang_col), "m_source": name(source_col), "m_tokens": tokens})
-    slim = checkpointed(keyed.select(*LEAF, col(id_col).alias("m_id"), "m_tokens"))
+    keyed = df.select(packed(df, "m_row"), col(id_col).alias("m_id"), domain_of(name(source_col)).alias("m_domain"), name(lang_col).alias("m_lang"), name(source_col).alias("m_source"), tokens.alias("m_tokens"))
+    slim = checkpointed(keyed.select(*LEAF, "m_id", "m_tokens"))
     leaves = checkpointed(budgets(slim.groupBy(*LEAF).agg(F.sum("m_tokens").alias("tokens")), plan))
     n_leaves = leaves.count()
     wholes = F.least(F.floor(F.col("allowed") / F.col("tokens")), F.lit(plan.max_epochs)).cast("long")
@@ -111,7 +111,7 @@ def mix(df: DataFrame, plan: Mix | None = None, id_col: str = "doc_id", text_col
     cut = few.withColumn("upto", F.col("before") + within).filter("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("last_key"))
     decided = leaves.join(last_whole, LEAF, "left").join(cut, LEAF, "left").select(*LEAF, "wholes", "whole_bucket", "last_key")
     taken = _join_leaves(keyed, checkpointed(decided), n_leaves)
-    key = _order_key(plan, F.col("wholes"), col(id_col))
+    key = _order_key(plan, F.col("wholes"), F.col("m_id"))
     more = F.coalesce(F.substring(key, 1, 4) <= F.col("whole_bucket"), F.lit(False)) | F.coalesce(key <= F.col("last_key"), F.lit(False))
     return taken.withColumn("m_copies", (F.col("wholes") + more.cast("long")).cast("int")).drop("wholes", "whole_bucket", "last_key")
 
@@ -119,12 +119,13 @@ def mix(df: DataFrame, plan: Mix | None = None, id_col: str = "doc_id", text_col
 def take_mix(df: DataFrame, plan: Mix, **columns: str) -> DataFrame:
     """df's rows, its own columns, each as often as it is taken."""
     mixed = mix(df, plan, **columns).filter("m_copies > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1), "m_copies")))
-    return mixed.select(*map(col, df.columns))
+    return mixed.select(*unpacked("m_row", df.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", F.col("m_domain").alias("domain"), "lang", "source", F.col("m_tokens").alias("tokens"), F.col("m_copies").alias("copies"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    mixed = mix(docs)
+    return mixed.select("m_row.c0", "m_row.c1", "m_row.c2", "m_domain", "m_tokens", "m_copies").toDF("doc_id", "lang", "source", "domain", "tokens", "copies")
 
 
 def _level_sql(source: str, parent: str, name: str, out: str) -> str:

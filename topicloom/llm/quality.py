@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, col, id_and_text, small_batches, table
+from .common import bytes_of, col, id_and_text, packed, small_batches, table, unpacked
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -197,7 +197,7 @@ def score_quality(df: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", te
 def keep_good(df: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, that score at least the threshold."""
     small_batches(df.sparkSession)
-    carried = df.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"))  # names in it cannot clash
+    carried = df.select(packed(df, "row"))
     text = f"c{df.columns.index(text_col)}"
 
     def compute(batches):
@@ -206,7 +206,7 @@ def keep_good(df: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays([row, *_columns(row.field(text).cast(pa.string()))], ["row", *STATISTICS])
 
     marked = carried.mapInArrow(compute, T.StructType([carried.schema["row"], *_FIELDS]))
-    return marked.filter(model.column() >= threshold).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)])
+    return marked.filter(model.column() >= threshold).select(*unpacked("row", df.columns))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
