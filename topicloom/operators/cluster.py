@@ -100,7 +100,7 @@ def split_concepts(members: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Concept, key, new_concept: sources in other groups than the first move to temp_<concept>_<group>. All of a group's members are kept."""
     distances = split_distances(members, threshold)
 
-    def groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def groups(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = sorted(set(pdf["a"]) | set(pdf["b"]))
         place = {k: i for i, k in enumerate(keys)}
         d = np.zeros((len(keys), len(keys)))
