@@ -106,7 +106,8 @@ def write_stats(stats: DataFrame, path: str) -> None:
 def stats_json(stats: DataFrame) -> DataFrame:
     """Dataset, json: {attr: {value: count}} with sorted keys."""
     attrs = stats.groupBy("dataset", "attr").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "cnt")))).alias("m"))
-    return attrs.groupBy("dataset").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attr", "m"))))).alias("json"))
+    maps = attrs.groupBy("dataset").agg(F.array_sort(F.collect_list("attr")).alias("names"), F.map_from_entries(F.collect_list(F.struct("attr", "m"))).alias("by"))
+    return maps.select("dataset", F.to_json(F.map_from_arrays("names", F.transform("names", lambda n: F.col("by")[n]))).alias("json"))
 
 
 def read_stats_json(spark: SparkSession, path: str) -> DataFrame:
