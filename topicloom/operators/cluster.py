@@ -124,9 +124,9 @@ def merge_pairs(members: DataFrame, threshold: float = 0.1) -> DataFrame:
     return scored.select("a", "b", cosine.alias("cosine")).filter(1 - F.col("cosine") <= threshold + 1e-12)
 
 
-def merge_concepts(members: DataFrame, threshold: float = 0.1) -> DataFrame:
+def merge_concepts(members: DataFrame, threshold: float = 0.1, pairs: DataFrame | None = None) -> DataFrame:
     """Key, concept, new_concept: joined sources move to '+a+b', the concepts' names in order without temporary ones. members: concept, key, source, member."""
-    roots = connected(merge_pairs(members, threshold))
+    roots = connected(merge_pairs(members, threshold) if pairs is None else pairs)
     named = members.select("concept", "key").distinct().join(roots.withColumnRenamed("node", "key"), "key")
     concepts = F.transform(F.filter(F.array_sort(F.collect_set(F.struct("key", "concept"))), lambda s: ~s["concept"].contains("temp")), lambda s: F.concat(F.lit("+"), s["concept"]))
     merged = named.groupBy("root").agg(F.array_join(concepts, "").alias("new_concept"))

@@ -68,15 +68,24 @@ def _moved(base: KnowledgeBase, moves: DataFrame) -> KnowledgeBase:
     return KnowledgeBase(checkpointed(match.dropDuplicates(["concept", "dataset", "attribute"])), checkpointed(found))
 
 
+def _empty(df: DataFrame) -> bool:
+    return df.limit(1).count() == 0
+
+
 def split(base: KnowledgeBase, threshold: float) -> KnowledgeBase:
-    members = members_of(kb.flatten(base.match, base.cluster))
-    parts = cluster.split_concepts(members.select("concept", "key", "member"), threshold)
-    return _moved(base, members.select("key", "src_dataset").distinct().join(parts, "key"))
+    """K10 over the base; without a concept that falls apart it stays as it is."""
+    members = checkpointed(members_of(kb.flatten(base.match, base.cluster)))
+    parts = checkpointed(cluster.split_concepts(members.select("concept", "key", "member"), threshold).filter("new_concept <> concept"))
+    return base if _empty(parts) else _moved(base, members.select("key", "src_dataset").distinct().join(parts, "key"))
 
 
 def merge(base: KnowledgeBase, threshold: float) -> KnowledgeBase:
-    members = members_of(kb.flatten(base.match, base.cluster))
-    merged = cluster.merge_concepts(members.select("concept", "key", "source", "member"), threshold).filter("new_concept <> ''")
+    """K11 over the base; without sources that are close it stays as it is."""
+    members = checkpointed(members_of(kb.flatten(base.match, base.cluster)))
+    pairs = checkpointed(cluster.merge_pairs(members.select("key", "source", "member"), threshold))
+    if _empty(pairs):
+        return base
+    merged = cluster.merge_concepts(members.select("concept", "key", "source", "member"), threshold, pairs).filter("new_concept <> ''")
     return _moved(base, members.select("key", "src_dataset").distinct().join(merged, "key"))
 
 
@@ -95,7 +104,7 @@ def discover(topics: DataFrame, vocabulary: DataFrame, attrs: DataFrame, values:
         scores = all_pairs(fresh, concepts).withColumn("score", name_similarity(F.col("topic"), F.col("concept")))
         new = kb.select_new_concepts(vocabulary, concepts, scores, p.new_concepts)
         owned = checkpointed(kb.in_scope(vocabulary.join(new.select("topic"), "topic", "left_semi"), vocabulary, attrs.select("dataset")).select("dataset", "topic").distinct())
-        if owned.limit(1).count() == 0:
+        if _empty(owned):
             break
         more = initialize(owned, attrs, stats)
         base.match = checkpointed(kb.upsert(base.match, more, ["concept", "dataset"]))
