@@ -12,7 +12,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .packing import op3_packing
 from .quality import op7_quality
 from .repair import op4_token_files
-from .secrets import op10_secrets
+from .secrets import OP10_SQL, op10_secrets
 from .sharding import op1_sharding
 from .simhash import op5_simhash
 from .url_filter import OP2_SQL, op2_url_filter
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gif": op9_gif,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_secrets": OP10_SQL}

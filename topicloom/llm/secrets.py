@@ -104,3 +104,42 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.concat("base", "extra")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(spans).alias("spans"))
+
+
+OP10_SQL = """
+WITH kinds(kind, ord, pattern) AS (VALUES
+  ('assign', 0, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]{24,}'), ('entropy', 3, '[A-Za-z0-9+/_=-]{20,}')),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT doc_id, 'assign' AS kind, 0 AS ord, regexp_extract_all(text, (SELECT pattern FROM kinds WHERE ord = 0)) AS found, string_split_regex(text, (SELECT pattern FROM kinds WHERE ord = 0)) AS gaps FROM d
+  UNION ALL SELECT doc_id, 'access', 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 'hex', 2, regexp_extract_all(text, '[0-9a-f]{24,}'), string_split_regex(text, '[0-9a-f]{24,}') FROM d
+  UNION ALL SELECT doc_id, 'entropy', 3, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), string_split_regex(text, '[A-Za-z0-9+/_=-]{20,}') FROM d),
+s AS (
+  SELECT doc_id, kind, ord, x.t AS t, x.s AS s, x.s + length(x.t) AS e FROM (
+    SELECT doc_id, kind, ord, unnest(list_transform(range(1, len(found) + 1), lambda i: {
+      't': found[i],
+      's': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0)})) AS x
+    FROM m WHERE len(found) > 0)),
+base AS (
+  SELECT * FROM s WHERE ord = 2 OR ord = 1 AND length(t) >= 20
+    OR ord = 0 AND length(regexp_extract(t, (SELECT pattern FROM kinds WHERE ord = 0), 2)) >= 6),
+candidates AS (
+  SELECT * FROM s c WHERE ord = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s <= c.s AND c.e <= b.e)
+    AND len(list_filter(string_split_regex(t, '[/_=+-]+'), lambda p: length(p) >= 16 AND regexp_matches(p, '[0-9]') AND regexp_matches(p, '[A-Za-z]'))) > 0
+    AND NOT regexp_matches(t, '(?i)example|sample|dummy|placeholder|test|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')),
+windows AS (SELECT doc_id, s, unnest(list_transform(range(1, length(t) - 18), lambda i: substr(t, i, 20))) AS w FROM candidates),
+entropy AS (
+  SELECT doc_id, s, max(log2(20) - h / 20) AS best FROM (
+    SELECT doc_id, s, list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: (20 - length(replace(w, c, ''))) * log2(20 - length(replace(w, c, ''))))) AS h FROM windows)
+  GROUP BY ALL),
+extra AS (
+  SELECT c.* FROM candidates c JOIN entropy USING (doc_id, s)
+  WHERE best >= CASE WHEN regexp_full_match(t, '[0-9A-Fa-f]+') THEN 3.0 WHEN regexp_full_match(t, '[0-9A-Za-z]+') THEN 3.6 ELSE 3.8 END),
+together AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM extra)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, ord) FILTER (is_base), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, ord), '') AS spans
+FROM d LEFT JOIN together USING (doc_id) GROUP BY d.doc_id
+"""
