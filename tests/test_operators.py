@@ -143,6 +143,25 @@ def test_lexicon(spark, lexicon_tables):
     assert (cover["english_percent"], cover["wordnet_percent"], cover["wordnet"]) == (0.5, 0.5, "oak")
 
 
+def test_sentences_and_concepts(spark, lexicon_tables):
+    _, lemma, _ = lexicon_tables
+    texts = spark.createDataFrame([(1, "Big [old] oaks. A green_space?  It's new!")], "id int, text string")
+    words = lexicon.sentence_words(texts)
+    assert [(r["sentence"], r["word"]) for r in words.orderBy("sentence", "position").collect()] == [(0, "Big"), (0, "old"), (0, "oaks"), (1, "A"), (1, "green"), (1, "space"), (2, "It's"), (2, "new")]
+    assert [r["word"] for r in lexicon.nouns(words, lemma).collect()] == ["oaks"]
+    tags, groups = spark.createDataFrame([("d", "oak"), ("e", "oak")], "dataset string, topic string"), spark.createDataFrame([("d", "park zone")], "dataset string, topic string")
+    got = lexicon.translated_concepts(tags, groups, spark.createDataFrame([("oak",)], "word string"), lemma)
+    assert [(r["kind"], r["topic"], r["sources"], r["wordnet_percent"]) for r in got.orderBy("topic").collect()] == [("tags", "oak", ["d", "e"], 1.0), ("groups", "park zone", ["d"], 0.5)]
+
+
+def test_command_line(spark, tmp_path):
+    from topicloom.__main__ import main
+
+    (tmp_path / "hubs.csv").write_text(",NAME\n0,a\n1,a\n")
+    main(["profile", str(tmp_path / "hubs.csv"), str(tmp_path / "out")])
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("hubs", "NAME", "a", 2)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text(',NAME,"LINE"\n0,a,"x\ny"\n1,b,\n')
     assert rows(catalogue.read_csv_table(spark, str(tmp_path / "t.csv"))) == [("a", "x\ny"), ("b", None)]

@@ -174,6 +174,26 @@ def enrich(names: DataFrame, synset: DataFrame, lemma: DataFrame, hypernym: Data
     return joined.select("dataset", "name", "synset", F.sort_array(s).alias("source_words"), F.sort_array(t).alias("target_words"), F.sort_array(o).alias("overlap"))
 
 
+def sentence_words(texts: DataFrame) -> DataFrame:
+    """Id, sentence, position, word: sentences end at . ! ? followed by white space; brackets go and _ is a blank."""
+    plain = F.translate(F.regexp_replace("text", r"[\[\](){}]", ""), "_", " ")
+    cut = texts.select("id", F.posexplode(F.split(plain, r"(?<=[.!?])\s+")).alias("sentence", "s"))
+    return cut.select("id", "sentence", F.posexplode(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"), F.lit(0))).alias("position", "word"))
+
+
+def nouns(words: DataFrame, lemma: DataFrame) -> DataFrame:
+    """Words (with their singular as `base`) that the lexicon knows as nouns. A tagger can be put in its place."""
+    based = words.withColumn("base", singular(F.lower("word")))
+    return based.join(lemma.filter("pos = 'n'").select(F.col("lemma").alias("base")).distinct(), "base", "left_semi")
+
+
+def translated_concepts(tags: DataFrame, groups: DataFrame, english: DataFrame, lemma: DataFrame) -> DataFrame:
+    """Kind, topic, sources and dictionary coverage of tags and groups (dataset, topic)."""
+    both = tags.select(F.lit("tags").alias("kind"), "dataset", "topic").unionByName(groups.select(F.lit("groups").alias("kind"), "dataset", "topic"))
+    listed = both.groupBy("kind", "topic").agg(F.sort_array(F.collect_set("dataset")).alias("sources"))
+    return listed.join(dictionary_coverage(listed.select("topic").distinct(), english, lemma), "topic", "left")
+
+
 def attribute_words(stats: DataFrame, sample: int = 100, sentence: int = 30) -> DataFrame:
     """Dataset, name, words, is_text: an attribute's sampled values as words; long ones read as notes, short ones as topics."""
     from topicloom.functions.text import value_text

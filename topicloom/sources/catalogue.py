@@ -14,7 +14,9 @@ from topicloom.functions.similarity import name_similarity
 from topicloom.functions.text import clean_name, file_name
 from topicloom.operators.pairs import all_pairs
 
-PACKAGE = "struct<name:string,title:string,notes:string,num_resources:long,resources:array<struct<name:string,format:string,url:string>>,tags:array<struct<name:string,display_name:string>>,groups:array<struct<name:string,display_name:string,description:string>>>"
+def file_stem(path: str) -> str:
+    """A path's last part without its ending."""
+    return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
 def shape_catalogue(responses: DataFrame) -> DataFrame:
