@@ -113,25 +113,25 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, tile: i
     root = np.arange(len(both))
 
     def cells(rows: np.ndarray, base: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Rows by the population counts of their quarters."""
         kinds, which = np.unique(_quarters(rows), axis=0, return_inverse=True)
         order = np.argsort(which.ravel(), kind="stable")
-        return kinds, [x + base for x in np.split(order, np.cumsum(np.bincount(which.ravel()))[:-1])] if len(rows) else []
-
-    kinds, members = cells(left, 0)
-    kinds2, members2 = (kinds, members) if right is None else cells(right, split)
-    pooled = radius >= 8  # so wide a radius leaves almost no two cells apart: tiles are then cut from rows in order of population count
-    if pooled:
-        def tiles(rows: np.ndarray, base: int):
-            count = np.bitwise_count(rows).sum(axis=1).astype(np.int16)
-            order = np.argsort(count, kind="stable")
-            cut = [order[i : i + tile] for i in range(0, len(order), tile)]
-            return np.array([[count[c].min(), count[c].max()] for c in cut], np.int16).reshape(-1, 2), [c + base for c in cut]
-
-        spans, members = tiles(left, 0)
-        spans2, members2 = (spans, members) if right is None else tiles(right, split)
+        return kinds, [x + base for x in np.split(order, np.cumsum(np.bincount(which.ravel()))[:-1])]
+
+    def spans(rows: np.ndarray, base: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Tiles of rows in the order of their population counts, with the least and most of each."""
+        count = np.bitwise_count(rows).sum(axis=1).astype(np.int16)
+        order = np.argsort(count, kind="stable")
+        cut = [order[i : i + tile] for i in range(0, len(order), tile)]
+        return np.array([[count[c].min(), count[c].max()] for c in cut], np.int16), [c + base for c in cut]
+
+    pooled = radius >= 8  # so wide a radius leaves almost no two cells apart
+    arrange = spans if pooled else cells
+    kinds, members = arrange(left, 0)
+    kinds2, members2 = (kinds, members) if right is None else arrange(right, split)
     for i, own in enumerate(members):
         if pooled:
-            near = np.nonzero((spans2[:, 0] <= spans[i, 1] + radius) & (spans2[:, 1] >= spans[i, 0] - radius))[0]
+            near = np.nonzero((kinds2[:, 0] <= kinds[i, 1] + radius) & (kinds2[:, 1] >= kinds[i, 0] - radius))[0]
         else:
             near = np.nonzero(np.abs(kinds2 - kinds[i]).sum(axis=1) <= radius)[0]
         if right is None:
