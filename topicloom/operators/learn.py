@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.similarity import name_similarity
 from topicloom.functions.text import character_features
 
+from .numbering import with_position
 from .pairs import all_pairs
 from .profile import hashed_sample, long_values
 
@@ -33,8 +34,8 @@ def training_data(tables: dict[str, DataFrame], mapping: DataFrame, sample: int
     """row_id, name, value, class: sampled rows of tables, melted, labelled by mapping (dataset, attr, topic); null values are 'NA'."""
     parts = []
     for name, df in tables.items():
-        numbered = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__all", F.lit(0))
-        taken = hashed_sample(numbered, ["__all"], "__row", sample).drop("__row", "__all")
+        numbered = df.withColumn("__row", F.monotonically_increasing_id())
+        taken = numbered.orderBy(F.xxhash64("__row"), "__row").limit(sample).drop("__row")
         parts.append(long_values(taken, name))
     cells = parts[0]
     for p in parts[1:]:
@@ -45,7 +46,11 @@ def training_data(tables: dict[str, DataFrame], mapping: DataFrame, sample: int
 
 def folds(rows: DataFrame, k: int = 2, by: str = "class", order: str = "row_id") -> DataFrame:
     """`fold`: contiguous k-th parts of each class, in order."""
-    return rows.withColumn("fold", F.ntile(k).over(Window.partitionBy(by).orderBy(order)))
+    placed = with_position(rows, by, order, "__pos", "__n")
+    small, larger = F.floor(F.col("__n") / k), F.col("__n") % k  # the first `larger` folds have a row more
+    early = larger * (small + 1)
+    fold = F.when(F.col("__pos") < early, F.floor(F.col("__pos") / (small + 1))).otherwise(larger + F.floor((F.col("__pos") - early) / F.greatest(small, F.lit(1))))
+    return placed.withColumn("fold", (fold + 1).cast("int")).drop("__pos", "__n")
 
 
 def out_of_fold(make, rows: DataFrame, k: int = 2) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.text import is_float, strip_special
 
+from .numbering import with_position
+
 # Which declared types may be compared with each other.
 TYPE_GROUPS = {
     "esriFieldTypeString": 1, "esriFieldTypeBlob": 1, "esriFieldTypeDate": 2, "esriFieldTypeDouble": 3, "esriFieldTypeInteger": 3,
@@ -60,8 +62,9 @@ def hashed_sample(df: DataFrame, by: list[str], value: str, most: int, seed: int
 
 def reduced_values(values: DataFrame, numeric_bins: int = 20, other_bins: int = 100) -> DataFrame:
     """Attr, ordinal, value thinned to every k-th in order; lists under 100 stay whole. Lists with less than 30 % other values keep 20 bins and all their other values, the rest 100 bins."""
-    whole = Window.partitionBy("attr")
-    placed = values.withColumn("num", is_float(F.col("value"))).withColumn("n", F.count("*").over(whole)).withColumn("n_other", F.sum((~F.col("num")).cast("long")).over(whole)).withColumn("pos", F.row_number().over(whole.orderBy("ordinal")) - 1)
+    marked = with_position(values.select("attr", "ordinal", "value").withColumn("num", is_float(F.col("value"))), "attr", "ordinal")
+    others = marked.groupBy("attr").agg(F.sum((~F.col("num")).cast("long")).alias("n_other"))
+    placed = marked.join(others, "attr")
     every = lambda bins: F.col("pos") % F.greatest(F.floor(F.col("n") / bins), F.lit(1)) == 0
     keep = F.when(F.col("n") < other_bins, True).when(F.col("n_other") < 0.3 * F.col("n"), ~F.col("num") | every(numeric_bins)).otherwise(every(other_bins))
     return placed.filter(keep).select("attr", "ordinal", "value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import all_pairs
+
 
 def best_per(df: DataFrame, by: list[str], order: str, score: str = "score", above: float | None = None) -> DataFrame:
     """The best row of each group, the first in `order` of equals; only scores above a bound count."""
@@ -75,7 +77,7 @@ def table_mixes(ranked: DataFrame, tables: DataFrame, size: int, positives: int,
     """For each guiding table its k best overlapping tables and size - k seeded others. ranked: a, b, rank."""
     best = ranked.filter(F.col("rank") <= positives).select("a", "b", F.lit(True).alias("positive"))
     guides = ranked.select("a").distinct()
-    rest = guides.crossJoin(F.broadcast(tables.select(F.col("item").alias("b")).distinct())).filter(~F.col("a").eqNullSafe(F.col("b"))).join(ranked.select("a", "b"), ["a", "b"], "left_anti")
+    rest = all_pairs(guides, tables.select(F.col("item").alias("b")).distinct()).filter(~F.col("a").eqNullSafe(F.col("b"))).join(ranked.select("a", "b"), ["a", "b"], "left_anti")
     drawn = Window.partitionBy("a").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")).cast("binary")), "b")
     others = rest.withColumn("n", F.row_number().over(drawn)).filter(F.col("n") <= size - positives).select("a", "b", F.lit(False).alias("positive"))
     return best.unionByName(others)
