@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.operators.numbering import with_row_number  # noqa: F401  operators take it from here
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Table for bytes.translate() that lower-cases A-Z only.
 LOWER_AZ = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
@@ -67,29 +69,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_row_number(df: DataFrame, order: list[str], name: str = "row_no") -> tuple[DataFrame, int]:
-    """Adds gapless numbers 0..n-1 in ascending order of the given columns, and returns n too.
-
-    One range shuffle, no single-task sort: each range partition counts its rows, the driver adds up one number per
-    partition. Rows that tie in all order columns get distinct neighbouring numbers; so a hot value can be split
-    over partitions, the place in the input is the last range key.
-    """
-    spark = df.sparkSession
-    keyed = df.withColumn("__place", F.monotonically_increasing_id())
-    sort = [col(c).asc_nulls_first() for c in order] + [F.col("__place").asc()]
-    ranged = checkpointed(keyed.repartitionByRange(partitions(spark), *sort).sortWithinPartitions(*sort).drop("__place"))
-    placed = ranged.withColumn("__at", F.monotonically_increasing_id())
-    counts = {r[0]: r[1] for r in placed.groupBy(F.shiftright("__at", 33).alias("p")).count().collect()}
-    starts, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        starts.append((p, total))
-        total += counts.get(p, 0)
-    offsets = spark.createDataFrame(starts or [(0, 0)], "__p long, __start long")
-    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = placed.join(F.broadcast(offsets), F.shiftright("__at", 33) == F.col("__p"))  # one row per partition
-    return numbered.withColumn(name, F.col("__start") + within).drop("__at", "__p", "__start"), total
-
-
 #: Stands for a null id where keys are compared.
 NO_ID = -(1 << 63)
 
