@@ -56,6 +56,19 @@ def test_instance_matrix(spark):
     assert matchers.confidence(1000, 50) == 10 * 10 / 50000 and matchers.confidence(0, 5) == 0
 
 
+def test_positions(spark):
+    from topicloom.operators.numbering import with_position, with_row_number
+
+    df = spark.createDataFrame([("hot", i) for i in range(300)] + [("cold", 5), ("cold", 1), (None, 2), (None, 9)], "k string, o int").repartition(7)
+    got = {(r["k"], r["o"]): (r["pos"], r["n"]) for r in with_position(df, "k", "o").collect()}
+    assert all(got[("hot", i)] == (i, 300) for i in range(300)) and got[("cold", 5)] == (1, 2) and got[(None, 2)] == (0, 2)
+    numbered, n = with_row_number(df.select(F.lit(1).alias("same")), ["same"])
+    assert n == 304 and sorted(r["row_no"] for r in numbered.collect()) == list(range(304))
+    assert with_row_number(df.limit(0), ["o"])[1] == 0
+    folds = learn.folds(df.filter("k = 'hot'"), 7, "k", "o").groupBy("fold").count().orderBy("fold").collect()
+    assert [r["count"] for r in folds] == [43] * 6 + [42]
+
+
 def test_blocks_give_all_pairs(spark, monkeypatch):
     a, b = spark.range(30).withColumnRenamed("id", "a"), spark.range(50).withColumnRenamed("id", "b")
     monkeypatch.setattr(pairs, "BROADCAST_ROWS", 10)
