@@ -11,9 +11,8 @@ all little-endian; with the expansion lengths a reader finds the symbol that cov
 expanding what lies before it (`Shard.tokens`).
 
 Shards are rows of a Parquet table in the shared folder, so a task that is lost and run again leaves no half file.
-Null texts count as empty and keep their end id. Null ids come first; rows that repeat an id are ordered by a hash of the
-text. An
-empty table gives an empty result. Other columns are not carried.
+Null texts count as empty and keep their end id. Null ids come first; rows that repeat an id are ordered by a hash of
+the text. An empty table gives an empty result. Other columns are not carried.
 """
 
 from __future__ import annotations
