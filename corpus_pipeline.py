@@ -32,8 +32,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: 5-word shingles, 128-bit SimHash, 26 bits."""
-    return drop_near_duplicates(docs, radius=26, shingle_words=5, fingerprint_words=2)
+    """One document of each group of near duplicates stays: Jaccard similarity of 0.8 or more of their 5-word shingles."""
+    return drop_near_duplicates(docs, similarity=0.8, shingle_words=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

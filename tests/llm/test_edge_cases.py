@@ -122,3 +122,46 @@ def test_pipeline_against_brute_force(spark, data):
 
 def test_registered_queries_read_all(spark, data):
     assert list(queries.QUERIES) == ["op1_sharding", "op2_url_filter", "op3_packing", "op4_token_files", "op5_simhash", "op6_mixing", "op7_quality", "op8_exact_dedup", "op9_gif", "op10_secrets"]
+
+
+def _shingle_set(text):
+    words = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _first_of_components(texts):
+    """The smallest id of each component of texts whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    sets = {i: _shingle_set(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return set(root.values())
+
+
+def _edited(rng):
+    """Texts of 60 to 300 words and copies with some words in a row replaced: similarities from 0.6 to 1."""
+    texts = {}
+    for k in range(25):
+        words = [f"w{rng.integers(5000)}" for _ in range(int(rng.integers(60, 300)))]
+        for copy in range(8):
+            n = int(len(words) * rng.uniform(0, 0.22)) if copy else 0
+            at = int(rng.integers(0, len(words) - n))
+            texts[10 * k + copy] = " ".join([*words[:at], *(f"z{rng.integers(5000)}" for _ in range(n)), *words[at + n :]])
+    return texts
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_SHINGLES, 500] if hasattr(simhash, "BLOCK_SHINGLES") else [None])
+def test_near_dedup_drops_by_jaccard(spark, data, block):
+    """Neither misses nor wrong drops at 0.8, also where a component takes several blocks."""
+    import duckdb
+    import numpy as np
+
+    texts = _edited(np.random.default_rng(1))
+    texts |= {1000 + i: t for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = simhash.drop_near_duplicates(docs, block_shingles=block) if block == 500 else corpus_pipeline.near_dedup(spark, docs, data)
+    kept = [r["doc_id"] for r in out.collect()]
+    assert len(set(kept)) == len(kept) and set(kept) == _first_of_components(texts)

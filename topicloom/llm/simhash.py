@@ -10,6 +10,10 @@ connection; components of the forests then give every document the smallest docu
 
 distinct=True counts each shingle of a text once. With fingerprint_words=2 a second 64-bit fingerprint (other seed) is appended, and the radius counts over both.
 
+drop_near_duplicates takes the tiles as candidate search only: texts link if the Jaccard similarity of their shingle
+sets reaches a bound. Candidates' components are cut into blocks of shingle sets, and every pair of blocks of a
+component is counted exactly; again only spanning links are passed on. Shingles are compared by 64-bit hashes.
+
 Null and empty texts have fingerprint zero and link like any other. Null ids are reached but never the smallest id,
 unless a component has no other. Repeated rows are returned each. An empty table gives an empty result. Other
 columns are not carried. The number of comparisons grows with the square of the number of distinct fingerprints.
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, NO_ID, bytes_of, checkpointed, id_and_text, keep_rows, table
+from .common import LOWER_AZ, NO_ID, bytes_of, checkpointed, id_and_text, keep_rows, partitions, row_key, small, table
 from .components import components
 
 SEED = 42
@@ -52,11 +56,15 @@ def shingle_hashes(text: bytes, shingle_words: int, seed: int) -> list[int]:
 def majority(hashes: list[list[int]]) -> np.ndarray:
     """The fingerprint of each list of hashes."""
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    out = np.zeros(len(hashes), np.uint64)
+    return _majority(np.fromiter((h for own in hashes for h in own), np.uint64, int(sizes.sum())), sizes)
+
+
+def _majority(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of hashes, which lie end to end."""
+    out = np.zeros(len(sizes), np.uint64)
     full = np.nonzero(sizes)[0]
     if not len(full):
         return out
-    flat = np.fromiter((h for own in hashes for h in own), np.uint64, int(sizes.sum()))
     n = sizes[full]
     starts = np.cumsum(n) - n
     blocks = -(-n // _BLOCK)
@@ -86,7 +94,7 @@ def fingerprints(df: DataFrame, shingle_words: int, fingerprint_words: int = 1,
 
 
 def _quarters(words: np.ndarray) -> np.ndarray:
-    """Population counts of the 16-bit quarters of two-word fingerprints."""
+    """Population counts of the 16-bit quarters of fingerprints."""
     return np.bitwise_count(np.ascontiguousarray(words).view(np.uint16).reshape(len(words), -1)).astype(np.int16)
 
 
@@ -107,7 +115,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, tile: int = 512) -> np.ndarray:
-    """Spanning links, as row numbers of left followed by right, between fingerprints (rows of two words); right None: within left."""
+    """Spanning links, as row numbers of left followed by right, between fingerprints (rows of two words or more); right None: within left."""
     both = left if right is None else np.concatenate([left, right])
     split = 0 if right is None else len(left)
     root = np.arange(len(both))
@@ -141,8 +149,9 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, tile: i
             for q in range(0, len(others), 4 * tile):
                 x, y = own[p : p + tile], others[q : q + 4 * tile]
                 differ = np.bitwise_count(both[x, 0][:, None] ^ both[y, 0][None, :])
-                if both[x, 1].any() or both[y, 1].any():
-                    differ += np.bitwise_count(both[x, 1][:, None] ^ both[y, 1][None, :])
+                for k in range(1, both.shape[1]):
+                    if both[x, k].any() or both[y, k].any():
+                        differ += np.bitwise_count(both[x, k][:, None] ^ both[y, k][None, :])  # all 256 bits of four words wrap to 0: only a needless candidate
                 s, t = np.nonzero(differ <= radius)
                 s, t = x[s], y[t]
                 fresh = root[s] != root[t]
@@ -174,35 +183,37 @@ def _groups(counts: dict[int, int], group_size: int) -> tuple[list[tuple[int, in
 
 
 def near_duplicate_links(nodes: DataFrame, radius: int, group_size: int = 32768) -> DataFrame:
-    """A forest of links (a0, a1, b0, b1) between distinct fingerprints (f0, f1) that differ in at most radius bits."""
-    spark = nodes.sparkSession
-    counted = nodes.withColumn("bits", (F.bit_count("f0") + F.bit_count("f1")).cast("int"))
-    histogram = {r["bits"]: r["count"] for r in counted.groupBy("bits").count().collect()}  # at most 129 rows
+    """A forest of links (a0, a1, ..., b0, b1, ...) between distinct fingerprints (f0, f1, ...) that differ in at most radius bits."""
+    spark, words = nodes.sparkSession, nodes.columns
+    counted = nodes.withColumn("bits", sum((F.bit_count(w) for w in words), F.lit(0)).cast("int"))
+    histogram = {r["bits"]: r["count"] for r in counted.groupBy("bits").count().collect()}  # one row for each count of bits
     groups, of = _groups(histogram, group_size)
     reach = [max(g[0] for g in groups if g[1] <= hi + radius) for _, _, hi, _ in groups]
     base = F.create_map(*[F.lit(x) for p, (g, _) in sorted(of.items()) for x in (p, g)]) if of else F.create_map(F.lit(0), F.lit(0))
     many = F.create_map(*[F.lit(x) for p, (_, k) in sorted(of.items()) for x in (p, k)]) if of else F.create_map(F.lit(0), F.lit(1))
-    grouped = counted.withColumn("g", (F.element_at(base, F.col("bits")) + F.pmod(F.xxhash64("f0", "f1"), F.element_at(many, F.col("bits")))).cast("int"))
+    grouped = counted.withColumn("g", (F.element_at(base, F.col("bits")) + F.pmod(F.xxhash64(*words), F.element_at(many, F.col("bits")))).cast("int"))
 
     def blob(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [key[0]], "rows": [np.ascontiguousarray(pdf[["f0", "f1"]].to_numpy(np.int64)).tobytes()]})
+        return pd.DataFrame({"g": [key[0]], "rows": [np.ascontiguousarray(pdf[words].to_numpy(np.int64)).tobytes()]})
 
     blobs = checkpointed(grouped.groupBy("g").applyInPandas(blob, "g int, rows binary"))
     last = spark.createDataFrame([(i, r) for i, r in enumerate(reach)] or [(0, 0)], "g int, last int")  # one row for each group_size fingerprints
     left = blobs.join(last.hint("merge"), "g").select(F.col("g").alias("a"), F.col("rows").alias("left_rows"), F.explode(F.sequence("g", "last")).alias("g"))
     pairs = left.join(blobs.hint("merge"), "g").select("a", F.col("g").alias("b"), "left_rows", "rows")
 
+    names = [f"{p}{k}" for p in "ab" for k in range(len(words))]
+
     def compare(batches):
         for batch in batches:
             for a, b, x, y in zip(*(batch.column(i) for i in range(4))):
-                left_rows = np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2)
-                right_rows = None if a.as_py() == b.as_py() else np.frombuffer(y.as_py(), np.uint64).reshape(-1, 2)
+                left_rows = np.frombuffer(x.as_py(), np.uint64).reshape(-1, len(words))
+                right_rows = None if a.as_py() == b.as_py() else np.frombuffer(y.as_py(), np.uint64).reshape(-1, len(words))
                 links = tile_forest(left_rows, right_rows, radius)
                 both = left_rows if right_rows is None else np.concatenate([left_rows, right_rows])
                 p, q = both[links[:, 0]].view(np.int64), both[links[:, 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (p[:, 0], p[:, 1], q[:, 0], q[:, 1])], ["a0", "a1", "b0", "b1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*p.T, *q.T)], names)
 
-    return pairs.mapInArrow(compare, "a0 long, a1 long, b0 long, b1 long")
+    return pairs.mapInArrow(compare, ", ".join(f"{n} long" for n in names))
 
 
 def near_duplicates(df: DataFrame, radius: int = 2, shingle_words: int = 3, fingerprint_words: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,15 +230,133 @@ def near_duplicates(df: DataFrame, radius: int = 2, shingle_words: int = 3, fing
     return marked.join(classes, ["f0", "f1"]).select("doc_id", "raw", "f0", "f1", "component_id", "root")
 
 
-def drop_near_duplicates(df: DataFrame, radius: int = 26, shingle_words: int = 5, fingerprint_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Words of the candidate search's fingerprint, and its radius. A pair at Jaccard 0.8 differs in 39 of 256 bits on
+#: average (deviation 5.7), sets of 4 and 5 shingles in 48 (6.2); unrelated texts in 128 (8).
+WORDS, RADIUS = 4, 76
+#: Shingles in a block of sets.
+BLOCK_SHINGLES = 1 << 19
+
+
+def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.array(shingle_hashes(text, shingle_words, SEED), np.uint64))
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of independent hashes made from a hash (the finaliser of SplitMix64)."""
+    h = h + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def set_prints(df: DataFrame, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, raw, s0 and s1 (a 128-bit hash of the shingle set), n (its size) and fingerprint words f0, f1, ... for every row."""
+
+    def compute(batches):
+        for b in small(batches):
+            texts = bytes_of(b.column("text"))
+            sets = [shingle_set(t, shingle_words) for t in texts]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            words = [_majority(_mixed(flat, k) if k else flat, sizes) for k in range(WORDS)]
+            raw = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts))
+            of_set = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            longs = [np.ascontiguousarray(x) for x in (raw.view(np.int64), of_set[:, 0], of_set[:, 1], sizes, *(w.view(np.int64) for w in words))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, longs)], ["doc_id", "raw", "s0", "s1", "n", *(f"f{k}" for k in range(WORDS))])
+
+    return id_and_text(df, id_col, text_col).mapInArrow(compute, "doc_id long, raw long, s0 long, s1 long, n long, " + ", ".join(f"f{k} long" for k in range(WORDS)))
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning links between sets (of distinct values) whose Jaccard similarity is at least `similarity`; all shared values are counted."""
+    m = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, m)
+    flat = np.concatenate(sets) if m else np.empty(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(m), size)[order]  # by value
+    _, which, shared = np.unique(flat, return_inverse=True, return_counts=True)
+    first = np.cumsum(shared) - shared
+    ends = np.cumsum(size)
+    root, links = np.arange(m), []
+    for i in range(m):
+        open_ = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6)
+        open_[:i] = False
+        if not open_.any():
+            continue
+        values = which[ends[i] - size[i] : ends[i]]
+        values = values[shared[values] > 1]
+        n = shared[values]
+        at = np.repeat(first[values] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(owner[at], minlength=m)
+        alike = np.nonzero(open_ & (common / np.maximum(size + size[i] - common, 1) >= similarity))[0]
+        _, one = np.unique(root[alike], return_index=True)  # one link for each component reached
+        links += [(i, int(j)) for j in alike[one]]
+        if len(alike):
+            joined = np.append(root[alike], root[i])
+            root[np.isin(root, joined)] = joined.min()
+    return links
+
+
+def _verified(df: DataFrame, involved: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """Spanning links (a0, a1, b0, b1) between the shingle sets of involved(__id, __raw, comp, block, blocks, s0, s1) that are alike, within each comp."""
+    spark = df.sparkSession
+    keyed = id_and_text(df, id_col, text_col).select("text", *row_key(F.col("doc_id"), F.col("text")))
+    texts = keyed.join(involved.hint("merge"), ["__id", "__raw"]).select("comp", "block", "blocks", "s0", "s1", "text")
+
+    def sets(batches):
+        for b in small(batches):
+            own = [shingle_set(t, shingle_words).tobytes() for t in bytes_of(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(own, pa.binary())], ["comp", "block", "blocks", "s0", "s1", "own"])
+
+    def blob(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["s0", "s1"])
+        return pd.DataFrame({"comp": [key[0]], "block": [key[1]], "blocks": [int(pdf["blocks"].iloc[0])], "names": [np.ascontiguousarray(pdf[["s0", "s1"]].to_numpy(np.int64)).tobytes()], "sizes": [pdf["own"].map(len).to_numpy(np.int64).tobytes()], "own": [b"".join(pdf["own"])]})
+
+    made = texts.mapInArrow(sets, "comp long, block int, blocks int, s0 long, s1 long, own binary")
+    blobs = checkpointed(made.groupBy("comp", "block").applyInPandas(blob, "comp long, block int, blocks int, names binary, sizes binary, own binary"))
+    kinds = ["names", "sizes", "own"]
+    alone = blobs.select(*kinds, *(F.lit(None).cast("binary").alias(f"{c}2") for c in kinds))
+    left = blobs.filter("block < blocks - 1").select("comp", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), *kinds)
+    right = blobs.filter("block > 0").select("comp", "block", *(F.col(c).alias(f"{c}2") for c in kinds))
+    pairs = alone.unionAll(left.join(right.hint("merge"), ["comp", "block"]).select(*kinds, *(f"{c}2" for c in kinds)))
+
+    def compare(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(6))):
+                names, lists = [], []
+                for name, size, own in (row[:3], row[3:]):
+                    if name.is_valid:
+                        names.append(np.frombuffer(name.as_py(), np.int64).reshape(-1, 2))
+                        cuts = np.cumsum(np.frombuffer(size.as_py(), np.int64) // 8)
+                        lists += np.split(np.frombuffer(own.as_py(), np.uint64), cuts[:-1])
+                names, links = np.concatenate(names), np.array(jaccard_forest(lists, similarity), np.int64).reshape(-1, 2)
+                p, q = names[links[:, 0]], names[links[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*p.T, *q.T)], ["a0", "a1", "b0", "b1"])
+
+    return pairs.repartition(partitions(spark)).mapInArrow(compare, "a0 long, a1 long, b0 long, b1 long")
+
+
+def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row of df, all columns, of each component: the one with the smallest id.
 
-    The defaults are for texts whose sets of 5-word shingles have a similarity (Jaccard) of 0.8 or more: such pairs
-    differ in 19 of 128 bits on average at 0.8 and in fewer above; unrelated texts are within 26 bits once in 6e10
-    pairs. Each shingle counts once here, so a repeated line does not make two texts alike.
+    Texts link if the Jaccard similarity of their sets of shingles is at least `similarity`, counted exactly. Candidates
+    are fingerprints within RADIUS, made for 0.8 and more: at 0.8 a pair lies beyond it once in 10^10, of sets of 4 and
+    5 shingles once in 400,000; other texts cost counting but never link. Texts without a word link only with each other.
     """
-    found = near_duplicates(df, radius, shingle_words, fingerprint_words, True, id_col, text_col)
-    first = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "raw", "doc_id")).alias("first"))
+    prints = checkpointed(set_prints(df, shingle_words, id_col, text_col))
+    words = [f"f{k}" for k in range(WORDS)]
+    nodes = checkpointed(prints.groupBy("s0", "s1", "n", *words).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "raw", "doc_id")).alias("first")))
+    searched = nodes.filter("n > 0")
+    links = near_duplicate_links(searched.select(*words).distinct(), RADIUS)
+    name = lambda p, many: F.struct(*[F.col(f"{p}{k}").alias(f"f{k}") for k in range(many)])
+    found = components(links.select(name("a", WORDS).alias("a"), name("b", WORDS).alias("b")))
+    near = searched.join(found.select(*[F.col(f"node.f{k}").alias(f"f{k}") for k in range(WORDS)], F.xxhash64("root").alias("found")), words, "left").withColumn("comp", F.coalesce("found", F.xxhash64(F.struct(*words))))
+    several = near.groupBy("comp").agg(F.count("*").alias("many"), F.sum("n").alias("shingles")).filter("many > 1").select("comp", F.ceil(F.col("shingles") / block_shingles).cast("int").alias("blocks"))
+    involved = near.join(several.hint("merge"), "comp").select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("__id"), F.col("first.raw").alias("__raw"), "comp", F.pmod(F.xxhash64("s0", "s1"), "blocks").cast("int").alias("block"), "blocks", "s0", "s1")
+    alike = components(_verified(df, involved, similarity, shingle_words, id_col, text_col).select(name("a", 2).alias("a"), name("b", 2).alias("b")))
+    rooted = nodes.join(alike.select(F.col("node.f0").alias("s0"), F.col("node.f1").alias("s1"), "root"), ["s0", "s1"], "left")
+    first = rooted.groupBy(F.coalesce("root", F.struct(F.col("s0").alias("f0"), F.col("s1").alias("f1"))).alias("root")).agg(F.min("first").alias("first"))
     return keep_rows(df, first.select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("__id"), F.col("first.raw").alias("__raw")), id_col, text_col)
 
 
