@@ -165,3 +165,16 @@ def test_near_dedup_drops_by_jaccard(spark, data, block):
     out = simhash.drop_near_duplicates(docs, block_shingles=block) if block == 500 else corpus_pipeline.near_dedup(spark, docs, data)
     kept = [r["doc_id"] for r in out.collect()]
     assert len(set(kept)) == len(kept) and set(kept) == _first_of_components(texts)
+
+
+def test_near_dedup_of_short_texts(spark, data):
+    """Unrelated texts of 0, 1, 2 and 4 shingles stay apart, also beside an empty one; of 4 and 5 shingles those at 0.8 meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    texts = dict(enumerate([words(n) for n in [5] * 50 + [6] * 400 + [8] * 300]))
+    texts |= {1000 + i: f"{texts[450 + i]} more" for i in range(100)} | {2000: "", 2001: None, 2002: " \n"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, data).collect())
+    assert kept == [*range(750), 2000]

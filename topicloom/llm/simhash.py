@@ -299,7 +299,7 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def _verified(df: DataFrame, involved: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Spanning links (a0, a1, b0, b1) between the shingle sets of involved(__id, __raw, comp, block, blocks, s0, s1) that are alike, within each comp."""
+    """Links (blocks, a0, a1, b0, b1) from shingle sets of involved(__id, __raw, comp, block, blocks, s0, s1) to the first set they reach in a pair of blocks of their comp."""
     spark = df.sparkSession
     keyed = id_and_text(df, id_col, text_col).select("text", *row_key(F.col("doc_id"), F.col("text")))
     texts = keyed.join(involved.hint("merge"), ["__id", "__raw"]).select("comp", "block", "blocks", "s0", "s1", "text")
@@ -316,14 +316,14 @@ def _verified(df: DataFrame, involved: DataFrame, similarity: float, shingle_wor
     made = texts.mapInArrow(sets, "comp long, block int, blocks int, s0 long, s1 long, own binary")
     blobs = checkpointed(made.groupBy("comp", "block").applyInPandas(blob, "comp long, block int, blocks int, names binary, sizes binary, own binary"))
     kinds = ["names", "sizes", "own"]
-    alone = blobs.select(*kinds, *(F.lit(None).cast("binary").alias(f"{c}2") for c in kinds))
-    left = blobs.filter("block < blocks - 1").select("comp", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), *kinds)
+    alone = blobs.select("blocks", *kinds, *(F.lit(None).cast("binary").alias(f"{c}2") for c in kinds))
+    left = blobs.filter("block < blocks - 1").select("comp", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), "blocks", *kinds)
     right = blobs.filter("block > 0").select("comp", "block", *(F.col(c).alias(f"{c}2") for c in kinds))
-    pairs = alone.unionAll(left.join(right.hint("merge"), ["comp", "block"]).select(*kinds, *(f"{c}2" for c in kinds)))
+    pairs = alone.unionAll(left.join(right.hint("merge"), ["comp", "block"]).select("blocks", *kinds, *(f"{c}2" for c in kinds)))
 
     def compare(batches):
         for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(6))):
+            for blocks, *row in zip(*(batch.column(i) for i in range(7))):
                 names, lists = [], []
                 for name, size, own in (row[:3], row[3:]):
                     if name.is_valid:
@@ -331,10 +331,12 @@ def _verified(df: DataFrame, involved: DataFrame, similarity: float, shingle_wor
                         cuts = np.cumsum(np.frombuffer(size.as_py(), np.int64) // 8)
                         lists += np.split(np.frombuffer(own.as_py(), np.uint64), cuts[:-1])
                 names, links = np.concatenate(names), np.array(jaccard_forest(lists, similarity), np.int64).reshape(-1, 2)
-                p, q = names[links[:, 0]], names[links[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*p.T, *q.T)], ["a0", "a1", "b0", "b1"])
+                root = forest(links[:, 0], links[:, 1], len(names))
+                inner = np.nonzero(root != np.arange(len(names)))[0]
+                p, q = names[inner], names[root[inner]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inner), blocks.as_py(), np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in (*p.T, *q.T))], ["blocks", "a0", "a1", "b0", "b1"])
 
-    return pairs.repartition(partitions(spark)).mapInArrow(compare, "a0 long, a1 long, b0 long, b1 long")
+    return pairs.repartition(partitions(spark)).mapInArrow(compare, "blocks int, a0 long, a1 long, b0 long, b1 long")
 
 
 def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -342,21 +344,25 @@ def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, shingle_words:
 
     Texts link if the Jaccard similarity of their sets of shingles is at least `similarity`, counted exactly. Candidates
     are fingerprints within RADIUS, made for 0.8 and more: at 0.8 a pair lies beyond it once in 10^10, of sets of 4 and
-    5 shingles once in 400,000; other texts cost counting but never link. Texts without a word link only with each other.
+    5 shingles once in 400,000; other texts cost counting but never link. Texts of so few
+    shingles that one more is too many link only if their sets are equal; so do texts without a word.
     """
     prints = checkpointed(set_prints(df, shingle_words, id_col, text_col))
     words = [f"f{k}" for k in range(WORDS)]
     nodes = checkpointed(prints.groupBy("s0", "s1", "n", *words).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "raw", "doc_id")).alias("first")))
-    searched = nodes.filter("n > 0")
+    searched = nodes.filter(F.col("n") / (F.col("n") + 1) >= similarity)  # a smaller set is like no other, and its fingerprint lies near too many
     links = near_duplicate_links(searched.select(*words).distinct(), RADIUS)
-    name = lambda p, many: F.struct(*[F.col(f"{p}{k}").alias(f"f{k}") for k in range(many)])
-    found = components(links.select(name("a", WORDS).alias("a"), name("b", WORDS).alias("b")))
-    near = searched.join(found.select(*[F.col(f"node.f{k}").alias(f"f{k}") for k in range(WORDS)], F.xxhash64("root").alias("found")), words, "left").withColumn("comp", F.coalesce("found", F.xxhash64(F.struct(*words))))
+    found = components(links.select(F.xxhash64(*(f"a{k}" for k in range(WORDS))).alias("a"), F.xxhash64(*(f"b{k}" for k in range(WORDS))).alias("b")))  # equal hashes only cost counting
+    near = searched.withColumn("node", F.xxhash64(*words)).join(found, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     several = near.groupBy("comp").agg(F.count("*").alias("many"), F.sum("n").alias("shingles")).filter("many > 1").select("comp", F.ceil(F.col("shingles") / block_shingles).cast("int").alias("blocks"))
     involved = near.join(several.hint("merge"), "comp").select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("__id"), F.col("first.raw").alias("__raw"), "comp", F.pmod(F.xxhash64("s0", "s1"), "blocks").cast("int").alias("block"), "blocks", "s0", "s1")
-    alike = components(_verified(df, involved, similarity, shingle_words, id_col, text_col).select(name("a", 2).alias("a"), name("b", 2).alias("b")))
-    rooted = nodes.join(alike.select(F.col("node.f0").alias("s0"), F.col("node.f1").alias("s1"), "root"), ["s0", "s1"], "left")
-    first = rooted.groupBy(F.coalesce("root", F.struct(F.col("s0").alias("f0"), F.col("s1").alias("f1"))).alias("root")).agg(F.min("first").alias("first"))
+    alike = checkpointed(_verified(df, involved, similarity, shingle_words, id_col, text_col).select("blocks", *(F.struct(F.col(f"{p}0").alias("s0"), F.col(f"{p}1").alias("s1")).alias(p) for p in "ab")))
+    rootless = alike.filter("blocks > 1")  # only what took several blocks is left to join up
+    roots = alike.filter("blocks = 1").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not rootless.isEmpty():
+        roots = roots.unionAll(components(rootless.select("a", "b")))
+    rooted = nodes.join(roots.select("node.s0", "node.s1", "root"), ["s0", "s1"], "left")
+    first = rooted.groupBy(F.coalesce("root", F.struct("s0", "s1")).alias("root")).agg(F.min("first").alias("first"))
     return keep_rows(df, first.select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("__id"), F.col("first.raw").alias("__raw")), id_col, text_col)
 
 
