@@ -30,3 +30,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 75
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_members_of_the_whole_join(spark, con, data):
+    """Queries without SQL read every lineitem row."""
+    joined = "FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey"
+    parts = QUERIES["split_concept_parts"](spark, data)
+    assert {(r["concept"], r["key"]) for r in parts.collect()} == set(con.sql(f"SELECT DISTINCT p_type, p_brand {joined}").fetchall())

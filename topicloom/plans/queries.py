@@ -531,24 +531,26 @@ def kb_dataset_topics(spark, d):
     return kb.dataset_topics(_kb2(spark, d).filter("dataset = '1-URGENT'"), "1-URGENT")
 
 
+#: The rows that MEMBERS_SQL reads.
+MEMBER_ROWS = "l_quantity > 45 and l_discount > 0.07"
 MEMBERS_SQL = "mem AS (SELECT DISTINCT p_type AS concept, p_brand AS key, s_nationkey::VARCHAR AS member FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45 AND l_discount > 0.07)"
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
-    joined = t(spark, d, "lineitem").filter("l_quantity > 45 and l_discount > 0.07").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(t(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+def _members(spark: SparkSession, d: str, rows: str = "true") -> DataFrame:
+    joined = t(spark, d, "lineitem").filter(rows).join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(t(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     return joined.select(F.col("p_type").alias("concept"), F.col("p_brand").alias("key"), F.col("s_nationkey").cast("string").alias("member")).distinct()
 
 
 @query(f"""WITH {MEMBERS_SQL}, l AS (SELECT concept, key, list(member) AS l FROM mem GROUP BY ALL)
 SELECT concept, a, b, round(CASE WHEN x > 0.5 THEN x ELSE 0 END, 6) AS distance FROM (SELECT p.concept, p.key AS a, q.key AS b, (len(p.l) + len(q.l) - 2 * len(list_intersect(p.l, q.l))) / (len(p.l) + len(q.l)) AS x FROM l p JOIN l q ON p.concept = q.concept AND p.key < q.key)""")
 def split_distance(spark, d):
-    return cluster.split_distances(_members(spark, d)).withColumn("distance", F.round("distance", 6))
+    return cluster.split_distances(_members(spark, d, MEMBER_ROWS)).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH {MEMBERS_SQL}, o AS (SELECT DISTINCT concept || key AS key, member FROM mem UNION SELECT DISTINCT concept || key, 's' || key FROM mem), s AS (SELECT key, count(*) AS n FROM o GROUP BY 1)
 SELECT a, b, round(c / sqrt(x.n * y.n), 6) AS cosine FROM (SELECT p.key AS a, q.key AS b, count(*) AS c FROM o p JOIN o q ON p.member = q.member AND p.key < q.key GROUP BY ALL) JOIN s x ON x.key = a JOIN s y ON y.key = b WHERE 1 - c / sqrt(x.n * y.n) <= 0.3 + 1e-12""")
 def merge_cosine_pairs(spark, d):
-    members = _members(spark, d).select(F.concat("concept", "key").alias("key"), F.concat(F.lit("s"), "key").alias("source"), "member")
+    members = _members(spark, d, MEMBER_ROWS).select(F.concat("concept", "key").alias("key"), F.concat(F.lit("s"), "key").alias("source"), "member")
     return cluster.merge_pairs(members, 0.3).withColumn("cosine", F.round("cosine", 6))
 
 
