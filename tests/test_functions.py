@@ -59,6 +59,45 @@ def test_names(spark):
     assert one(tx.value_text(F.lit("A https://b  C"))) == "a c" and one(tx.value_text(F.lit(None).cast("string"))) == ""
 
 
+#: Everyday nouns whose plural adds s to the noun as it stands; those of other kinds follow in IRREGULAR_NOUNS.
+REGULAR_NOUNS = """house course lease use gate park tree road street bridge river lake garden field school library hospital station office building
+car truck bicycle boat train plane engine wheel driver traveller passenger ticket route signal lamp light pole pipe pump meter sensor cable
+table chair desk door window wall floor roof room kitchen bed lamp mirror carpet clock picture frame shelf-mark bottle cup plate fork spoon knife-edge
+dog cat horse cow-bell pig goat hen duck bird insect spider snake frog turtle rabbit bear tiger lion whale dolphin shark crab flower leaf-let seed root
+branch-line stem forest mountain valley hill island coast harbour port market shop store bank hotel restaurant theatre museum gallery stadium arena pool
+teacher student doctor nurse lawyer engineer farmer worker manager owner member guest visitor neighbour friend brother sister father mother son daughter
+book page chapter letter word sentence paragraph story poem song film programme project plan report paper form file folder record note label name title
+price cost rate tax fee fine loan debt budget grant fund account invoice payment receipt order purchase sale contract rule law court judge crime
+number score point level grade rank test-case exam question answer problem solution method model system state stage step phase period decade
+year month week day hour minute second season summer winter storm cloud wind temperature degree litre metre mile inch-mark gram tonne unit
+apple orange banana grape lemon melon onion carrot bean pea egg steak cake sandwich-bar pizza burger salad soup sauce drink juice
+game team player coach goal match-day race medal prize league tournament referee ball bat net racket helmet shirt jacket skirt sock hat scarf
+computer screen keyboard printer network server client request response error warning message event user password token session image video
+dataset column row value key index-card attribute topic concept catalogue resource format source target cluster group category type domain region zone
+license initiative-paper archive native detective native motive archive fine lane cane zone tone stone phone microphone cone bone letterbox-key orchard vineyard meadow canal tunnel platform terminal airport runway corridor staircase balcony garage basement attic chimney fence hedge lawn fountain statue monument""".split()
+IRREGULAR_NOUNS = {
+    "activities": "activity", "cities": "city", "parties": "party", "facilities": "facility", "properties": "property", "countries": "country", "berries": "berry", "libraries": "library",
+    "boxes": "box", "taxes": "tax", "foxes": "fox", "churches": "church", "benches": "bench", "watches": "watch", "branches": "branch", "bushes": "bush", "dishes": "dish", "classes": "class", "addresses": "address", "businesses": "business", "glasses": "glass",
+    "potatoes": "potato", "tomatoes": "tomato", "heroes": "hero", "buses": "bus", "statuses": "status", "aliases": "alias", "shoes": "shoe", "movies": "movie", "wolves": "wolf", "halves": "half", "wives": "wife", "lives": "life", "knives": "knife",
+    "analyses": "analysis", "crises": "crisis", "theses": "thesis", "diagnoses": "diagnosis", "bases": "basis", "matrices": "matrix", "vertices": "vertex", "indices": "index", "mice": "mouse", "databases": "database", "quizzes": "quiz",
+    "people": "person", "men": "man", "women": "woman", "children": "child", "moves": "move", "media": "medium", "data": "datum", "news": "news", "series": "series", "species": "species", "sheep": "sheep", "fish": "fish", "equipment": "equipment", "glass": "glass", "initiatives": "initiative", "executives": "executive", "hives": "hive", "viruses": "viruse", "gas": "ga",
+}
+
+
+def test_singular(spark):
+    want = {f"{w}s": w for w in REGULAR_NOUNS} | IRREGULAR_NOUNS
+    got = {r["w"]: r["s"] for r in spark.createDataFrame([(w,) for w in want], "w string").select("w", tx.singular(F.col("w")).alias("s")).collect()}
+    assert len(want) > 300 and {w: s for w, s in got.items() if s != want[w]} == {}
+
+
+def test_module_names_are_unique():
+    """Both test folders are collected together, without packages."""
+    from pathlib import Path
+
+    names = [f.name for f in Path(__file__).parent.rglob("test_*.py")]
+    assert len(names) == len(set(names))
+
+
 def test_composite(spark):
     row = spark.createDataFrame([(0.5, None), (1.0, 0.0), (None, None)], "a double, b double").select(sim.composite([F.col("a"), F.col("b")], [0.8, 0.2])).collect()
     assert round(row[0][0], 6) == 0.622459 and round(row[1][0], 6) == 0.689974 and row[2][0] is None

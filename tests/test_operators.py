@@ -71,8 +71,24 @@ def test_positions(spark):
 
 def test_blocks_give_all_pairs(spark, monkeypatch):
     a, b = spark.range(30).withColumnRenamed("id", "a"), spark.range(50).withColumnRenamed("id", "b")
+    keyed = lambda df, c: df.withColumn("k", F.col(c) % 2)
+    assert pairs.all_pairs(keyed(a, "a"), keyed(b, "b"), ["k"]).distinct().count() == 750
     monkeypatch.setattr(pairs, "BROADCAST_ROWS", 10)
     assert pairs.all_pairs(a, b).distinct().count() == 1500
+    assert pairs.all_pairs(keyed(a, "a"), keyed(b, "b"), ["k"]).distinct().count() == 750
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 4)
+    third = lambda df, c: df.withColumn("k", F.when(F.col(c) % 3 == 0, 0).otherwise(F.col(c)))
+    assert sorted(map(tuple, pairs.salted_join(third(a, "a"), third(b, "b"), ["k"]).collect())) == sorted(map(tuple, third(a, "a").join(third(b, "b"), "k").collect()))
+    assert pairs.salted_join(third(a, "a").limit(0), third(b, "b"), ["k"]).count() == 0
+
+
+def test_long_sides_are_dealt(spark, monkeypatch):
+    """Every pair once, in tasks of at most some blocks."""
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 100)
+    a, b = spark.range(3_000).withColumnRenamed("id", "a"), spark.range(3_000).withColumnRenamed("id", "b")
+    got = pairs.all_pairs(a, b).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("a") * 7 + F.col("b")).alias("s")).collect()
+    assert sum(r["n"] for r in got) == 3_000**2 and sum(r["s"] for r in got) == 8 * 3_000 * (3_000 * 2_999 // 2)
+    assert len(got) > 1 and max(r["n"] for r in got) < 3_000**2 // 2
 
 
 def test_kb(spark):
@@ -129,8 +145,9 @@ def test_split_and_merge_lose_nothing(spark):
 def test_one_to_one(spark):
     c = spark.createDataFrame([("A", "x", "p"), ("B", "x", "p")], "topic string, `table` string, attr string")
     assert sorted(str(r["choice"]) for r in cluster.one_to_one(c).collect()) == sorted(map(str, [{"A": None, "B": None}, {"A": "p", "B": None}, {"A": None, "B": "p"}]))
-    with pytest.raises(ValueError):
-        cluster.one_to_one(c, most=1)
+    wide = spark.createDataFrame([(f"t{i:02}", "x", f"a{i}") for i in range(14)], "topic string, `table` string, attr string")
+    assert cluster.one_to_one(wide).count() == 2**14
+    assert cluster.linkage(spark.createDataFrame([(1, [1.0])], "id int, vec array<double>"), 0.2).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -208,6 +225,8 @@ def test_learning(spark):
     mapping = spark.createDataFrame([("one", "street", "road"), ("one", "year", "date"), ("two", "addr", "road"), ("two", "built", "date")], "dataset string, attr string, topic string")
     data = learn.training_data({k: spark.createDataFrame(v) for k, v in tables.items()}, mapping).cache()
     assert data.count() == 12 and data.filter("value = 'NA'").count() == 1
+    same = learn.training_data({"t": spark.createDataFrame([("x",)] * 5 + [("y",)], "c string").repartition(3)}, spark.createDataFrame([("t", "c", "k")], "dataset string, attr string, topic string"))
+    assert sorted(r["value"] for r in same.collect()) == ["x"] * 5 + ["y"] and same.select("row_id").distinct().count() == 6
     scores = learn.out_of_fold(learn.CharacterClassifier, data).withColumnRenamed("score", "chars")
     near = learn.NeighbourClassifier(k=1)
     near.fit(data)

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Cells of a row of all tables that are filled together: at most some 8 MB for each of a few arrays.
+CELLS = 1 << 20
+
+
 def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     out = np.full((len(texts), int(size.max()) if len(size) else 0), -1, np.int32)
@@ -57,9 +61,12 @@ def bigram_similarity(left: list[str | None], right: list[str | None]) -> np.nda
             out[i] = 1.0 - sum(p == q for p, q in zip(x, y)) / max(len(x), len(y))
         else:
             tables.setdefault((len(x).bit_length(), len(y).bit_length()), []).append(i)
-    for rows in tables.values():
-        for k in range(0, len(rows), 4096):
-            part = rows[k : k + 4096]
+    for (_, longest), rows in tables.items():
+        # Of a class's pairs so many at once that the rows of their tables stay within CELLS.
+        rows.sort(key=lambda i: len(a[i]))
+        step = max(1, CELLS >> max(longest, max(len(a[i]) for i in rows).bit_length()))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
             out[part] = 1.0 - _distances([a[i] for i in part], [b[i] for i in part])
     return out
 

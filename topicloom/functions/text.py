@@ -64,19 +64,35 @@ def value_text(value: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: (w != "") & ~F.contains(w, F.lit("http"))), " ")
 
 
-# Endings of English plurals and what they become, the first that fits counts; and words without a singular.
-SINGULAR_ENDINGS = (("(ss|us|is)$", "$1"), ("(quiz)zes$", "$1"), ("(matr|append)ices$", "$1ix"), ("(vert|ind)ices$", "$1ex"), ("(alias|status|bus|virus)(es)?$", "$1"), ("(cris|ax|test|analys|diagnos)es$", "$1is"), ("shoes$", "shoe"), ("oes$", "o"), ("(x|ch|sh|s)es$", "$1"), ("movies$", "movie"), ("([^aeiouy]|qu)ies$", "$1y"), ("([lr])ves$", "$1f"), ("([^f])ves$", "$1fe"), ("(ta|ia)$", "$1"), ("news$", "news"), ("s$", ""))
-UNCOUNTED = ("equipment", "fish", "information", "money", "rice", "series", "sheep", "species")
-IRREGULAR = {"people": "person", "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse"}
+# The singular rules, words without a plural and irregular pairs of the public inflection library (MIT
+# licence), by which names are looked up. The first pattern that occurs in a word is replaced, whatever its case.
+SINGULARS = (
+    ("(database)s$", "$1"), ("(quiz)zes$", "$1"), ("(matr)ices$", "$1ix"), ("(vert|ind)ices$", "$1ex"), ("(passer)sby$", "$1by"), ("^(ox)en", "$1"), ("(alias|status)(es)?$", "$1"),
+    ("(octop|vir)(us|i)$", "$1us"), ("^(a)x[ie]s$", "$1xis"), ("(cris|test)(is|es)$", "$1is"), ("(shoe)s$", "$1"), ("(o)es$", "$1"), ("(bus)(es)?$", "$1"), ("(m|l)ice$", "$1ouse"),
+    ("(x|ch|ss|sh)es$", "$1"), ("(m)ovies$", "$1ovie"), ("(s)eries$", "$1eries"), ("([^aeiouy]|qu)ies$", "$1y"), ("([lr])ves$", "$1f"), ("(tive)s$", "$1"), ("(hive)s$", "$1"), ("([^f])ves$", "$1fe"),
+    ("(t)he(sis|ses)$", "$1hesis"), ("(s)ynop(sis|ses)$", "$1ynopsis"), ("(p)rogno(sis|ses)$", "$1rognosis"), ("(p)arenthe(sis|ses)$", "$1arenthesis"), ("(d)iagno(sis|ses)$", "$1iagnosis"),
+    ("(b)a(sis|ses)$", "$1asis"), ("(a)naly(sis|ses)$", "$1nalysis"), ("([ti])a$", "$1um"), ("(n)ews$", "$1ews"), ("(ss)$", "$1"), ("s$", ""),
+)
+UNCOUNTED = ("equipment", "fish", "information", "jeans", "money", "rice", "series", "sheep", "species")
+IRREGULAR = (("person", "people"), ("man", "men"), ("human", "humans"), ("child", "children"), ("sex", "sexes"), ("move", "moves"), ("cow", "kine"), ("zombie", "zombies"))
+
+
+def singular_rules() -> list[tuple[str, str]]:
+    """Patterns and what the first that occurs is replaced by: words without a plural stay, irregular pairs (a later one first) go before the endings."""
+    stay = [(rf"(?i)\b({w})$", "$1") for w in UNCOUNTED]
+    pairs = []
+    for one, many in IRREGULAR:
+        alike = [(f"(?i)({x[0]}){x[1:]}$", f"$1{one[1:]}") for x in (many, one)] if one[0] == many[0] else [(f"(?i){x}$", one) for x in (many, one)]
+        pairs = alike + pairs
+    return [*stay, *pairs, *((f"(?i){p}", r) for p, r in SINGULARS)]
 
 
 def singular(word: Column) -> Column:
-    """An English noun's singular, by a table of endings."""
-    out = F.when(word.isin(*UNCOUNTED), word)
-    for plural, single in IRREGULAR.items():
-        out = out.when(word == plural, single)
-    for pattern, ending in SINGULAR_ENDINGS:
-        out = out.when(word.rlike(pattern), F.regexp_replace(word, pattern, ending))
+    """An English noun's singular, by endings: words that these rules do not know come out as the rules have it (gas: ga)."""
+    out = None
+    for pattern, ending in singular_rules():
+        replaced = F.regexp_replace(word, pattern, ending)
+        out = F.when(word.rlike(pattern), replaced) if out is None else out.when(word.rlike(pattern), replaced)
     return out.otherwise(word)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.similarity import array_cosine
 from topicloom.plans.checkpoints import checkpointed
 
-from .pairs import all_pairs
+from .pairs import all_pairs, salted_join
 
 
 def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -34,7 +34,8 @@ def linkage(features: DataFrame, threshold: float) -> DataFrame:
     a, b = features.select(F.col("id").alias("a"), F.col("vec").alias("va")), features.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
     close = all_pairs(a, b).filter("a < b").filter(1 - array_cosine(F.col("va"), F.col("vb")) <= threshold).select("a", "b")
     roots = connected(close)
-    named = features.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    several = features.agg((F.count("*") > 1).alias("several"))  # a row
+    named = features.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").crossJoin(F.broadcast(several)).filter("several")
     return named.select("id", F.coalesce("root", "id").alias("group"))
 
 
@@ -114,11 +115,11 @@ def split_concepts(members: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def merge_pairs(members: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """Pairs of sources (a, b, cosine) over all concepts whose member sets, the source itself included, have a cosine distance of at most the threshold. Pairs meet by an equi-join on members."""
+    """Pairs of sources (a, b, cosine) over all concepts whose member sets, the source itself included, have a cosine distance of at most the threshold. Pairs meet by an equi-join on members, of which common ones are cut into blocks."""
     own = members.select("key", "member").unionByName(members.select("key", F.col("source").alias("member"))).distinct()
     sizes = own.groupBy("key").agg(F.count("*").alias("n"))
     a, b = own.withColumnRenamed("key", "a"), own.withColumnRenamed("key", "b")
-    both = a.join(b, "member").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    both = salted_join(a, b, ["member"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     scored = both.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
     cosine = F.col("shared") / F.sqrt(F.col("na") * F.col("nb"))
     return scored.select("a", "b", cosine.alias("cosine")).filter(1 - F.col("cosine") <= threshold + 1e-12)
@@ -170,17 +171,21 @@ def pooled_tags(scores: DataFrame, tags: DataFrame, threshold: float) -> DataFra
     return members.join(pooled, ["src_dataset", "src_attr"]).groupBy("dataset").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
 
 
-def one_to_one(candidates: DataFrame, most: int = 12) -> DataFrame:
-    """Table, choice (map topic -> attribute, null for none): all ways to give each topic one candidate or none without using an attribute twice. candidates: table, topic, attr. Folds topic by topic and prunes on the way; `most` topics at most, as their number doubles the result each time."""
-    topics = [r[0] for r in candidates.select("topic").distinct().orderBy("topic").limit(most + 1).collect()]
-    if len(topics) > most:
-        raise ValueError(f"over {most} topics")
+def one_to_one(candidates: DataFrame, every: int = 4) -> DataFrame:
+    """Table, choice (map topic -> attribute, null for none): all ways to give each topic one candidate or none without using an attribute twice. candidates: table, topic, attr.
+
+    Folds topic by topic and prunes on the way; the lineage is cut after every `every` topics. As the result lists all
+    ways, it grows by the number of candidates with each topic of a table.
+    """
+    topics = [r[0] for r in candidates.select("topic").distinct().orderBy("topic").collect()]  # the vocabulary of the mapping
     state = candidates.select("table").distinct().withColumn("used", F.array().cast("array<string>")).withColumn("choice", F.array().cast("array<struct<topic:string,attr:string>>"))
-    for topic in topics:
+    for done, topic in enumerate(topics, 1):
         options = candidates.filter(F.col("topic") == topic).groupBy("table").agg(F.sort_array(F.collect_set("attr")).alias("attrs"))
         joined = state.join(options, "table", "left").withColumn("pick", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("attrs", F.array().cast("array<string>")))))
         free = joined.filter(F.col("pick").isNull() | ~F.array_contains("used", F.col("pick")))
         state = free.select("table", F.when(F.col("pick").isNull(), F.col("used")).otherwise(F.concat("used", F.array("pick"))).alias("used"), F.concat("choice", F.array(F.struct(F.lit(topic).alias("topic"), F.col("pick").alias("attr")))).alias("choice"))
+        if done % every == 0:
+            state = checkpointed(state)
     return state.select("table", F.map_from_entries("choice").alias("choice"))
 
 

@@ -19,7 +19,7 @@ from topicloom.functions.text import character_features
 
 from .numbering import with_position
 from .pairs import all_pairs
-from .profile import hashed_sample, long_values
+from .profile import hashed_sample
 
 
 class Classifier(Protocol):
@@ -31,17 +31,23 @@ class Classifier(Protocol):
 
 
 def training_data(tables: dict[str, DataFrame], mapping: DataFrame, sample: int = 100) -> DataFrame:
-    """row_id, name, value, class: sampled rows of tables, melted, labelled by mapping (dataset, attr, topic); null values are 'NA'."""
+    """row_id, name, value, class: sampled rows of tables, melted, labelled by mapping (dataset, attr, topic); null values are 'NA'.
+
+    At most `sample` rows of a table, in the order of a hash of all their values; every cell of a row that is taken
+    counts, repeated ones too.
+    """
     parts = []
     for name, df in tables.items():
-        numbered = df.withColumn("__row", F.monotonically_increasing_id())
-        taken = numbered.orderBy(F.xxhash64("__row"), "__row").limit(sample).drop("__row")
-        parts.append(long_values(taken, name))
+        shown = F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+        taken = df.withColumn("__shown", shown).orderBy(F.xxhash64("__shown"), "__shown").limit(sample)
+        placed = taken.withColumn("__row", F.row_number().over(Window.orderBy(F.xxhash64("__shown"), "__shown")))  # of the sample alone
+        cells = F.posexplode(F.arrays_zip(F.array(*map(F.lit, df.columns)).alias("attr"), F.col("__shown").alias("value"))).alias("ordinal", "cell")
+        parts.append(placed.select(F.lit(name).alias("dataset"), "__row", cells).select("dataset", "__row", "ordinal", "cell.attr", "cell.value"))
     cells = parts[0]
     for p in parts[1:]:
         cells = cells.unionByName(p)
     labelled = cells.join(mapping.select("dataset", "attr", F.col("topic").alias("class")), ["dataset", "attr"])
-    return labelled.select(F.xxhash64("dataset", "attr", "ordinal", "value").alias("row_id"), F.col("attr").alias("name"), F.coalesce("value", F.lit("NA")).alias("value"), "class").dropDuplicates(["row_id"])
+    return labelled.select(F.xxhash64("dataset", "__row", "ordinal").alias("row_id"), F.col("attr").alias("name"), F.coalesce("value", F.lit("NA")).alias("value"), "class")
 
 
 def folds(rows: DataFrame, k: int = 2, by: str = "class", order: str = "row_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.similarity import array_cosine, character_cosine, composite, name_similarity
 from topicloom.functions.text import is_int
 
-from .pairs import all_pairs
+from .pairs import all_pairs, salted_join
 from .profile import head_sample, term_frequencies
 
 
@@ -38,7 +38,7 @@ def instance_matrix(source: DataFrame, target: DataFrame, stats: DataFrame, thre
 
     Value pairs count if neither is 'None', both or neither are integers, and their similarity passes the threshold;
     each adds similarity times the target value's count in its column. Equal pairs are compared once and multiplied;
-    integers never meet texts, as the pairs are made by an equi-join on that.
+    integers never meet texts, as pairs agree in that.
     """
 
     def side(df: DataFrame, attr: str, value: str, n: str) -> DataFrame:
@@ -47,7 +47,7 @@ def instance_matrix(source: DataFrame, target: DataFrame, stats: DataFrame, thre
         return kept.groupBy(F.col("attr").alias(attr), F.col("value").alias(value)).agg(F.count("*").alias(n)).withColumn("ints", is_int(F.col(value)))
 
     counted = side(target, "tar_attr", "v", "nv").join(stats.select(F.col("attr").alias("tar_attr"), F.col("value").alias("v"), "cnt"), ["tar_attr", "v"])
-    values = side(source, "src_attr", "u", "nu").select("u", "ints").distinct().join(counted.select("v", "ints").distinct(), "ints").select("u", "v")
+    values = all_pairs(side(source, "src_attr", "u", "nu").select("u", "ints").distinct(), counted.select("v", "ints").distinct(), ["ints"]).select("u", "v")
     alike = values.withColumn("s", name_similarity(F.col("u"), F.col("v"))).filter(F.col("s") > threshold)
     hits = alike.join(side(source, "src_attr", "u", "nu").drop("ints"), "u").join(counted.drop("ints"), "v")
     sums = hits.groupBy("src_attr", "tar_attr").agg(F.sum(F.col("s") * F.col("cnt") * F.col("nu") * F.col("nv")).alias("score"))
@@ -65,12 +65,12 @@ def confidence(rows_source: int, rows_target: int, ratio: float = 0.01, least: i
 def document_cosine(left: DataFrame, right: DataFrame, factor: float = 2.0) -> DataFrame:
     """left_id, right_id, score: cosine of term frequencies; shared words count `factor` times in both.
 
-    Only pairs that share a word have rows. Words meet by an equi-join; a pair's norm is its documents' own norm plus
-    what the boost of shared words adds, so no vector is laid out.
+    Only pairs that share a word have rows. Words meet by an equi-join in which common ones are cut into blocks; a
+    pair's norm is its documents' own norm plus what the boost of shared words adds, so no vector is laid out.
     """
     a, b = term_frequencies(left, "id", "text"), term_frequencies(right, "id", "text")
     norms = lambda t, name: t.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
-    shared = a.select(F.col("id").alias("left_id"), "word", F.col("tf").alias("x")).join(b.select(F.col("id").alias("right_id"), "word", F.col("tf").alias("y")), "word")
+    shared = salted_join(a.select(F.col("id").alias("left_id"), "word", F.col("tf").alias("x")), b.select(F.col("id").alias("right_id"), "word", F.col("tf").alias("y")), ["word"])
     more = factor * factor - 1
     sums = shared.groupBy("left_id", "right_id").agg((F.sum(F.col("x") * F.col("y")) * factor * factor).alias("dot"), (F.sum(F.col("x") * F.col("x")) * more).alias("dx"), (F.sum(F.col("y") * F.col("y")) * more).alias("dy"))
     joined = sums.join(norms(a, "nx").withColumnRenamed("id", "left_id"), "left_id").join(norms(b, "ny").withColumnRenamed("id", "right_id"), "right_id")
@@ -87,7 +87,7 @@ def pre_clusters(source: DataFrame, target: DataFrame, weights: tuple[float, flo
     """Attribute pairs of the same guessed type scored by w0 min(U, 1) + w1 name similarity. `statistic` brings U(src_attr, tar_attr, u)."""
     left = source.select(F.col("attr").alias("src_attr"), F.col("guess"))
     right = target.select(F.col("attr").alias("tar_attr"), F.col("guess"))
-    pairs = left.join(right, "guess").withColumn("name_score", name_similarity(F.col("src_attr"), F.col("tar_attr")))
+    pairs = all_pairs(left, right, ["guess"]).withColumn("name_score", name_similarity(F.col("src_attr"), F.col("tar_attr")))
     pairs = pairs.withColumn("u", F.lit(0.0)) if statistic is None else pairs.join(statistic, ["src_attr", "tar_attr"], "left")
     return pairs.select("src_attr", "tar_attr", (weights[0] * F.least(F.coalesce("u", F.lit(0.0)), F.lit(1.0)) + weights[1] * F.col("name_score")).alias("score"))
 
@@ -100,12 +100,13 @@ def table_scores(frames: DataFrame, gate: float = 0.4) -> DataFrame:
     return picked.join(passing.select("dataset"), "dataset", "left_semi").select("dataset", "frame", "row_topic", "col_topic", "score")
 
 
-def shared_topics(pairs: DataFrame, item: str, topic: str) -> DataFrame:
-    """Item pairs (a <> b) with the number of topics both have, ranked for each a."""
+def shared_topics(pairs: DataFrame, item: str, topic: str, least: int = 1, most: int | None = None) -> DataFrame:
+    """Item pairs (a <> b) with the number of topics both have, ranked for each a. Pairs with fewer than `least` shared topics, and all but the best `most` of each a, are left out if that is asked for."""
     own = pairs.select(F.col(item), F.col(topic)).distinct()
     a, b = own.withColumnRenamed(item, "a"), own.withColumnRenamed(item, "b")
-    counts = a.join(b, topic).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b")))
+    counts = salted_join(a, b, [topic]).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b")))
+    return ranked if most is None else ranked.filter(F.col("rank") <= most)
 
 
 def combined_scores(first: DataFrame, second: DataFrame, keys: list[str], weights: tuple[float, float] = (0.8, 0.2), parity: bool = False) -> DataFrame:

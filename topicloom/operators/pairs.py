@@ -1,22 +1,52 @@
-"""Pairing two relations."""
+"""Pairing two relations: products, and joins whose keys may hold very many rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A side of at most so many rows may be broadcast; larger ones are dealt in blocks.
 BROADCAST_ROWS = 20_000
+#: The most rows of either side that meet in one block.
+BLOCK_ROWS = 10_000
+#: Keys that are cut into blocks are fewer than this, so their list may be broadcast.
+HOT_KEYS = 10_000
+
+
+def _dealt(left: DataFrame, right: DataFrame, by: list[str], i: Column, j: Column) -> DataFrame:
+    """left and right joined on `by` in a grid: left in i blocks, each sent to the j blocks of right, and the other way about."""
+    block = lambda df, n: F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("__"))), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    a = left.withColumn("__i", block(left, i)).withColumn("__j", every(j)).drop("__left", "__right")
+    b = right.withColumn("__j", block(right, j)).withColumn("__i", every(i)).drop("__left", "__right")
+    return a.join(b, [*by, "__i", "__j"]).drop("__i", "__j")
 
 
-def all_pairs(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:
-    """Every row of left with every row of right; column names must differ.
+def all_pairs(left: DataFrame, right: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Every row of left with every row of right, or with every one that agrees in `by`, which has few values; other column names must differ.
 
-    Topic vocabularies and attribute lists are short, so the right side is counted and broadcast. A longer right
-    side is cut into blocks, and left meets each block by an equi-join on the block number, which spreads the work
-    over left's partitions and never holds a whole side in one task.
+    Topic vocabularies and attribute lists are short, so the right side is counted and broadcast. If it is longer, both
+    sides are dealt into blocks of at most about BLOCK_ROWS rows, fewer where that leaves cores idle, and each pair of
+    blocks is a key of its own: a task holds two blocks, never a whole side.
     """
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.crossJoin(F.broadcast(right))
-    dealt = right.withColumn("__block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
-    return left.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(dealt, "__block").drop("__block")
+        return left.join(F.broadcast(right), by) if by else left.crossJoin(F.broadcast(right))
+    n, m = left.count(), right.count()
+    size = max(1, min(BLOCK_ROWS, math.ceil(math.sqrt(n * m / (3 * left.sparkSession.sparkContext.defaultParallelism)))))
+    i, j = max(1, -(-n // size)), max(1, -(-m // size))
+    return _dealt(left, right, by or [], F.lit(i), F.lit(j))
+
+
+def salted_join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """left joined with right on `by`. Keys with very many rows on a side are cut into blocks of rows, so that they meet in many tasks."""
+    sizes = left.groupBy(*by).agg(F.count("*").alias("__left")).join(right.groupBy(*by).agg(F.count("*").alias("__right")), by)
+    total = sizes.agg(F.coalesce(F.sum(F.col("__left") + F.col("__right")), F.lit(0)), F.coalesce(F.max(F.greatest("__left", "__right")), F.lit(0))).first()
+    size = max(BLOCK_ROWS, -(-total[0] // HOT_KEYS))  # fewer than HOT_KEYS keys have more rows than this
+    if total[1] <= size:
+        return left.join(right, by)
+    hot = sizes.filter(F.greatest("__left", "__right") > size)
+    marked = lambda df: df.join(F.broadcast(hot), by, "left")
+    blocks = lambda c: F.coalesce(F.ceil(F.col(c) / size), F.lit(1))
+    return _dealt(marked(left), marked(right), by, blocks("__left"), blocks("__right"))

@@ -1,17 +1,24 @@
-"""Selection from scored pairs (W1-W15). Ties are settled by explicit ordinals."""
+"""Selection from scored pairs (W1-W15). Ties are settled by explicit ordinals, and where those tie too by the other columns, so that no result depends on how rows lie."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pairs import all_pairs
 
 
+def others(df: DataFrame, *used: str) -> list[Column]:
+    """The plain columns of df but for the used ones, in name order: what settles a tie at last."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    return [F.col(f"`{f.name}`") for f in sorted(df.schema, key=lambda f: f.name) if f.name not in used and not isinstance(f.dataType, nested)]
+
+
 def best_per(df: DataFrame, by: list[str], order: str, score: str = "score", above: float | None = None) -> DataFrame:
     """The best row of each group, the first in `order` of equals; only scores above a bound count."""
     scored = df if above is None else df.filter(F.col(score) > above)
-    ranked = Window.partitionBy(*by).orderBy(F.desc(score), order)
+    ranked = Window.partitionBy(*by).orderBy(F.desc(score), order, *others(scored, score, order, *by))
     return scored.withColumn("__n", F.row_number().over(ranked)).filter("__n = 1").drop("__n")
 
 
@@ -52,14 +59,14 @@ def fused_winner(scores: DataFrame, first: str, second: str, multiplier: str, bo
 
 
 def _over(scores: DataFrame, bound: float, most: int) -> DataFrame:
-    order = Window.partitionBy("dataset", "attribute").orderBy(F.desc("score"), F.desc("ordinal"))
+    order = Window.partitionBy("dataset", "attribute").orderBy(F.desc("score"), F.desc("ordinal"), "topic", "score_name")
     passing = scores.filter(F.col("score") > bound)
     return passing.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("dataset", "attribute", "topic", "score", "score_name", "rank")
 
 
 def consumed(scores: DataFrame, keys: list[str], bound: float = 0.5) -> DataFrame:
     """Scores of at least the bound in descending order, the last one of a key winning."""
-    order = Window.partitionBy(*keys).orderBy("score", "ordinal")
+    order = Window.partitionBy(*keys).orderBy("score", "ordinal", *others(scores, "score", "ordinal", *keys))
     return scores.filter(F.col("score") >= bound).withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.similarity import name_similarity
+from topicloom.functions.text import is_int
 from topicloom.operators import cluster, kb, profile, select
 from topicloom.operators.pairs import all_pairs
 
@@ -39,12 +40,12 @@ def perform_matching(kb_match: DataFrame, values: DataFrame, stats: DataFrame, a
     key = F.concat_ws("|", "dataset", "attr")
     keyed = values.join(types, ["dataset", "attr"]).withColumn("key", key)
     sampled = profile.head_sample(keyed, ["dataset", "attr"], "ordinal", p.sample_ratio, p.sample_least, p.sample_most)
-    usable = sampled.filter(F.col("value").isNotNull() & (F.col("value") != "None")).withColumn("ints", F.col("value").rlike(r"^\s*[+-]?[0-9]+\s*$"))
+    usable = sampled.filter(F.col("value").isNotNull() & (F.col("value") != "None")).withColumn("ints", is_int(F.col("value")))
     counted = usable.groupBy("dataset", "attr", "attr_ordinal", "group", "ints", "value").agg(F.count("*").alias("n"))
     sources = kb_match.filter(F.col("attribute").isNotNull()).select("concept", F.col("dataset").alias("src_dataset"), F.col("attribute").alias("src_attr"))
     left = sources.join(counted.select(F.col("dataset").alias("src_dataset"), F.col("attr").alias("src_attr"), "group", "ints", F.col("value").alias("u"), F.col("n").alias("nu")), ["src_dataset", "src_attr"])
     right = counted.join(stats, ["dataset", "attr", "value"]).select(F.col("dataset").alias("tar_dataset"), F.col("attr").alias("tar_attr"), F.col("attr_ordinal").alias("ordinal"), "group", "ints", F.col("value").alias("v"), F.col("n").alias("nv"), "cnt")
-    alike = left.select("u", "group", "ints").distinct().join(right.select("v", "group", "ints").distinct(), ["group", "ints"]).select("u", "v").distinct().withColumn("s", name_similarity(F.col("u"), F.col("v"))).filter(F.col("s") > p.match_threshold)
+    alike = all_pairs(left.select("u", "group", "ints").distinct(), right.select("v", "group", "ints").distinct(), ["group", "ints"]).select("u", "v").distinct().withColumn("s", name_similarity(F.col("u"), F.col("v"))).filter(F.col("s") > p.match_threshold)
     hits = left.join(alike, "u").join(right, ["v", "group", "ints"]).filter("src_dataset <> tar_dataset")
     sums = hits.groupBy("concept", "src_dataset", "src_attr", "tar_dataset", "tar_attr", "ordinal").agg(F.sum(F.col("s") * F.col("cnt") * F.col("nu") * F.col("nv")).alias("score"))
     if p.parity:

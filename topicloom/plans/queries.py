@@ -137,13 +137,19 @@ def file_names(spark, d):
     return t(spark, d, "pages").select("page_id", tx.file_name(F.col("url")).alias("file"))
 
 
-WORDS = ["activities", "parks", "trees", "boxes", "churches", "berries", "wolves", "wives", "buses", "status", "analyses", "people", "children", "sheep", "news", "glass", "matrices", "potatoes", "shoes", "youth"]
-SINGULARS = ["activity", "park", "tree", "box", "church", "berry", "wolf", "wife", "bus", "status", "analysis", "person", "child", "sheep", "news", "glass", "matrix", "potato", "shoe", "youth"]
+#: Everyday plurals, beside the words of the texts, so that every kind of ending occurs.
+PLURALS = ["activities", "parks", "trees", "boxes", "churches", "berries", "wolves", "wives", "buses", "status", "analyses", "people", "children", "sheep", "news", "glass", "matrices", "potatoes", "shoes", "houses", "licenses", "databases", "initiatives", "archives", "women", "moves", "Movies", "data", "OXEN"]
 
 
-@query(f"SELECT * FROM {values_sql(list(zip(WORDS, SINGULARS)), 'word, single')}")
+def _singular_sql() -> str:
+    cases = " ".join(f"WHEN regexp_matches(word, '{p}') THEN regexp_replace(word, '{p}', '{r.replace('$', chr(92))}')" for p, r in tx.singular_rules())
+    return f"CASE {cases} ELSE word END"
+
+
+@query(f"SELECT word, {_singular_sql()} AS single FROM (SELECT DISTINCT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word FROM documents UNION SELECT * FROM {values_sql([(w,) for w in PLURALS], 'word')}) WHERE word <> ''")
 def singular_words(spark, d):
-    return inline(spark, [(w,) for w in WORDS], "word string").select("word", tx.singular(F.col("word")).alias("single"))
+    words = t(spark, d, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).unionAll(inline(spark, [(w,) for w in PLURALS], "word string"))
+    return words.filter("word <> ''").distinct().select("word", tx.singular(F.col("word")).alias("single"))
 
 
 @query("SELECT doc_id, length(text)::INT AS n_chars, length(regexp_replace(text, '[^\\p{Nd}]', '', 'g')) AS n_digit, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS n_alpha, length(regexp_replace(text, '[^\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\p{Z}]', '', 'g')) AS n_space, round(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / length(text), 6) AS share_alpha FROM documents")
@@ -342,13 +348,13 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").select(F.col("l_suppkey").alias("dataset"), F.col("l_linenumber").alias("attribute"), F.col("l_orderkey").alias("topic"), F.col("l_orderkey").alias("ordinal"), (F.col("l_discount") * 10).alias("s1"), (F.col("l_tax") * 10).alias("s2"), (F.col("l_quantity") / 25).alias("m"))
 
 
-@query(f"""SELECT dataset, attribute, topic, round(score, 6) AS score, score_name, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset, attribute ORDER BY score DESC, ordinal DESC) AS rank FROM (
+@query(f"""SELECT dataset, attribute, topic, round(score, 6) AS score, score_name, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset, attribute ORDER BY score DESC, ordinal DESC, topic, score_name) AS rank FROM (
 SELECT *, s1 * 0.4::DOUBLE + s2 * 0.6::DOUBLE AS score, CASE WHEN s1 * 0.4::DOUBLE >= s2 * 0.6::DOUBLE THEN 's1' ELSE 's2' END AS score_name {FUSED}) WHERE score > 0.5) WHERE rank <= 4""")
 def fuse_weighted_top4(spark, d):
     return select.fused_weighted(_fused(spark, d), {"s1": 0.4, "s2": 0.6}).withColumn("score", F.round("score", 6))
 
 
-@query(f"""SELECT dataset, attribute, topic, round(score, 6) AS score, score_name, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset, attribute ORDER BY score DESC, ordinal DESC) AS rank FROM (
+@query(f"""SELECT dataset, attribute, topic, round(score, 6) AS score, score_name, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset, attribute ORDER BY score DESC, ordinal DESC, topic, score_name) AS rank FROM (
 SELECT *, CASE WHEN s1 >= s2 THEN s1 ELSE least(s2 * m, 1) END AS score, CASE WHEN s1 >= s2 THEN 's1' ELSE 's2' END AS score_name {FUSED}) WHERE score > 0.5) WHERE rank <= 4""")
 def fuse_winner_multiplier(spark, d):
     return select.fused_winner(_fused(spark, d), "s1", "s2", "m").withColumn("score", F.round("score", 6))
@@ -734,9 +740,8 @@ def iterative_discovery(spark, d):
     values, declared = None, []
     for name, columns in PROFILED.items():
         df = t(spark, d, name).select(*columns)
-        numbered = df.withColumn("__n", F.monotonically_increasing_id())
         cells = F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).cast("string").alias("value")) for c in columns])
-        own = numbered.select(F.lit(name).alias("dataset"), F.col("__n").alias("ordinal"), F.explode(cells).alias("x")).select("dataset", "x.attr", "ordinal", "x.value")
+        own = df.select(F.lit(name).alias("dataset"), F.col(columns[0]).alias("ordinal"), F.explode(cells).alias("x")).select("dataset", "x.attr", "ordinal", "x.value")
         values = own if values is None else values.unionAll(own)
         declared += [(name, c, i, "esriFieldTypeString" if k == "string" else "esriFieldTypeInteger", None, None) for i, (c, k) in enumerate(df.dtypes)]
     attrs = inline(spark, declared, "dataset string, name string, ordinal int, data_type string, domain string, coded_values array<string>")
