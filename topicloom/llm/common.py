@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators.numbering import with_row_number  # noqa: F401  operators take it from here
+from topicloom.plans.checkpoints import checkpointed, shared_dir  # noqa: F401  and these
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Table for bytes.translate() that lower-cases A-Z only.
@@ -41,17 +41,6 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="topicloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -60,9 +49,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: There are fewer keys than this that hold more than the HOT_KEYS-th part of all rows.
+HOT_KEYS = 10_000
+#: Keys of up to so many rows are never hot.
+HOT_ROWS = 10_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined with classes, which have each key once and in `n` how many rows it has.
+
+    Keys of very many rows would meet in one task each. Those with more than the larger of hot_rows and the HOT_KEYS-th
+    part of all rows are fewer than HOT_KEYS, so they are joined by broadcast; the others by a shuffle.
+    """
+    total, most = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    hot_rows = max(hot_rows, total // HOT_KEYS)
+    if most <= hot_rows:
+        return rows.join(classes.hint("merge"), keys)
+    hot, cold = classes.filter(F.col("n") > hot_rows), classes.filter(F.col("n") <= hot_rows)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return others.join(cold.hint("merge"), keys).unionByName(rows.join(F.broadcast(hot), keys))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -89,8 +94,8 @@ def unpacked(name: str, columns: list[str]) -> list[Column]:
 
 def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, whose row_key is in kept(__id, __raw); of rows that repeat in id and text one."""
-    keyed = df.select(packed(df, "__row"), *row_key(col(id_col), col(text_col)))
-    found = keyed.join(kept.hint("merge"), ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"])
+    keyed = df.select(packed(df, "__row"), *row_key(col(id_col), col(text_col))).dropDuplicates(["__id", "__raw"])  # repeats go before the shuffle
+    found = keyed.join(kept.hint("merge"), ["__id", "__raw"], "left_semi")
     return found.select(*unpacked("__row", df.columns))
 
 

@@ -1,11 +1,12 @@
 """Exact dedup: sorted runs of digests are merged along a tree.
 
 Every text, A-Z lower-cased, becomes a key: SHA-256, and for verification its length and a second hash; rows are
-merged only where all three agree. Each partition sorts its keys into runs in which a key occurs once, with the row
-that stays and how many rows it stands for. Runs are cut into slices by digest. In each round the runs of a slice
-are exchanged in groups of `fan_in`, and a group is merged into one run by one stable sort of its sorted parts; the
-row that stays is settled again at every level, so copies shrink before they travel. After log(runs) rounds one run
-is left for each slice. No slice is gathered elsewhere, and a large group of copies is one entry of each run.
+merged only where all three agree. Each partition makes sorted runs in which a key occurs once, with the row that
+stays and how many rows it stands for. Runs are cut by digest into slices, whose number follows from the number of
+keys, so that a slice stays small however large the table is. In each binomial round the runs of a slice are
+exchanged in groups of `fan_in`, still sorted, and merged two by two until one is left; the row that stays is settled
+again at every level, so copies shrink before they travel. After log(runs) rounds one run is left for each slice. A
+large group of copies is one entry of each run.
 
 The row that stays is the one with the largest id (keep="smallest": the smallest); of rows that repeat in id and
 text one stays. Null ids count as smaller (for "smallest": larger) than any. Null texts count as empty. An empty
@@ -17,19 +18,19 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, NO_ID, bytes_of, checkpointed, id_and_text, keep_rows, partitions, table
+from .common import LOWER_AZ, NO_ID, bytes_of, checkpointed, id_and_text, join_classes, keep_rows, partitions, table
 
-KEY = ["s0", "s1", "s2", "s3", "n_bytes", "second"]
-RUN = KEY + ["keep", "keep_row", "n"]
-RUN_SCHEMA = ", ".join(f"{c} long" for c in RUN)
-#: A partition closes a run when it has read so many rows.
+#: A key is SHA-256 (32 bytes), length and second hash (8 bytes each).
+KEY_BYTES = 48
+#: A partition closes a run when it has so many rows.
 RUN_ROWS = 1 << 20
+#: Keys of a slice, about.
+SLICE_KEYS = 1 << 18
 _NONE = {"largest": -(1 << 63), "smallest": (1 << 63) - 1}
 
 
@@ -41,84 +42,131 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             texts = bytes_of(b.column("text"))
             raw = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
             texts = [t.translate(LOWER_AZ) for t in texts]
-            sha = np.frombuffer(b"".join(hashlib.sha256(t).digest() for t in texts), ">i8").reshape(-1, 4).astype(np.int64)
-            second = np.fromiter((xxhash.xxh64_intdigest(t, 7) for t in texts), np.uint64, len(texts)).view(np.int64)
-            arrays = [*(pa.array(np.ascontiguousarray(sha[:, k])) for k in range(4)), pa.array([len(t) for t in texts], pa.int64()), pa.array(second)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(raw), *arrays], ["doc_id", "row", "raw", *KEY])
+            keys = [hashlib.sha256(t).digest() + len(t).to_bytes(8, "big") + xxhash.xxh64_digest(t, 7) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(raw), pa.array(keys, pa.binary())], ["doc_id", "row", "raw", "key"])
 
     rows = id_and_text(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(compute, "doc_id long, row long, raw long, " + ", ".join(f"{c} long" for c in KEY))
-
-
-def merge_runs(rows: np.ndarray, largest: bool) -> np.ndarray:
-    """One run of several: columns as RUN. Sorted parts are merged by a stable sort; each key keeps the row that stays."""
-    if not len(rows):
-        return rows
-    order = np.lexsort((rows[:, 7], rows[:, 6], *(rows[:, k] for k in range(5, -1, -1))))
-    rows = rows[order]
-    new = np.concatenate([[True], (rows[1:, :6] != rows[:-1, :6]).any(axis=1)])
-    first = np.nonzero(new)[0]
-    last = np.append(first[1:], len(rows)) - 1
-    out = rows[last if largest else first].copy()
-    out[:, 8] = np.add.reduceat(rows[:, 8], first)
-    return out
-
-
-def tree_merge(marked: DataFrame, keep: str = "largest", fan_in: int = 8) -> DataFrame:
-    """The last runs: one row for each distinct key, with the row that stays and the number of rows."""
+    return rows.mapInArrow(compute, "doc_id long, row long, raw long, key binary")
+
+
+class Run:
+    """Entries sorted by key, one for each: keys (bytes) and values (id and row that stay, number of rows)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    @staticmethod
+    def of(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, largest: bool) -> Run:
+        """A run of unsorted rows."""
+        order = np.argsort(keys, kind="stable")
+        return Run(keys[order], np.column_stack([ids, rows, np.ones(len(ids), np.int64)])[order]).settled(largest)
+
+    def settled(self, largest: bool) -> Run:
+        """Neighbours with equal keys become one entry: the row that stays, and the sum of their numbers."""
+        if not len(self.keys):
+            return self
+        first = np.nonzero(np.append(True, self.keys[1:] != self.keys[:-1]))[0]
+        if len(first) == len(self.keys):
+            return self
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(self.keys))))
+        order = np.lexsort((self.values[:, 1], self.values[:, 0], group))
+        at = np.append(first[1:], len(self.keys)) - 1 if largest else first
+        values = self.values[order[at]]
+        values[:, 2] = np.add.reduceat(self.values[:, 2], first)
+        return Run(self.keys[first], values)
+
+    def merged(self, other: Run, largest: bool) -> Run:
+        """Two sorted runs merged without sorting again: each entry of the other has its place found in this one."""
+        place = np.searchsorted(self.keys, other.keys, "right") + np.arange(len(other.keys))
+        own = np.ones(len(self.keys) + len(other.keys), bool)
+        own[place] = False
+        keys, values = np.empty(len(own), self.keys.dtype), np.empty((len(own), 3), np.int64)
+        keys[place], values[place], keys[own], values[own] = other.keys, other.values, self.keys, self.values
+        return Run(keys, values).settled(largest)
+
+    def packed(self) -> tuple[bytes, bytes]:
+        return self.keys.tobytes(), np.ascontiguousarray(self.values).tobytes()
+
+    @staticmethod
+    def unpacked(keys: bytes, values: bytes) -> Run:
+        return Run(np.frombuffer(keys, f"S{KEY_BYTES}"), np.frombuffer(values, np.int64).reshape(-1, 3))
+
+
+def merge_runs(runs: list[Run], largest: bool) -> Run:
+    """One run of several, merged two by two, neighbours first."""
+    while len(runs) > 1:
+        runs = [runs[i].merged(runs[i + 1], largest) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
+def tree_merge(marked: DataFrame, keep: str = "largest", fan_in: int = 8, slice_keys: int = SLICE_KEYS) -> DataFrame:
+    """key, keep, keep_row and n for each distinct key. marked: doc_id, row, key."""
     largest, none = keep == "largest", _NONE[keep]
-    slices = partitions(marked.sparkSession)
+    slices = max(partitions(marked.sparkSession), -(-marked.count() // slice_keys))
+    blob = "run long, slice int, keys binary, entries binary"
 
     def first_runs(batches):
-        held, size, closed = [], 0, 0
-
-        def run():
-            out = merge_runs(np.concatenate(held), largest)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(out), part + closed)), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(len(RUN)))], ["run", *RUN])
+        """The sorted runs of a partition, cut where the slices of digests begin."""
+        held, size, closed, part = [], 0, 0, 0
+
+        def cut():
+            run = merge_runs(held, largest)
+            top = np.frombuffer(run.keys.tobytes(), np.uint8).reshape(-1, KEY_BYTES)[:, :4].copy().view(">u4").ravel()
+            of = (top.astype(np.uint64) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)  # ascends with the keys
+            bounds = np.searchsorted(of, np.arange(slices + 1)) if slices < len(of) else np.append(np.nonzero(np.append(True, of[1:] != of[:-1]))[0], len(of))
+            rows = [(part + closed, int(of[a]), *Run(run.keys[a:b], run.values[a:b]).packed()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if b > a]
+            for i in range(0, len(rows), 4096):
+                columns = zip(*rows[i : i + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["run", "slice", "keys", "entries"])
 
-        part = 0
         for b in batches:
             if not b.num_rows:
                 continue
             if not held and not closed:
                 part = b.column("part")[0].as_py() << 20
-            cols = [b.column(c).to_numpy() for c in [*KEY, "id", "row"]]
-            held.append(merge_runs(np.column_stack([*cols, np.ones(b.num_rows, np.int64)]), largest))
+            keys = np.array(b.column("key").to_pylist(), f"S{KEY_BYTES}")
+            held.append(Run.of(keys, b.column("id").to_numpy(), b.column("row").to_numpy(), largest))
             size += b.num_rows
             if size >= RUN_ROWS:
-                yield run()
+                yield from cut()
                 held, size, closed = [], 0, closed + 1
         if held:
-            yield run()
-
-    numbered = marked.select(*KEY, F.coalesce("doc_id", F.lit(none)).alias("id"), "row", F.spark_partition_id().cast("long").alias("part"))
-    runs = checkpointed(numbered.mapInArrow(first_runs, "run long, " + RUN_SCHEMA))
-    names = runs.groupBy("run").count().drop("count")  # one row for each run
-    ranks = {r[0]: i for i, r in enumerate(sorted(names.collect()))}
-    left = len(ranks)
-    ranked = runs.sparkSession.createDataFrame(list(ranks.items()) or [(0, 0)], "run long, rank long")
-    runs = runs.join(F.broadcast(ranked), "run").withColumn("slice", F.pmod("s0", F.lit(slices))).select("slice", F.col("rank").alias("run"), *RUN)
-
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(merge_runs(pdf[RUN].to_numpy(np.int64), largest), columns=RUN)
-        out.insert(0, "run", key[1])
-        out.insert(0, "slice", key[0])
-        return out
+            yield from cut()
+
+    numbered = marked.select("key", F.coalesce("doc_id", F.lit(none)).alias("id"), "row", F.spark_partition_id().cast("long").alias("part"))
+    runs = checkpointed(numbered.mapInArrow(first_runs, blob))
+    part, again = F.shiftright("run", 20), F.col("run").bitwiseAND(F.lit((1 << 20) - 1))
+    parts, times = (1 + (x if x is not None else -1) for x in runs.agg(F.max(part), F.max(again)).first())
+    runs, left = runs.withColumn("run", again * parts + part), parts * times
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("run").to_numpy())
+        keys, entries = group.column("keys"), group.column("entries")
+        run = merge_runs([Run.unpacked(keys[i].as_py(), entries[i].as_py()) for i in order.tolist()], largest)
+        k, v = run.packed()
+        return pa.table({"run": pa.array([key[1].as_py()], pa.int64()), "slice": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([k], pa.binary()), "entries": pa.array([v], pa.binary())})
 
     while left > 1:
-        runs = runs.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("slice", "run").applyInPandas(merge, "slice long, run long, " + RUN_SCHEMA)
+        runs = runs.withColumn("into", F.floor(F.col("run") / fan_in)).groupBy("slice", "into").applyInArrow(merge, blob)
         left = -(-left // fan_in)
-    return runs.select(*KEY, "keep", "keep_row", "n")
+
+    def entries(batches):
+        for b in batches:
+            for keys, values in zip(b.column("keys"), b.column("entries")):
+                run = Run.unpacked(keys.as_py(), values.as_py())
+                flat = pa.Array.from_buffers(pa.binary(KEY_BYTES), len(run.keys), [None, pa.py_buffer(run.keys.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([flat, *(pa.array(np.ascontiguousarray(run.values[:, k])) for k in range(3))], ["key", "keep", "keep_row", "n"])
+
+    return runs.select("keys", "entries").mapInArrow(entries, "key binary, keep long, keep_row long, n long")
 
 
-def exact_duplicates(df: DataFrame, keep: str = "largest", fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(df: DataFrame, keep: str = "largest", fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text", slice_keys: int = SLICE_KEYS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and raw for every row of df."""
     marked = checkpointed(digests(df, id_col, text_col))
-    settled = tree_merge(marked, keep, fan_in)
-    joined = marked.join(settled.hint("merge"), KEY)
-    sha = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in KEY[:4]])
+    settled = checkpointed(tree_merge(marked, keep, fan_in, slice_keys))
+    joined = join_classes(marked, settled, ["key"])
     keep_id = F.when(F.col("keep") != _NONE[keep], F.col("keep"))
-    return joined.select("doc_id", keep_id.alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), sha.alias("text_sha256"), "raw")
+    return joined.select("doc_id", keep_id.alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"), "raw")
 
 
 def drop_exact_duplicates(df: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
