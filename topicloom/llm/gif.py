@@ -6,10 +6,16 @@ decoded together with numpy: all codes between clears have known widths, so they
 its parent entry's string and one more byte, so lengths and first bytes come by pointer jumping, and bytes are
 written from the ends of all strings inwards.
 
-A text is stored as grey samples (palette entry i is i, i, i), 64 to a row, up to 1024 rows to a frame, each frame
-shown for `delay` hundredths of a second. Null texts count as empty. Repeated rows are stored each. An empty table
-gives an empty result. Other columns are not carried. `gif_frames` gives timed frames with colour histograms for any
-binary column; a broken image gives one row with an error and no frame, a null one nothing.
+A text is stored as 8-bit samples, 64 to a row, up to 1024 rows to a frame, each frame shown for `delay` hundredths
+of a second. A sample's colour holds its bits (three of red, three of green, two of blue); sample 0, with which
+payloads are filled up, is transparent, and each frame is cleared before the next. So a payload is read back through
+palette, transparency and disposal. `stored_frames` decodes stored images once and keeps, beside digests of what they
+hold, their timed frames with colour-histogram columns in a table. Null texts count as empty. Repeated rows are
+stored each. An empty table gives an empty result. Other columns are not carried.
+
+`gif_frames` gives timed frames with pixels and colour histograms for any binary column. A null image gives nothing, a
+broken one, or one whose canvas or frames take over `max_pixels` pixels (so that memory has a bound), one row with an
+error and no frame.
 """
 
 from __future__ import annotations
@@ -22,11 +28,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import bytes_of, col, id_and_text, stored, table
 
 WIDTH, FRAME_ROWS, DELAY = 64, 1024, 10
 FULL = 4096
+#: The most pixels of an image's canvas, and of its frames together.
+MAX_PIXELS = 1 << 26
 #: Payload bytes that are decoded together.
 TOGETHER = 4 << 20
 
@@ -97,7 +106,8 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-_GREYS = bytes(v for i in range(256) for v in (i, i, i))
+#: The colour of each sample: its bits as red, green and blue in full range.
+_COLOURS = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3))
 
 
 def write_gifs(payloads: list[bytes], delay: int = DELAY) -> list[bytes]:
@@ -105,10 +115,10 @@ def write_gifs(payloads: list[bytes], delay: int = DELAY) -> list[bytes]:
     step = WIDTH * FRAME_ROWS
     frames = [[p[i : i + step] for i in range(0, len(p), step)] for p in payloads]
     packed = iter(pack_codes([lzw_codes(f) for own in frames for f in own]) if frames else [])
-    control = b"\x21\xf9\x04\x04" + struct.pack("<H", delay) + b"\0\0"  # disposal 1: the frame stays
+    control = b"\x21\xf9\x04\x09" + struct.pack("<H", delay) + b"\0\0"  # disposal 2: the frame is cleared; sample 0 is transparent
     out = []
     for own in frames:
-        parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, max(len(f) for f in own) // WIDTH, 0xF7, 0, 0), _GREYS]
+        parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, max(len(f) for f in own) // WIDTH, 0xF7, 0, 0), _COLOURS]
         for f in own:
             parts += [control, b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(f) // WIDTH, 0), b"\x08", _blocks(next(packed))]
         out.append(b"".join([*parts, b"\x3b"]))
@@ -303,8 +313,16 @@ def lzw_decode(data: list[bytes], least: int) -> list[np.ndarray]:
     return np.split(out, cut[:-1]) if len(cut) else []
 
 
-def decode_samples(gifs: list[Gif]) -> None:
+def samples_of(rgba: np.ndarray) -> bytes:
+    """The samples that write_gifs stored, from the pixels of a frame as shown."""
+    p = rgba.reshape(-1, 4)
+    return (p[:, 0] >> 5 << 5 | p[:, 1] >> 5 << 2 | p[:, 2] >> 6).tobytes()  # a transparent pixel is black
+
+
+def decode_samples(gifs: list[Gif], max_pixels: int | None = None) -> None:
     """Decodes the code streams of all images of all GIFs, together by code size."""
+    if max_pixels is not None and any(max(g.width * g.height, sum(im.width * im.height for im in g.images)) > max_pixels for g in gifs):
+        raise ValueError("an image is too large")
     by: dict[int, list[Image]] = {}
     for g in gifs:
         for im in g.images:
@@ -352,7 +370,7 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount((p[:, 0] >> 6 << 4) | (p[:, 1] >> 6 << 2) | p[:, 2] >> 6, minlength=64)
 
 
-def gif_frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
+def gif_frames(df: DataFrame, id_col: str, media_col: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """doc_id, frame, start_ms, delay_ms, width, height, pixels (RGBA), colours (64 counts) and error, one row a frame."""
     schema = "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, pixels binary, colours array<long>, error string"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -366,7 +384,7 @@ def gif_frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 rows, at = [], 0
                 try:
                     gif = parse_gif(media.as_py())
-                    decode_samples([gif])
+                    decode_samples([gif], max_pixels)
                     for k, (im, canvas) in enumerate(composed(gif)):
                         rows.append((doc, k, at, im.delay * 10, gif.width, gif.height, canvas.tobytes(), histogram(canvas).tolist(), None))
                         at += im.delay * 10
@@ -397,22 +415,28 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return stored(id_and_text(df, id_col, text_col).mapInArrow(write, "doc_id long, n_bytes long, media binary"), "gif-media")
 
 
-def read_texts(media: DataFrame) -> DataFrame:
-    """What the stored media hold, and their features."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FRAME = "struct<frame:int,start_ms:long,delay_ms:long,width:int,height:int,colours:array<long>>"
+_FRAME = pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("colours", pa.list_(pa.int64()))])
+
+
+def stored_frames(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, digests of what the stored media hold, and `frames`, their timed frames with colour histograms: written to the shared folder and reread."""
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<{FRAME}>"
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"]
+    types = [*[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(_FRAME)]
 
     def rows(ids, sizes, media):
         gifs = [parse_gif(m) for m in media]
         decode_samples(gifs)
         for doc, n, m, gif in zip(ids, sizes, media, gifs):
-            payload, colours = [], np.zeros(16, np.int64)
-            for im, canvas in composed(gif):
-                grey = np.ascontiguousarray(canvas[im.top : im.top + im.height, im.left : im.left + im.width, 0])
-                payload.append(grey.tobytes())
-                colours += np.bincount(grey.ravel() >> 4, minlength=16)
+            payload, frames, at = [], [], 0
+            for k, (im, canvas) in enumerate(composed(gif)):
+                shown = np.ascontiguousarray(canvas[im.top : im.top + im.height, im.left : im.left + im.width])
+                payload.append(samples_of(shown))
+                frames.append({"frame": k, "start_ms": at, "delay_ms": 10 * im.delay, "width": im.width, "height": im.height, "colours": histogram(shown)})
+                at += 10 * im.delay
             data = b"".join(payload)
-            feature = f"frames={len(gif.images)};ms={10 * sum(im.delay for im in gif.images)};grey16=" + ",".join(map(str, colours.tolist()))
-            yield doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature
+            yield doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), frames
 
     def read(batches):
         for b in batches:
@@ -421,14 +445,22 @@ def read_texts(media: DataFrame) -> DataFrame:
             for i in range(len(ids) + 1):
                 if i == len(ids) or held >= TOGETHER:
                     if i > start:
-                        columns = list(zip(*rows(ids[start:i], sizes[start:i], media[start:i])))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in columns], [x.split()[0] for x in schema.split(", ")])
+                        columns = zip(*rows(ids[start:i], sizes[start:i], media[start:i]))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
                     start, held = i, 0
                 if i < len(ids):
                     held += sizes[i] + WIDTH
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
+    return stored(media.select("doc_id", "n_bytes", "media").mapInArrow(read, schema), "gif-frames")
+
+
+def described(frames: DataFrame) -> DataFrame:
+    """The digests of stored_frames, and `feature`: the number of frames, how long they show, and all their colours that occur (number:pixels)."""
+    colours = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 64), lambda held, f: F.zip_with(held, f["colours"], lambda a, b: a + b))
+    listed = F.filter(F.transform(colours, lambda n, k: F.when(n > 0, F.concat_ws(":", k.cast("string"), n.cast("string")))), lambda x: x.isNotNull())
+    shown = F.aggregate("frames", F.lit(0).cast("long"), lambda at, f: F.greatest(at, f["start_ms"] + f["delay_ms"]))
+    return frames.withColumn("feature", F.concat(F.lit("frames="), F.size("frames").cast("string"), F.lit(";ms="), shown.cast("string"), F.lit(";colours="), F.array_join(listed, ","))).drop("frames")
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_texts(store_texts(table(spark, sf_dir, "documents")))
+    return described(stored_frames(store_texts(table(spark, sf_dir, "documents"))))
