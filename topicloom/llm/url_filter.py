@@ -7,11 +7,12 @@ Bloom filter of the listed keys; level 2 one of the unlisted keys that level 1 l
 listed keys that level 2 lets through; and so on until nothing is let through wrongly. A key of the universe is
 listed exactly if the first level that turns it away is an even one (or, if none does, if the number of levels is
 odd). There is one cascade for blocking rules and one for allowing rules; of a url's listed candidates the longest
-decides, and urls without one are allowed.
+decides (of equally long ones the first in order), and urls without one are allowed.
 
-Filters are built in distributed form (each task makes a partial bit array, arrays are merged by bitwise or) and
-have a checked size; lists whose filters would pass max_filter_bytes use a shuffled left-semi join on the keys
-instead (`listed_by_join`). Keys are held as two independent 64-bit hashes.
+Rules are given as Rule objects or, for long lists, as a table (host, path, allow). Filters are built in distributed
+form (each task makes a partial bit array, arrays are merged by bitwise or) and have a checked size: if one would pass
+max_filter_bytes, or two keys had the same hashes, the urls are judged by joins with the listed keys instead
+(`judged_by_join`), with the same result. Keys are held as two independent 64-bit hashes.
 
 A null url, one without `://` or one with an empty host has no candidates that match and is allowed. Repeated rows
 are judged alike. An empty table gives an empty result. Other columns are not carried.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, table
+from .common import checkpointed, col, join_classes, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_LEVELS = 64
@@ -161,21 +162,37 @@ def build_cascade(universe: DataFrame, max_filter_bytes: int = 64 << 20) -> Casc
     return Cascade(levels)
 
 
-def listed_by_join(candidates: DataFrame, listed: DataFrame) -> DataFrame:
-    """The way beyond max_filter_bytes: candidates (with a column key) that are listed, by a shuffled join."""
-    return candidates.join(listed.hint("merge"), "key", "left_semi")
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
+    """key, n (length of the path) and blocked of each rule; of a host and path given twice the blocking rule counts."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.host, r.path, r.allow) for r in rules], "host string, path string, allow boolean")
+    return rules.groupBy(F.concat("host", "path").alias("key"), F.length("path").alias("n")).agg((~F.bool_and("allow")).alias("blocked"))
 
 
-def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", max_filter_bytes: int = 64 << 20) -> DataFrame:
+def judged_by_join(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """key and blocked of the longest listed key of each row that has one. rows: row, keys; listed: key, blocked, n (urls that have the key)."""
+    candidates = rows.select("row", F.explode("keys").alias("key"))
+    found = join_classes(candidates, listed, ["key"])
+    return found.groupBy("row").agg(F.min_by(F.struct("key", "blocked"), F.struct(-F.length("key"), "key")).alias("found")).select("row", "found.*")
+
+
+def filter_urls(df: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, id_col: str = "page_id", url_col: str = "url", max_filter_bytes: int = 64 << 20) -> DataFrame:
     """page_id, host, path, rule and verdict for every row of df."""
-    lengths = sorted({len(r.path) for r in rules})
+    listed = checkpointed(rule_table(df.sparkSession, rules))
+    lengths = [r[0] for r in listed.select("n").distinct().orderBy("n").collect()]  # a row for each length of a path
     urls = df.select(col(id_col).alias("page_id"), col(url_col).cast("string").alias("url"))
     parts = urls.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    key = F.col("key")
-    universe = keyed.select(F.explode("keys").alias("key")).distinct().select(*[h.alias(n) for h, n in zip(hashes(key), ("h1", "h2"))], key.isin([r.text for r in rules if not r.allow]).alias("blocked"), key.isin([r.text for r in rules if r.allow]).alias("allowed"))
-    universe = checkpointed(universe)
-    cascades = {name: build_cascade(universe.withColumn("listed", F.col(name)), max_filter_bytes) for name in ("blocked", "allowed")}
+    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>"))
+    counted = keyed.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    marked = counted.join(listed.select("key", "blocked").hint("merge"), "key", "left")  # one row for each key of the universe
+    universe = checkpointed(marked.select("key", "n", "blocked", *[h.alias(x) for h, x in zip(hashes(F.col("key")), ("h1", "h2"))]))
+    try:
+        cascades = {name: build_cascade(universe.select("h1", "h2", F.coalesce(is_it, F.lit(False)).alias("listed")), max_filter_bytes) for name, is_it in (("blocked", F.col("blocked")), ("allowed", ~F.col("blocked")))}
+    except ArithmeticError:  # OverflowError is one
+        rows = checkpointed(keyed.withColumn("row", F.monotonically_increasing_id()))
+        judged = judged_by_join(rows, universe.filter("blocked is not null").select("key", "blocked", "n"))
+        verdict = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
+        return rows.drop("keys").join(judged.hint("merge"), "row", "left").select("page_id", "host", "path", F.col("key").alias("rule"), verdict.alias("verdict"))
     shipped = df.sparkSession.sparkContext.broadcast(cascades)
 
     def judge(batches):
