@@ -12,7 +12,8 @@ md5(seed:epoch:id), that fits the remainder. A prefix ends between ids, so a lea
 the next document. Running sums are made in two steps, over at most 65,536 hash buckets of a leaf and within a
 bucket, so no leaf is gathered in one task.
 
-A text's tokens are its UTF-8 bytes div 4, plus 1. Null domain, language or source count as empty strings, null ids
+A child of weight 0 is left out: it has no capacity and gets nothing, and neither does a family of such children.
+Weights are whole numbers of 0 or more; others are an error. A text's tokens are its UTF-8 bytes div 4, plus 1. Null domain, language or source count as empty strings, null ids
 as empty too; rows that repeat an id are taken together or not at all. A source with budget 0 gives nothing. An
 empty table gives an empty result. Other columns are kept, in m_row.
 """
@@ -41,6 +42,10 @@ class Mix:
     sources: dict[str, int] = field(default_factory=dict)
     default: int = 5
 
+    def __post_init__(self) -> None:
+        if any(not isinstance(w, int) or w < 0 for w in (self.default, *self.domains.values(), *self.languages.values(), *self.sources.values())):
+            raise ValueError("weights are whole numbers of 0 or more")
+
 
 def domain_of(source: Column) -> Column:
     """The domain of a source: sources named src<number> are dealt to four domains by number, others are `other`."""
@@ -56,12 +61,12 @@ def _weight(names: Column, weights: dict[str, int], default: int) -> Column:
 
 
 def divide(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
-    """Adds `part`, each child's part of its parent's `budget`: children have `weight` and `capacity`."""
+    """Adds `part`, each child's part of its parent's `budget`: children have `weight` and `capacity`, both 0 or neither."""
     family = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = family.orderBy(F.col("capacity") / F.col("weight"), name)
+    order = family.orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(0.0), name)
     before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_weight = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = (F.col("budget") - F.col("before")) / F.col("open_weight")
+    level = F.when(F.col("open_weight") > 0, (F.col("budget") - F.col("before")) / F.col("open_weight")).otherwise(0.0)
     settled = nodes.withColumn("before", before).withColumn("open_weight", open_weight).withColumn("level", level).withColumn("full", F.col("capacity") <= F.col("level") * F.col("weight")).withColumn("place", F.row_number().over(order))
     shared = F.min(F.when(~F.col("full"), F.struct("place", "level"))).over(family)["level"]
     return settled.withColumn("shared", shared).withColumn("part", F.when(F.col("full"), F.col("capacity").cast("double")).otherwise(F.col("shared") * F.col("weight"))).drop("before", "open_weight", "level", "full", "place", "shared")
@@ -69,14 +74,16 @@ def divide(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Adds `allowed`, the token budget of each leaf (m_domain, m_lang, m_source, tokens)."""
-    capacity = F.sum("tokens") * mix.max_epochs
-    top = leaves.groupBy("m_domain").agg(capacity.alias("capacity"))
+    weigh = lambda nodes, name, weights: nodes.withColumn("weight", _weight(F.col(name), weights, mix.default)).withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0)))
+    low = weigh(leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs), "m_source", mix.sources)
+    middle = weigh(low.groupBy("m_domain", "m_lang").agg(F.sum("capacity").alias("capacity")), "m_lang", mix.languages)
+    top = weigh(middle.groupBy("m_domain").agg(F.sum("capacity").alias("capacity")), "m_domain", mix.domains)
+    # A node without capacity has no weight either, and leaves below it none that counts.
+    live = lambda nodes: nodes.withColumn("weight", F.when(F.col("capacity") > 0, F.col("weight")).otherwise(F.lit(0)))
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * mix.share).cast("double").alias("budget"))
-    top = divide(top.crossJoin(F.broadcast(total)).withColumn("weight", _weight(F.col("m_domain"), mix.domains, mix.default)), [], "m_domain")  # one row is joined to all
-    middle = leaves.groupBy("m_domain", "m_lang").agg(capacity.alias("capacity")).join(top.select("m_domain", F.col("part").alias("budget")), "m_domain")
-    middle = divide(middle.withColumn("weight", _weight(F.col("m_lang"), mix.languages, mix.default)), ["m_domain"], "m_lang")
-    low = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs).join(middle.select("m_domain", "m_lang", F.col("part").alias("budget")), ["m_domain", "m_lang"])
-    low = divide(low.withColumn("weight", _weight(F.col("m_source"), mix.sources, mix.default)), ["m_domain", "m_lang"], "m_source")
+    top = divide(live(top).crossJoin(F.broadcast(total)), [], "m_domain")  # one row is joined to all
+    middle = divide(live(middle).join(top.select("m_domain", F.col("part").alias("budget")), "m_domain"), ["m_domain"], "m_lang")
+    low = divide(live(low).join(middle.select("m_domain", "m_lang", F.col("part").alias("budget")), ["m_domain", "m_lang"]), ["m_domain", "m_lang"], "m_source")
     return low.select(*LEAF, "tokens", F.floor("part").cast("long").alias("allowed"))
 
 
