@@ -1,7 +1,7 @@
 """Packing: vector bin packing of token pieces by the dot-product heuristic.
 
-Every text is tokenised and closed with an end id; texts longer than a sequence are cut at multiples of its
-capacity. A piece has a demand in three dimensions: tokens, segments (one) and loss-bearing tokens. Sequences are
+Every text is tokenised and closed with an end id, and cut where a piece would pass the limit on tokens or that on
+loss-bearing tokens. A piece has a demand in three dimensions: tokens, segments (one) and loss-bearing tokens. Sequences are
 filled one at a time: of the open pieces that fit in every dimension the one whose demand has the largest dot
 product with what is left of the sequence, both measured in capacities and weighted by the mean demand, goes in; if
 none fits the sequence is closed. So large pieces go first and a dimension that runs short counts more.
@@ -10,6 +10,10 @@ Pieces are packed in blocks of `block` consecutive ones (by row number in id ord
 no key can make one large, and the result does not depend on partitions. At most the last sequences of a block stay
 part empty. Null texts count as empty and still give their end id. Null ids come first; repeated rows are packed
 each. An empty table gives an empty result. Other columns are not carried.
+
+`documents` has no loss mask, so the query states one: the first PROMPT ids of a document are its prompt and bear no
+loss. With LOSS loss-bearing tokens to a sequence, the later pieces of long documents are closed by that limit and
+filled up with prompts and short documents; SEGMENTS closes sequences of many tiny documents.
 """
 
 from __future__ import annotations
@@ -22,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small, table, with_row_number
+from .common import checkpointed, col, small, small_batches, table, with_row_number
 from .tokens import encoder, vocabulary
 
+#: The query's limits: ids of a prompt, and loss-bearing tokens and segments of a sequence.
+PROMPT, LOSS, SEGMENTS = 64, 4032, 128
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 
 
@@ -48,15 +55,12 @@ def pack_vectors(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_pieces(df: DataFrame, capacity: int, end_id: int, vocab: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
-    """Pieces of at most `capacity` ids. prompt_col: how many first ids of a document bear no loss (null or absent: none)."""
-    from .common import col
-
-    base = id_and_text(df, id_col, text_col)
-    if prompt_col is not None:
-        base = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), F.coalesce(col(prompt_col).cast("long"), F.lit(0)).alias("prompt"))
-    else:
-        base = base.withColumn("prompt", F.lit(0).cast("long"))
+def token_pieces(df: DataFrame, capacity: int, end_id: int, vocab: str, id_col: str = "doc_id", text_col: str = "text", prompt: str | int = 0, max_loss: int | None = None) -> DataFrame:
+    """Pieces of at most `capacity` ids and max_loss loss-bearing ones. prompt: how many first ids of a document bear no loss, a number or a column (null: none)."""
+    small_batches(df.sparkSession)
+    first = F.greatest(F.coalesce(col(prompt).cast("long"), F.lit(0)), F.lit(0)) if isinstance(prompt, str) else F.lit(prompt).cast("long")
+    base = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), first.alias("prompt"))
+    most = capacity if max_loss is None else max_loss
 
     def cut(batches):
         enc = encoder(vocab)
@@ -64,9 +68,11 @@ def token_pieces(df: DataFrame, capacity: int, end_id: int, vocab: str, id_col:
             rows = []
             for doc, prompt, ids in zip(b.column("doc_id").to_pylist(), b.column("prompt").to_pylist(), enc.encode(b.column("text"))):
                 raw, n = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes(), len(ids) + 1
-                for start in range(0, n, capacity):
-                    length = min(capacity, n - start)
+                start = 0
+                while start < n:
+                    length = min(capacity, n - start, max(0, prompt - start) + most)
                     rows.append((doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, min(length, max(0, start + length - prompt))))
+                    start += length
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss"])
 
@@ -75,7 +81,7 @@ def token_pieces(df: DataFrame, capacity: int, end_id: int, vocab: str, id_col:
 
 def pack(pieces: DataFrame, capacity: int = 4096, max_segments: int = 256, max_loss: int = 4096, block: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces; no sequence passes any of the three limits."""
-    numbered, _ = with_row_number(pieces, ["doc_id", "start", "length", "ids_crc32"], "__row")
+    numbered, _ = with_row_number(checkpointed(pieces), ["doc_id", "start", "length", "ids_crc32"], "__row")
     limits = np.array([capacity, max_segments, max_loss], float)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,8 +97,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, max_segments: int = 256, max_l
     return blocks.groupBy("__block").applyInPandas(place, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, capacity: int = 4096, end_id: int = 2, vocab: str | None = None, **limits) -> DataFrame:
-    return pack(token_pieces(df, capacity, end_id, vocab or vocabulary()), capacity, **limits)
+def pack_documents(df: DataFrame, capacity: int = 4096, end_id: int = 2, vocab: str | None = None, prompt: str | int = PROMPT, max_segments: int = SEGMENTS, max_loss: int = LOSS, block: int = 4096) -> DataFrame:
+    return pack(token_pieces(df, capacity, end_id, vocab or vocabulary(), prompt=prompt, max_loss=max_loss), capacity, max_segments, max_loss, block)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
