@@ -1,14 +1,17 @@
 """Token files: Re-Pair grammar compression of token ids, shard by shard, with random access.
 
-A shard holds the ids of consecutive documents in id order, at most about `shard_tokens` of them. It is compressed
-by rounds: the pairs of neighbouring symbols are counted over the whole shard, every pair that occurs often enough
-becomes a nonterminal (most frequent first, up to `rules_per_round`), and its occurrences are replaced left to
-right. No rule crosses the end of a document. Later rounds also pair nonterminals, so rules nest. A shard stores
+A shard holds the ids of consecutive documents in id order, at most about `shard_tokens` of them. It is compressed in
+rounds: the pairs of neighbouring symbols are counted over the whole shard, those about half as frequent as the most
+frequent one or more become nonterminals together, and their occurrences are replaced, the more frequent pair's first where two overlap. Rounds go on until no
+pair occurs LEAST times; a rule for rarer ones takes more room than it saves, as it also widens the numbers of all
+symbols. No rule crosses the end of a document. Later rounds also pair nonterminals, so rules nest. A shard stores
 
-    magic, counts | rules (left, right) | expansion length of every nonterminal | documents (id, symbols, ids) | symbols
+    magic, counts | rules of each round | rules (left, right) | expansion length of every nonterminal
+    | documents (id, symbols, ids) | symbols
 
-all little-endian; with the expansion lengths a reader finds the symbol that covers any token position without
-expanding what lies before it (`Shard.tokens`).
+all little-endian, rules and symbols in as many bits as the largest symbol needs. From the documents' lengths a reader
+finds the documents that cover a token position, and from the expansion lengths the symbols in them, without reading or
+expanding what lies before (`Shard.tokens`).
 
 Shards are rows of a Parquet table in the shared folder, so a task that is lost and run again leaves no half file.
 Null texts count as empty and keep their end id. Null ids come first; rows that repeat an id are ordered by a hash of
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,57 +32,99 @@ from pyspark.sql import functions as F
 from .common import id_and_text, partitions, small, stored, table
 from .tokens import encoder, vocabulary
 
-MAGIC = b"RPAIR1\0\0"
-_HEAD = struct.Struct("<8sIIIII")
+MAGIC = b"RPAIR2\0\0"
+_HEAD = struct.Struct("<8sIIIIII")
 SHARD = "part int, first_token long, n_tokens long, n_documents int, payload binary"
+#: Pairs that occur less often get no rule: files are smallest so (README).
+LEAST = 8
 
 
-def _frequent(code: np.ndarray, usable: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The codes that occur at least `least` times, most frequent first (ties: smallest code)."""
+def _counted(code: np.ndarray, usable: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent codes, ascending, and how often they occur: those with at least half the count of the fullest hash slot, or less where none has, down to `least`."""
     bins = 1 << 18
     slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
     slot[~usable] = bins
-    heavy = np.bincount(slot, minlength=bins + 1) >= least  # holds every frequent code
-    heavy[bins] = False
-    found, counts = np.unique(code[heavy[slot]], return_counts=True)
-    often = counts >= least
-    found, counts = found[often], counts[often]
-    return found[np.lexsort((found, -counts))[:most]]
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, rules_per_round: int = 2048, least: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, first nonterminal) of the ids; ends: True at the last id of each document."""
-    base = int(ids.max()) + 1 if len(ids) else 1
-    symbols, last, rules = ids.astype(np.uint32), ends, np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        chosen = _frequent(code, ~last[:-1], least, rules_per_round)
+    held = np.bincount(slot, minlength=bins + 1)
+    held[bins] = 0
+    bound = max(least, int(held.max()) // 2)
+    while True:
+        found, counts = np.unique(code[(held >= bound)[slot]], return_counts=True)  # a slot that holds a frequent code is as full
+        often = counts >= bound
+        if often.any() or bound == least:
+            return found[often], counts[often]
+        bound = max(least, bound // 2)
+
+
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Of positions in a row every other one: which of ascending positions can be replaced together."""
+    run = np.append(True, np.diff(at) > 1) if len(at) else np.empty(0, bool)
+    first = at[np.nonzero(run)[0]][np.cumsum(run) - 1] if len(at) else at
+    return (at - first) % 2 == 0
+
+
+def _occurrences(code: np.ndarray, usable: np.ndarray, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chosen pairs (ascending) are replaced, and which of them each is: of two that overlap the more frequent pair's."""
+    starts = np.zeros(int(code.max() >> np.uint64(32)) + 1, bool)  # a symbol that never starts a chosen pair is passed over before the search
+    starts[(chosen >> np.uint64(32)).astype(np.int64)] = True
+    maybe = np.nonzero(starts[(code >> np.uint64(32)).astype(np.int64)] & usable)[0]
+    place = np.minimum(np.searchsorted(chosen, code[maybe]), len(chosen) - 1)
+    hit = chosen[place] == code[maybe]
+    at, rule = maybe[hit], place[hit]
+    rank = np.empty(len(chosen), np.int64)
+    rank[np.lexsort((chosen, -counts))] = np.arange(len(chosen))
+    own, close = rank[rule], np.diff(at) == 1
+    taken = np.ones(len(at), bool)
+    taken[1:] &= ~close | (own[1:] < own[:-1])
+    taken[:-1] &= ~close | (own[:-1] < own[1:])
+    return at[taken], rule[taken]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(symbols, rules of each round, whether a symbol ends a document) of the ids; ends: True at the last id of each document."""
+    names = int(ids.max()) + 1 if len(ids) else 1
+    symbols, last, rounds = ids.astype(np.uint32), ends, []
+    known, named = np.empty(0, np.uint64), np.empty(0, np.int64)  # pairs that have a rule, ascending, and their nonterminals
+    while len(symbols) > 1:
+        code, usable = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], ~last[:-1]
+        same = np.nonzero(usable & (symbols[:-1] == symbols[1:]))[0]  # overlaps itself: it counts as often as it can be replaced
+        usable[same[~_alternate(same)]] = False
+        chosen, counts = _counted(code, usable, least)
         if not len(chosen):
             break
-        order = np.argsort(chosen)
-        ranked = chosen[order]
-        # A symbol that never starts a chosen pair is passed over before the search.
-        starts = np.zeros(int(symbols.max()) + 1, bool)
-        starts[(chosen >> np.uint64(32)).astype(np.int64)] = True
-        maybe = np.nonzero(starts[symbols[:-1]] & ~last[:-1])[0]
-        place = np.minimum(np.searchsorted(ranked, code[maybe]), len(ranked) - 1)
-        hit = ranked[place] == code[maybe]
-        at, rule = maybe[hit], order[place[hit]]
-        run = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs every other one is taken
-        first = at[np.nonzero(run)[0]][np.cumsum(run) - 1]
-        taken = (at - first) % 2 == 0
-        at, rule = at[taken], rule[taken]
+        at, rule = _occurrences(code, usable, chosen, counts)
+        often = np.bincount(rule, minlength=len(chosen)) >= least  # pairs that lost too many places to others wait; the most frequent loses none
+        at, rule, chosen = at[often[rule]], (np.cumsum(often) - 1)[rule[often[rule]]], chosen[often]
+        place = np.minimum(np.searchsorted(known, chosen), max(0, len(known) - 1))
+        old = known[place] == chosen if len(known) else np.zeros(len(chosen), bool)
+        number = names + np.cumsum(~old) - 1
+        number[old] = named[place[old]]
         symbols = symbols.copy()
-        symbols[at] = (base + len(rules) + rule).astype(np.uint32)
+        symbols[at] = number[rule].astype(np.uint32)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         last = last.copy()
         last[at] = last[at + 1]
-        symbols, last = symbols[keep], last[keep]
-        rules = np.concatenate([rules, np.column_stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)]).astype(np.uint32)])
-    return symbols, rules, last
+        symbols, last, new = symbols[keep], last[keep], chosen[~old]
+        if len(new):
+            order = np.argsort(np.concatenate([known, new]), kind="stable")
+            known, named = np.concatenate([known, new])[order], np.concatenate([named, number[~old]])[order]
+            rounds.append(np.column_stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
+            names += len(new)
+    return symbols, rounds, last
+
+
+def _bits(values: np.ndarray, width: int) -> bytes:
+    """Numbers of `width` bits end to end, lowest bit first."""
+    return np.packbits((values[:, None] >> np.arange(width, dtype=np.uint32) & np.uint32(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
+def _numbers(packed: np.ndarray, width: int, first: int, count: int) -> np.ndarray:
+    """`count` numbers of `width` bits (32 at most), from number `first` on."""
+    bit = (first + np.arange(count, dtype=np.int64)) * width
+    byte, out = bit >> 3, np.zeros(count, np.uint64)
+    for k in range((width + 14) // 8):
+        out |= packed[np.minimum(byte + k, len(packed) - 1)].astype(np.uint64) << np.uint64(8 * k)
+    return (out >> (bit & 7).astype(np.uint64) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
 def pack_shard(docs: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -86,23 +132,24 @@ def pack_shard(docs: list[int | None], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     ends = np.zeros(len(flat), bool)
     ends[np.cumsum(sizes) - 1] = True
-    symbols, rules, last = compress(flat, ends)
+    symbols, rounds, last = compress(flat, ends)
     base = int(flat.max()) + 1 if len(flat) else 1
-    lengths = np.ones(base + len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[base + i] = lengths[a] + lengths[b]
+    lengths = np.ones(base, np.uint32)
+    for rules in rounds:  # a rule names symbols of earlier rounds only
+        lengths = np.concatenate([lengths, lengths[rules[:, 0]] + lengths[rules[:, 1]]])
+    rules = np.concatenate([np.empty((0, 2), np.uint32), *rounds])
+    width = max(1, (base + len(rules) - 1).bit_length())
     per_doc = np.diff(np.concatenate([[-1], np.nonzero(last)[0]])).astype("<u4")
-    wide = 2 if base + len(rules) <= 1 << 16 else 4
     names = np.array([d if d is not None else 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs)
-    head = _HEAD.pack(MAGIC, base, len(rules), len(docs), len(symbols), wide)
-    return b"".join([head, rules.astype("<u4").tobytes(), lengths[base:].astype("<u4").tobytes(), names, per_doc.tobytes(), sizes.astype("<u4").tobytes(), symbols.astype(f"<u{wide}").tobytes()])
+    head = _HEAD.pack(MAGIC, base, len(rounds), len(rules), len(docs), len(symbols), width)
+    return b"".join([head, np.array([len(r) for r in rounds], "<u4").tobytes(), _bits(rules.ravel(), width), lengths[base:].astype("<u4").tobytes(), names, per_doc.tobytes(), sizes.astype("<u4").tobytes(), _bits(symbols, width)])
 
 
 class Shard:
-    """A stored shard, opened for reading."""
+    """A stored shard, opened for reading. Only what is asked for is decoded."""
 
     def __init__(self, payload: bytes):
-        magic, self.base, n_rules, n_docs, n_symbols, wide = _HEAD.unpack_from(payload)
+        magic, self.base, n_rounds, n_rules, n_docs, self.n_symbols, self.width = _HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("this is no shard")
         at = _HEAD.size
@@ -113,45 +160,65 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules, self.lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
+        self.rounds = take("<u4", n_rounds).astype(np.int64)
+        self._rules = take("u1", -(-2 * n_rules * self.width // 8))
+        self.lengths = take("<u4", n_rules)
         names, missing = take("<i8", n_docs), take("u1", n_docs)
         self.docs = [None if m else d for d, m in zip(names.tolist(), missing.tolist())]
         self.doc_symbols, self.doc_tokens = take("<u4", n_docs).astype(np.int64), take("<u4", n_docs).astype(np.int64)
-        self.symbols = take(f"<u{wide}", n_symbols)
+        self._symbols = take("u1", -(-self.n_symbols * self.width // 8))
+        self._first_symbol, self._first_token = (np.concatenate([[0], np.cumsum(x)]) for x in (self.doc_symbols, self.doc_tokens))
+
+    @cached_property
+    def rules(self) -> np.ndarray:
+        return _numbers(self._rules, self.width, 0, 2 * len(self.lengths)).reshape(-1, 2) if len(self.lengths) else np.empty((0, 2), np.int64)
+
+    @cached_property
+    def _grammar(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The length of every symbol's expansion, where it starts in the text of all expansions, and that text."""
         lengths = np.concatenate([np.ones(self.base, np.int64), self.lengths.astype(np.int64)])
-        starts = np.concatenate([np.arange(self.base), self.base + np.concatenate([[0], np.cumsum(self.lengths.astype(np.int64))])[:-1]]) if n_rules else np.arange(self.base)
-        text = np.empty(self.base + int(self.lengths.sum()), np.uint32)
-        text[: self.base] = np.arange(self.base)
-        for i, (a, b) in enumerate(self.rules.tolist()):  # a rule names earlier symbols only
-            s, m = int(starts[self.base + i]), int(lengths[a])
-            text[s : s + m] = text[starts[a] : starts[a] + m]
-            text[s + m : s + int(lengths[self.base + i])] = text[starts[b] : starts[b] + lengths[b]]
-        self._lengths, self._starts, self._text = lengths, starts, text
-
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        n = self._lengths[symbols]
-        ends = np.cumsum(n)
-        return self._text[np.repeat(self._starts[symbols] - ends + n, n) + np.arange(ends[-1])] if len(symbols) else np.empty(0, np.uint32)
+        starts = np.cumsum(lengths) - lengths
+        text, done = np.arange(self.base, dtype=np.uint32), 0
+        for n in self.rounds.tolist():
+            own = self.rules[done : done + n].ravel()
+            text, done = np.concatenate([text, _expanded(own, lengths, starts, text)]), done + n
+        return lengths, starts, text
+
+    def symbols(self, first: int, stop: int) -> np.ndarray:
+        return _numbers(self._symbols, self.width, first, stop - first) if stop > first else np.empty(0, np.int64)
 
     def all_tokens(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        return _expanded(self.symbols(0, self.n_symbols), *self._grammar)
 
     def document(self, i: int) -> np.ndarray:
-        first = int(self.doc_symbols[:i].sum())
-        return self._expand(self.symbols[first : first + int(self.doc_symbols[i])])
+        return _expanded(self.symbols(int(self._first_symbol[i]), int(self._first_symbol[i + 1])), *self._grammar)
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
-        """Ids start..stop-1 of the shard; only the symbols that cover them are expanded."""
-        ends = np.cumsum(self._lengths[self.symbols])
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-        skipped = int(ends[a - 1]) if a else 0
-        return self._expand(self.symbols[a:b])[start - skipped : stop - skipped]
+        """Ids start..stop-1 of the shard: only the documents that cover them are looked at, and only the symbols in reach expanded."""
+        stop = min(stop, int(self._first_token[-1]))
+        if start >= stop:
+            return np.empty(0, np.uint32)
+        a, b = int(np.searchsorted(self._first_token, start, "right")) - 1, int(np.searchsorted(self._first_token, stop, "left"))
+        symbols, skipped = self.symbols(int(self._first_symbol[a]), int(self._first_symbol[b])), int(self._first_token[a])
+        ends = skipped + np.cumsum(self._grammar[0][symbols])
+        p, q = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+        skipped = int(ends[p - 1]) if p else skipped
+        return _expanded(symbols[p:q], *self._grammar)[start - skipped : stop - skipped]
+
+
+def _expanded(symbols: np.ndarray, lengths: np.ndarray, starts: np.ndarray, text: np.ndarray) -> np.ndarray:
+    if not len(symbols):
+        return np.empty(0, np.uint32)
+    n = lengths[symbols]
+    ends = np.cumsum(n)
+    return text[np.repeat(starts[symbols] - ends + n, n) + np.arange(ends[-1])]
 
 
 def write_shards(df: DataFrame, vocab: str, end_id: int, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table of shards, stored and reread. Its parts ascend by id; first_token counts within a part."""
-    docs = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))  # a range key is sampled to the driver, so it is no text
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    # A range key is sampled to the driver, so the tie is no text; the place lets repeated rows be split over partitions.
+    docs = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc(), F.col("place").asc()]
     parts = docs.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def encode(batches):
