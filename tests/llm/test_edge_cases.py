@@ -32,7 +32,7 @@ OPERATORS = {
     "mixing": lambda df: mixing.mix(df),
     "quality": lambda df: quality.score_quality(df, quality.fit(*_examples())),
     "exact_dedup": lambda df: exact_dedup.exact_duplicates(df),
-    "gif": lambda df: gif.read_texts(gif.store_texts(df)),
+    "gif": lambda df: gif.described(gif.stored_frames(gif.store_texts(df))),
     "secrets": lambda df: secrets.scan_secrets(df),
 }
 
@@ -93,6 +93,22 @@ def test_stages(spark, data, stage):
         assert ids == [-1, 2, 4, 5, 5, 6, 7]
     if stage == "near_dedup":
         assert 3 in ids and 6 not in ids and ids.count(4) == 1
+    if stage == "quality":
+        from test_corpus_operators import plain_score
+
+        model = fitted_on(spark, df, data)
+        assert ids == sorted(-1 if r[0] is None else r[0] for r in ROWS if plain_score(model, r[1]) >= 0.3)
+    if stage == "mixing":
+        assert set(ids) <= {-1 if r[0] is None else r[0] for r in ROWS} and sum(len((r["text"] or "").encode()) // 4 + 1 for r in rows) <= 0.8 * sum(len((r[1] or "").encode()) // 4 + 1 for r in ROWS)
+        assert ids.count(4) in (0, 2) and ids.count(5) in (0, 1, 2)  # rows that repeat an id in a leaf go together
+    if stage == "packing":
+        assert {-1 if r[0] is None else r[0] for r in ROWS} == set(ids)
+        want = sorted(len(x) + 1 for x in tokens.encoder(VOCAB).encode(__import__("pyarrow").array([r[1] for r in ROWS])))
+        assert sum(want) == sum(r["length"] for r in rows) and sorted(r["doc_tokens"] for r in rows if r["start"] == 0) == want
+
+
+def fitted_on(spark, df, data):
+    return quality.train(quality.id_and_text(df, "doc_id", "text"), spark.read.parquet(f"{data}/labels.parquet"))
 
 
 def test_labels_missing(spark):
@@ -102,22 +118,92 @@ def test_labels_missing(spark):
     assert quality.score_quality(docs, quality.train(docs, none.limit(0))).count() == len(ROWS)
 
 
+def mixed_by_hand(docs, plan):
+    """The ids that the mixing stage takes of docs (doc_id: text, lang, source): budgets shared out by exact fractions, level by level, then prefixes."""
+    import hashlib
+    from fractions import Fraction
+
+    tokens = {d: len((t or "").encode()) // 4 + 1 for d, (t, _, _) in docs.items()}
+    leaf = {d: (f"domain{int(s[3:]) % 4}" if s and s[:3] == "src" and s[3:].isdigit() else "other", lang or "", s or "") for d, (_, lang, s) in docs.items()}
+    capacity = {}
+    for d, path in leaf.items():
+        for k in (1, 2, 3):
+            capacity[path[:k]] = capacity.get(path[:k], 0) + tokens[d] * plan.max_epochs
+
+    def share(parent, budget, weights):
+        open_ = {p: weights.get(p[-1], plan.default) for p in capacity if len(p) == len(parent) + 1 and p[: len(parent)] == parent}
+        parts = {}
+        while open_:
+            level = budget / sum(open_.values())
+            full = [p for p, w in open_.items() if capacity[p] <= level * w]
+            if not full:
+                return parts | {p: level * w for p, w in open_.items()}
+            for p in full:
+                parts[p] = Fraction(capacity[p])
+                budget -= capacity[p]
+                del open_[p]
+        return parts
+
+    taken = {}
+    total = int(sum(tokens.values()) * plan.share)
+    for domain, own in share((), Fraction(total), plan.domains).items():
+        for lang, below in share(domain, own, plan.languages).items():
+            for path, budget in share(lang, below, plan.sources).items():
+                mine = [d for d in leaf if leaf[d] == path]
+                whole = min(int(budget) // sum(tokens[d] for d in mine), plan.max_epochs)
+                rest = int(budget) - whole * sum(tokens[d] for d in mine) if whole < plan.max_epochs else 0
+                used = 0
+                for d in sorted(mine, key=lambda d: hashlib.md5(f"{plan.seed}:{whole}:{d}".encode()).hexdigest()):
+                    used += tokens[d]
+                    taken[d] = whole + (used <= rest)
+    return taken
+
+
 def test_pipeline_against_brute_force(spark, data):
-    """Every stage's decisions on the whole small corpus."""
+    """Every stage's result on the whole small corpus is computed again by hand from its own input."""
     import duckdb
-
-    out = corpus_pipeline.run(spark, data).toPandas()
-    docs = duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall()
-    text = dict(docs)
-    kept = set(out["doc_id"])
-    low = lambda s: s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    assert len({low(text[d]) for d in kept}) == len(kept)
-    shingles = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d in kept if (w := low(text[d]).split()) is not None}
-    alike = [(a, b) for a in kept for b in kept if a < b and len(shingles[a] & shingles[b]) >= 0.9 * len(shingles[a] | shingles[b])]
-    assert not alike
-    assert (out.groupby("sequence_id")["length"].sum() <= 4096).all()
+    import numpy as np
+    import pyarrow as pa
+    from test_corpus_operators import fitted, library_ids, plain_score
+
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{data}/documents.parquet")
+    names = docs.columns
+    held = {r["doc_id"]: r for r in docs.collect()}
+    low = lambda s: (s or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+    def step(name, want):
+        nonlocal docs, held
+        docs = corpus_pipeline.stored(stages[name](spark, docs, data), "by-hand")
+        got = docs.collect()
+        assert docs.columns == names and sorted(r["doc_id"] for r in got) == sorted(want), name
+        assert all(r == held[r["doc_id"]] for r in got)
+        assert 0 < len(want) < len(held), name
+        held = {r["doc_id"]: r for r in got}
+
+    model = fitted(spark, data)
     labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{data}/labels.parquet'").fetchall())
-    assert all(labels.get(d, 1) for d in kept)
+    step("quality", [d for d, r in held.items() if plain_score(model, r["text"]) >= 0.3])
+    assert all(labels.get(d, 1) for d in held)
+    last = {}
+    for d in sorted(held):
+        last[low(held[d]["text"])] = d
+    step("exact_dedup", list(last.values()))
+    step("near_dedup", list(_first_of_components({d: r["text"] for d, r in held.items()})))
+    step("mixing", [d for d, n in mixed_by_hand({d: (r["text"], r["lang"], r["source"]) for d, r in held.items()}, corpus_pipeline.MIX).items() if n])
+
+    out = stages["packing"](spark, docs, data).toPandas()
+    ids = dict(zip(held, library_ids([r["text"] or "" for r in held.values()], 2)))
+    for d, own in out.sort_values("start").groupby("doc_id"):
+        cuts = np.append(own["start"].to_numpy(), len(ids[d]))
+        assert cuts[0] == 0 and own["length"].tolist() == np.diff(cuts).tolist()
+        assert own["ids_crc32"].tolist() == [__import__("zlib").crc32(ids[d][a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    assert set(out["doc_id"]) == set(ids) and pa.array(out["sequence_id"]).null_count == 0
+    for _, own in out.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 4096
+        assert len(own) <= packing.SEGMENTS and own["loss"].sum() <= packing.LOSS
+    run = corpus_pipeline.run(spark, data).toPandas()
+    key = ["doc_id", "start"]
+    assert run.sort_values(key, ignore_index=True).equals(out.sort_values(key, ignore_index=True))
 
 
 def test_registered_queries_read_all(spark, data):
