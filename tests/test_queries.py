@@ -34,6 +34,6 @@ def test_entry(spark):
 
 def test_members_of_the_whole_join(spark, con, data):
     """Queries without SQL read every lineitem row."""
-    joined = "FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey"
+    joined = "FROM lineitem JOIN part ON p_partkey = l_partkey"
     parts = QUERIES["split_concept_parts"](spark, data)
-    assert {(r["concept"], r["key"]) for r in parts.collect()} == set(con.sql(f"SELECT DISTINCT p_type, p_brand {joined}").fetchall())
+    assert {(r["concept"], r["key"]) for r in parts.collect()} == set(con.sql(f"SELECT DISTINCT p_brand, p_size::VARCHAR {joined}").fetchall())

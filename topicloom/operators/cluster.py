@@ -196,7 +196,7 @@ def table_topics(choices: DataFrame) -> DataFrame:
 
 
 def running_sections(lines: DataFrame, start: str, end: str) -> DataFrame:
-    """line_no, value, section of the lines between start and end markers. lines: line_no, value."""
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one text file is read in order
+    """File, line_no, value, section of the lines between start and end markers. lines: file, line_no, value. Each file is read in order, files beside each other."""
+    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.withColumn("section", F.sum((F.col("value") == start).cast("int")).over(order)).withColumn("ended", F.sum((F.col("value") == end).cast("int")).over(order))
-    return marked.filter((F.col("section") > F.col("ended")) & (F.col("value") != start)).select("line_no", "value", "section")
+    return marked.filter((F.col("section") > F.col("ended")) & (F.col("value") != start)).select("file", "line_no", "value", "section")

@@ -38,6 +38,23 @@ def learned_topics(mapping: DataFrame, guiding: str) -> DataFrame:
     return mapping.select(F.col("attr").alias("topic")).unionAll(mapping.select("topic")).distinct().select(F.lit(guiding).alias("dataset"), "topic")
 
 
+def evaluate_runs(predicted: DataFrame, ground: DataFrame, original: DataFrame) -> DataFrame:
+    """E5: method, plan, precision, recall, new_topics of every method on every plan, all runs in one plan.
+
+    predicted: method, plan, dataset, topic; ground and original: plan, dataset, topic; a plan's tables are those that
+    its ground truth names. Sizes of 0 count as -1, as in precision_recall; new topics are counted by table.
+    """
+    pairs = predicted.select("method", "plan", "dataset", "topic").distinct()
+    true = ground.select("plan", "dataset", "topic").distinct()
+    tables = true.groupBy("plan").agg(F.count("*").alias("size"), F.count_distinct("dataset").alias("tables"))
+    right = true.withColumn("right", F.lit(1))
+    had = original.select("plan", "dataset", "topic").distinct().withColumn("had", F.lit(1))
+    scope = true.select("plan", "dataset").distinct().withColumn("scope", F.lit(1))
+    marked = pairs.join(right, ["plan", "dataset", "topic"], "left").join(had, ["plan", "dataset", "topic"], "left").join(scope, ["plan", "dataset"], "left")
+    counted = marked.groupBy("method", "plan").agg(F.count("*").alias("n"), F.count("right").alias("correct"), F.sum((F.col("scope").isNotNull() & F.col("had").isNull()).cast("long")).alias("fresh")).join(tables, "plan", "left")
+    return counted.select("method", "plan", (F.col("correct") / F.col("n")).alias("precision"), (F.col("correct") / F.coalesce("size", F.lit(-1))).alias("recall"), F.coalesce(F.col("fresh") / F.col("tables"), F.lit(0.0)).alias("new_topics"))
+
+
 def run_averages(runs: DataFrame, by: list[str]) -> DataFrame:
     """Mean precision, recall and new topics by method and plan."""
     return runs.groupBy(*by).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("new_topics").alias("new_topics"), F.count("*").alias("runs"))

@@ -134,7 +134,7 @@ def topic_sources(added: DataFrame, topic: str) -> DataFrame:
 
 
 def propagate_groups(groups: DataFrame, guiding: str) -> DataFrame:
-    """Dataset, topic: every dataset of a group, and the guiding table, gets the group's name and all its topics. groups: topic, dataset, member_topic."""
+    """Dataset, topic: every dataset of a group, and the guiding table, gets the group's name and all its topics. groups: topic, dataset, member_topic (null: the dataset brings none)."""
     datasets = groups.select("topic", "dataset").unionAll(groups.select("topic", F.lit(guiding).alias("dataset"))).distinct()
-    topics = groups.select("topic", F.col("member_topic").alias("given")).unionAll(groups.select("topic", F.col("topic").alias("given"))).distinct()
+    topics = groups.filter("member_topic is not null").select("topic", F.col("member_topic").alias("given")).unionAll(groups.select("topic", F.col("topic").alias("given"))).distinct()
     return datasets.join(topics, "topic").select("dataset", F.col("given").alias("topic")).distinct()

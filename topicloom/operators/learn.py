@@ -11,15 +11,17 @@ from typing import Protocol
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.similarity import name_similarity
 from topicloom.functions.text import character_features
 
+from .lexicon import path_similarity
+from .matchers import phrase_similarity
 from .numbering import with_position
 from .pairs import all_pairs
-from .profile import hashed_sample
+from .profile import hashed_sample, rarest_values
 
 
 class Classifier(Protocol):
@@ -50,6 +52,12 @@ def training_data(tables: dict[str, DataFrame], mapping: DataFrame, sample: int
     return labelled.select(F.xxhash64("dataset", "__row", "ordinal").alias("row_id"), F.col("attr").alias("name"), F.coalesce("value", F.lit("NA")).alias("value"), "class")
 
 
+def training_frame(stats: DataFrame, k: int = 5) -> DataFrame:
+    """dataset, attr, row, value: a column's frame: its name as row 0 and its k rarest values, filled up with the first."""
+    values = rarest_values(stats, k)
+    return values.select("dataset", "attr", F.posexplode(F.concat(F.array("attr"), "vals")).alias("row", "value"))
+
+
 def folds(rows: DataFrame, k: int = 2, by: str = "class", order: str = "row_id") -> DataFrame:
     """`fold`: contiguous k-th parts of each class, in order."""
     placed = with_position(rows, by, order, "__pos", "__n")
@@ -97,6 +105,25 @@ class ContextClassifier:
         return every.join(self.scores.select("name", "class", "score"), ["name", "class"], "left").select("row_id", "class", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+class WordNetClassifier(ContextClassifier):
+    """F8: the highest path similarity of the synsets of a name and of a class. names: name, synset; classes: class, synset; closure as of lexicon.ancestors."""
+
+    def __init__(self, names: DataFrame, classes: DataFrame, closure: DataFrame):
+        a, b = names.select("name", F.col("synset").alias("a")).distinct(), classes.select("class", F.col("synset").alias("b")).distinct()
+        met = all_pairs(a, b)
+        scored = met.join(path_similarity(closure, met.select("a", "b").distinct()), ["a", "b"])
+        super().__init__(scored.groupBy("name", "class").agg(F.max("score").alias("score")))
+
+
+class VectorClassifier(ContextClassifier):
+    """the highest cosine of the word vectors (word, vec) of a name and of a class."""
+
+    def __init__(self, names: DataFrame, classes: DataFrame, vectors: DataFrame):
+        one = lambda df, c: df.select(F.col(c).alias("id"), F.col(c).alias("text")).distinct()
+        scored = phrase_similarity(one(names, "name"), one(classes, "class"), vectors)
+        super().__init__(scored.select(F.col("left_id").alias("name"), F.col("right_id").alias("class"), "score"))
+
+
 class NeighbourClassifier:
     """The three training names nearest by Levenshtein distance vote with a third each."""
 
@@ -183,6 +210,16 @@ def meta_weights(scores: DataFrame, truth: DataFrame, classifiers: list[str]) ->
     return scores.sparkSession.createDataFrame(rows, "class string, classifier string, weight double")
 
 
+def save_weights(weights: DataFrame, path: str) -> None:
+    """keeps learned weights (class, classifier, weight) as a table."""
+    weights.write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> DataFrame:
+    """weights as they were saved."""
+    return spark.read.schema("class string, classifier string, weight double").parquet(path)
+
+
 def predicted_mapping(rows: DataFrame, scores: DataFrame, weights: DataFrame, most: int = 100) -> DataFrame:
     """Name, class: the best class of each column by the mean over at most 100 rows of weighted scores. scores: row_id, class, classifier, score."""
     taken = hashed_sample(rows.select("row_id", "name"), ["name"], "row_id", most)

@@ -174,6 +174,12 @@ def enrich(names: DataFrame, synset: DataFrame, lemma: DataFrame, hypernym: Data
     return joined.select("dataset", "name", "synset", F.sort_array(s).alias("source_words"), F.sort_array(t).alias("target_words"), F.sort_array(o).alias("overlap"))
 
 
+def enrich_missing(names: DataFrame, done: DataFrame, synset: DataFrame, lemma: DataFrame, hypernym: DataFrame, antonym: DataFrame) -> DataFrame:
+    """The contexts that are there already (as of enrich) and those of names that have none yet; only these are made."""
+    fresh = names.join(done.select("dataset", "name").distinct(), ["dataset", "name"], "left_anti")
+    return done.unionByName(enrich(fresh, synset, lemma, hypernym, antonym))
+
+
 def sentence_words(texts: DataFrame) -> DataFrame:
     """Id, sentence, position, word: sentences end at . ! ? followed by white space; brackets go and _ is a blank."""
     plain = F.translate(F.regexp_replace("text", r"[\[\](){}]", ""), "_", " ")
@@ -181,6 +187,16 @@ def sentence_words(texts: DataFrame) -> DataFrame:
     return cut.select("id", "sentence", F.posexplode(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"), F.lit(0))).alias("position", "word"))
 
 
+def parts_of_speech(words: DataFrame, lemma: DataFrame) -> DataFrame:
+    """Words with `base` and `pos` (n, v, a or r): the part of speech of the word's first sense in the lexicon, as it is or, for nouns, as a singular; of equal ones noun, verb, adjective, adverb in this order. Unknown words are nouns. A tagger can be put in its place."""
+    forms = words.select("word").distinct().select("word", F.explode(F.array(F.lower("word"), singular(F.lower("word")))).alias("lemma")).distinct()
+    found = forms.join(lemma.select("lemma", "pos", "sense_no"), "lemma").filter((F.col("lemma") == F.lower("word")) | (F.col("pos") == "n"))
+    order = Window.partitionBy("word").orderBy("sense_no", F.array_position(F.array(*map(F.lit, "nvar")), F.col("pos")), "lemma")
+    first = found.withColumn("n", F.row_number().over(order)).filter("n = 1").select("word", F.col("lemma").alias("base"), "pos")
+    tagged = words.join(first, "word", "left")
+    return tagged.withColumns({"base": F.coalesce("base", singular(F.lower("word"))), "pos": F.coalesce("pos", F.lit("n"))})
+
+
 def nouns(words: DataFrame, lemma: DataFrame) -> DataFrame:
     """Words (with their singular as `base`) that the lexicon knows as nouns. A tagger can be put in its place."""
     based = words.withColumn("base", singular(F.lower("word")))

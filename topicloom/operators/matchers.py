@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.similarity import array_cosine, character_cosine, composite, name_similarity
 from topicloom.functions.text import is_int
 
 from .pairs import all_pairs, salted_join
-from .profile import head_sample, term_frequencies
+from .profile import head_limit, head_sample, term_frequencies
 
 
 def name_matrix(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def confidence(rows_source: int, rows_target: int, ratio: float = 0.01, least: i
     return taken[0] * taken[1] / (rows_source * rows_target)
 
 
+def confidence_column(rows_source: Column, rows_target: Column, ratio: float = 0.01, least: int = 10, most: int = 100) -> Column:
+    """A17 for columns of row counts."""
+    taken = head_limit(rows_source, ratio, least, most) * head_limit(rows_target, ratio, least, most)
+    return F.when(rows_source * rows_target > 0, taken / (rows_source * rows_target)).otherwise(0.0)
+
+
 def document_cosine(left: DataFrame, right: DataFrame, factor: float = 2.0) -> DataFrame:
     """left_id, right_id, score: cosine of term frequencies; shared words count `factor` times in both.
 

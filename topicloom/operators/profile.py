@@ -154,6 +154,18 @@ def eligible_datasets(tagged: DataFrame, declared: DataFrame, excluded: DataFram
     return tagged.select("dataset").distinct().join(enough.select("dataset"), "dataset", "left_semi").join(excluded, "dataset", "left_anti")
 
 
+def guiding_candidates(attrs: DataFrame, topics: DataFrame, least_attrs: int = 10, least_topics: int = 5) -> DataFrame:
+    """Datasets with at least so many attributes (dataset, attr) and topics (dataset, topic)."""
+    many = lambda df, c, n: df.groupBy("dataset").agg(F.count_distinct(c).alias("n")).filter(F.col("n") >= n).select("dataset")
+    return many(attrs, "attr", least_attrs).join(many(topics, "topic", least_topics), "dataset", "left_semi")
+
+
+def open_batches(sections: DataFrame, saved: DataFrame) -> DataFrame:
+    """P10: section, dataset still to be done: those not saved yet, each in the first section that names it."""
+    first = sections.groupBy("dataset").agg(F.min("section").alias("section"))
+    return first.join(saved.select("dataset"), "dataset", "left_anti").select("section", "dataset")
+
+
 def coded_values(attrs: DataFrame, stats: DataFrame) -> DataFrame:
     """Attributes without a domain get their sorted observed values."""
     lists = stats.groupBy("dataset", F.col("attr").alias("name")).agg(F.sort_array(F.collect_set("value")).alias("observed"))

@@ -95,8 +95,9 @@ def discover(topics: DataFrame, vocabulary: DataFrame, attrs: DataFrame, values:
     stats, values, attrs = checkpointed(stats), checkpointed(values), checkpointed(attrs)
     base = KnowledgeBase(checkpointed(initialize(topics, attrs, stats)), None)
     base.cluster = topics.sparkSession.createDataFrame([], "concept string, src_dataset string, src_attr string, tar_dataset string, tar_attr string, score double")
+    fresh_match = base.match  # concepts of earlier rounds have their mappings already
     for _ in range(p.rounds):
-        sim = perform_matching(base.match, values, stats, attrs, p)
+        sim = perform_matching(fresh_match, values, stats, attrs, p)
         found = kb.clusters_from_matrices(sim, p.cluster_score)
         base.cluster = checkpointed(kb.add_to_clusters(base.cluster, found, base.match).select(*base.cluster.columns))
         base = merge(split(base, p.split_threshold), p.merge_threshold)
@@ -107,11 +108,17 @@ def discover(topics: DataFrame, vocabulary: DataFrame, attrs: DataFrame, values:
         owned = checkpointed(kb.in_scope(vocabulary.join(new.select("topic"), "topic", "left_semi"), vocabulary, attrs.select("dataset")).select("dataset", "topic").distinct())
         if _empty(owned):
             break
-        more = initialize(owned, attrs, stats)
-        base.match = checkpointed(kb.upsert(base.match, more, ["concept", "dataset"]))
+        fresh_match = checkpointed(initialize(owned, attrs, stats))
+        base.match = checkpointed(kb.upsert(base.match, fresh_match, ["concept", "dataset"]))
     return base
 
 
+def single_topic(topics: DataFrame, topic: str, attrs: DataFrame, values: DataFrame, stats: DataFrame, p: Params = Params(sample_least=20)) -> DataFrame:
+    """One topic in all tables that have it, matched with all other tables once; samples take 20 rows at least."""
+    base = checkpointed(initialize(topics.filter(F.col("topic") == topic), attrs, stats))
+    return perform_matching(base, values, stats, attrs, p)
+
+
 def toy_run(scores: DataFrame, attrs: DataFrame, values: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Topics against a schema (dataset, row, column, score), the potential matches with their coded values."""
     found = select.potential_matches(scores, "topic", "attribute", threshold)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +52,16 @@ def r6(c: Column, name: str) -> Column:
 
 # ---- profiles -------------------------------------------------------------------------------------------------
 
-PROFILED = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]}
+PROFILED = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+}
 PROFILE_SQL = " UNION ALL ".join(profile_sql(name, columns) for name, columns in PROFILED.items())
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    parts = [profile.column_profile(t(spark, d, name).select(*columns), name) for name, columns in PROFILED.items()]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    """The profile of the five tables, all their columns."""
+    return reduce(DataFrame.unionAll, [profile.column_profile(t(spark, d, name).select(*columns), name) for name, columns in PROFILED.items()])
 
 
 @query(PROFILE_SQL)
@@ -499,7 +503,7 @@ def transfer_topic(spark, d):
     return moved.withColumn("source_dataset", F.array_join("source_dataset", "|"))
 
 
-GROUPS_SQL = "g AS (SELECT DISTINCT o_orderstatus AS topic, o_orderpriority AS dataset, 'm' || (o_custkey % 5) AS member_topic FROM orders WHERE o_custkey % 50 < 7)"
+GROUPS_SQL = "g AS (SELECT DISTINCT o_orderstatus AS topic, o_orderpriority AS dataset, 'm' || (o_custkey % 5) AS member_topic FROM orders)"
 
 
 @query(f"""WITH {GROUPS_SQL}, ds AS (SELECT topic, dataset FROM g UNION SELECT topic, 'guide' FROM g), tp AS (SELECT topic, member_topic AS given FROM g UNION SELECT topic, topic FROM g) SELECT DISTINCT dataset, given AS topic FROM ds JOIN tp USING (topic)""")
@@ -537,36 +541,50 @@ def kb_dataset_topics(spark, d):
     return kb.dataset_topics(_kb2(spark, d).filter("dataset = '1-URGENT'"), "1-URGENT")
 
 
-#: The rows that MEMBERS_SQL reads.
-MEMBER_ROWS = "l_quantity > 45 and l_discount > 0.07"
-MEMBERS_SQL = "mem AS (SELECT DISTINCT p_type AS concept, p_brand AS key, s_nationkey::VARCHAR AS member FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45 AND l_discount > 0.07)"
+MEMBERS_SQL = "mem AS (SELECT DISTINCT p_brand AS concept, p_size::VARCHAR AS key, l_suppkey::VARCHAR AS member FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
-def _members(spark: SparkSession, d: str, rows: str = "true") -> DataFrame:
-    joined = t(spark, d, "lineitem").filter(rows).join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(t(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    return joined.select(F.col("p_type").alias("concept"), F.col("p_brand").alias("key"), F.col("s_nationkey").cast("string").alias("member")).distinct()
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    """Of each brand (concept) and size (key) the suppliers of its parts."""
+    joined = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return joined.select(F.col("p_brand").alias("concept"), F.col("p_size").cast("string").alias("key"), F.col("l_suppkey").cast("string").alias("member")).distinct()
 
 
 @query(f"""WITH {MEMBERS_SQL}, l AS (SELECT concept, key, list(member) AS l FROM mem GROUP BY ALL)
 SELECT concept, a, b, round(CASE WHEN x > 0.5 THEN x ELSE 0 END, 6) AS distance FROM (SELECT p.concept, p.key AS a, q.key AS b, (len(p.l) + len(q.l) - 2 * len(list_intersect(p.l, q.l))) / (len(p.l) + len(q.l)) AS x FROM l p JOIN l q ON p.concept = q.concept AND p.key < q.key)""")
 def split_distance(spark, d):
-    return cluster.split_distances(_members(spark, d, MEMBER_ROWS)).withColumn("distance", F.round("distance", 6))
+    return cluster.split_distances(_members(spark, d)).withColumn("distance", F.round("distance", 6))
+
+
+SOURCES_SQL = """src AS (SELECT DISTINCT p_type AS concept, p_type || p_brand AS key, l_suppkey::VARCHAR AS member FROM lineitem JOIN part ON p_partkey = l_partkey), o AS (SELECT key, member FROM src UNION SELECT key, 's' || key FROM src), s AS (SELECT key, count(*) AS n FROM o GROUP BY 1),
+close AS (SELECT a, b, c / sqrt(x.n * y.n) AS cosine FROM (SELECT p.key AS a, q.key AS b, count(*) AS c FROM o p JOIN o q ON p.member = q.member AND p.key < q.key GROUP BY ALL) JOIN s x ON x.key = a JOIN s y ON y.key = b WHERE 1 - c / sqrt(x.n * y.n) <= 0.017 + 1e-12)"""
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers of the parts of each type (concept) and brand (source)."""
+    joined = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    key = F.concat("p_type", "p_brand")
+    return joined.select(F.col("p_type").alias("concept"), key.alias("key"), F.concat(F.lit("s"), key).alias("source"), F.col("l_suppkey").cast("string").alias("member")).distinct()
 
 
-@query(f"""WITH {MEMBERS_SQL}, o AS (SELECT DISTINCT concept || key AS key, member FROM mem UNION SELECT DISTINCT concept || key, 's' || key FROM mem), s AS (SELECT key, count(*) AS n FROM o GROUP BY 1)
-SELECT a, b, round(c / sqrt(x.n * y.n), 6) AS cosine FROM (SELECT p.key AS a, q.key AS b, count(*) AS c FROM o p JOIN o q ON p.member = q.member AND p.key < q.key GROUP BY ALL) JOIN s x ON x.key = a JOIN s y ON y.key = b WHERE 1 - c / sqrt(x.n * y.n) <= 0.3 + 1e-12""")
+@query(f"WITH {SOURCES_SQL} SELECT a, b, round(cosine, 6) AS cosine FROM close")
 def merge_cosine_pairs(spark, d):
-    members = _members(spark, d, MEMBER_ROWS).select(F.concat("concept", "key").alias("key"), F.concat(F.lit("s"), "key").alias("source"), "member")
-    return cluster.merge_pairs(members, 0.3).withColumn("cosine", F.round("cosine", 6))
+    return cluster.merge_pairs(_sources(spark, d), 0.017).withColumn("cosine", F.round("cosine", 6))
 
 
-LINKS_SQL = "lk AS (SELECT DISTINCT least(l_partkey, l_suppkey + 1000000) AS a, greatest(l_partkey, l_suppkey + 1000000) AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)"
+@query(f"""WITH RECURSIVE {SOURCES_SQL}, e AS (SELECT a, b FROM close UNION SELECT b, a FROM close), reach AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT node, b FROM reach JOIN e ON a = seen), r AS (SELECT node AS key, min(seen) AS root FROM reach GROUP BY 1),
+n AS (SELECT DISTINCT root, key, concept FROM r JOIN src USING (key)), m AS (SELECT root, string_agg('+' || concept, '' ORDER BY key, concept) AS new_concept FROM n GROUP BY 1) SELECT key, concept, new_concept FROM n JOIN m USING (root)""")
+def merged_concepts(spark, d):
+    return cluster.merge_concepts(_sources(spark, d), 0.017)
+
 
+LINKS_SQL = "lk AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem), e AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk)"
 
-@query(f"""WITH RECURSIVE {LINKS_SQL}, e AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), reach AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS root FROM reach GROUP BY node""")
+
+@query(f"""WITH RECURSIVE {LINKS_SQL}, cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION (SELECT e.b, min(cc.root) FROM cc JOIN e ON e.a = cc.node JOIN recurring.cc AS old ON old.node = e.b WHERE cc.root < old.root GROUP BY e.b)) SELECT node, root FROM cc""")
 def connected_components(spark, d):
-    links = t(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
-    return cluster.connected(links)
+    """Parts and suppliers, linked by every lineitem."""
+    return cluster.connected(t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct())
 
 
 TREE_SQL = "h AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, 'world' FROM region)"
@@ -699,10 +717,14 @@ def matrix_pivot(spark, d):
 # ---- queries that SQL does not express ------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b, x.n_name AS u, y.n_name AS v, list_distinct(string_split(x.n_name || y.n_name, '')) AS l FROM nation x, nation y WHERE x.n_nationkey < y.n_nationkey),
+c AS (SELECT a, b, list_transform(l, lambda c: (length(u) - length(replace(u, c, '')))::DOUBLE) AS x, list_transform(l, lambda c: (length(v) - length(replace(v, c, '')))::DOUBLE) AS y FROM p),
+e AS (SELECT a || '-' || b AS id, list_sum(list_transform(list_zip(x, y), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(x, lambda z: z * z))) * sqrt(list_sum(list_transform(y, lambda z: z * z)))) AS value FROM c),
+k AS (SELECT 0 AS n, min(value) AS low, max(value) AS high FROM e UNION ALL SELECT n + 1, (SELECT avg(value) FROM e WHERE value <= (low + high) / 2), (SELECT avg(value) FROM e WHERE value > (low + high) / 2) FROM k WHERE n < 20)
+SELECT id, round(value, 6) AS value, (value > (SELECT (low + high) / 2 FROM k WHERE n = 20))::INT AS cluster FROM e""")
 def kmeans_edges(spark, d):
     edges = matchers.attribute_graph(t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
-    return cluster.two_means(edges.select(F.concat_ws("-", "a", "b").alias("id"), F.col("score").alias("value")))
+    return cluster.two_means(edges.select(F.concat_ws("-", "a", "b").alias("id"), F.col("score").alias("value"))).withColumn("value", F.round("value", 6))
 
 
 @query()
@@ -710,12 +732,6 @@ def split_concept_parts(spark, d):
     return cluster.split_concepts(_members(spark, d))
 
 
-@query()
-def merged_concepts(spark, d):
-    members = _members(spark, d).select("concept", F.concat("concept", "key").alias("key"), F.concat(F.lit("s"), "key").alias("source"), "member")
-    return cluster.merge_concepts(members, 0.3)
-
-
 @query()
 def meta_weights(spark, d):
     rows = t(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("name"), F.col("p_name").alias("value"), F.col("p_type").alias("class"))
@@ -750,13 +766,45 @@ def iterative_discovery(spark, d):
     return found.cluster.select("concept", "src_dataset", "src_attr", "tar_dataset", "tar_attr", F.round("score", 4).alias("score"))
 
 
+#: Table, topic, and the lexicon's word that it means.
+TAGS = [("customer", "name", "ring"), ("customer", "account balance", "gear"), ("supplier", "names", "ring"), ("supplier", "money", "gear"), ("supplier", "nation", "plate"), ("part", "brand", "bolt"), ("part", "retail price", "anvil"), ("orders", "status", "red"), ("orders", "account", "blue"), ("lineitem", "price", "anvil"), ("lineitem", "tax", "gizmo"), ("nation", "state", "plate")]
+#: What columns mean, by their names.
+MEANT = {"name": "ring", "acctbal": "gear", "mktsegment": "widget", "nationkey": "plate", "brand": "bolt", "type": "widget", "retailprice": "anvil", "orderstatus": "red", "totalprice": "anvil", "orderdate": "old", "extendedprice": "anvil", "tax": "gizmo", "shipdate": "old"}
+
+
+def star_catalogue(spark: SparkSession, d: str):
+    """The star schema's columns and the tags above, with contexts in the lexicon of part and its closure."""
+    from .guiding import Catalogue
+    from .relation_queries import Lexicon
+
+    columns = [(name, c.partition("_")[2], i) for name in (*TABLES, "nation") for i, c in enumerate(t(spark, d, name).columns)]
+    context = lambda rows: inline(spark, [(n, x, f"{m}.n", [m, x.split()[0]]) for n, x, m in rows], "dataset string, name string, synset string, overlap array<string>")
+    meant = [(n, c, MEANT[c]) for n, c, _ in columns if c in MEANT]
+    return Catalogue(inline(spark, [x[:2] for x in TAGS], "dataset string, topic string"), inline(spark, columns, "dataset string, attr string, ordinal int"), context(TAGS), context(meant), Lexicon(spark, d).closure)
+
+
+@query()
+def local_topics(spark, d):
+    """Every table's columns mapped to all tags, by names and meanings."""
+    from .guiding import local_mapping
+
+    return local_mapping(star_catalogue(spark, d)).drop("source_dataset").withColumn("match_score", F.round("match_score", 6))
+
+
+@query()
+def own_topics(spark, d):
+    """Every table's columns mapped to the table's own tags; the winner of the matchers counts."""
+    from .guiding import local_mapping
+
+    return local_mapping(star_catalogue(spark, d), every_topic=False).drop("source_dataset").withColumn("match_score", F.round("match_score", 6))
+
+
 @query()
 def guiding_expansion(spark, d):
-    """The whole of entry B over the star schema's tables, by names."""
-    from .guiding import Catalogue, expand
+    """The whole of entry B over the star schema's tables."""
+    from .guiding import expand
 
-    attrs = inline(spark, [(n, tx_clean, i) for n, i, _, tx_clean in ATTRS], "dataset string, attr string, ordinal int")
-    topics = inline(spark, [("customer", "name"), ("customer", "account balance"), ("supplier", "names"), ("supplier", "balance"), ("part", "brand"), ("part", "retail price"), ("orders", "status"), ("lineitem", "price")], "dataset string, topic string")
-    return expand(Catalogue(topics, attrs), "customer")[1]
+    return expand(star_catalogue(spark, d), "customer")[1]
 
 
+from . import relation_queries  # noqa: E402,F401  registers its queries here

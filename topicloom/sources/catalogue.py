@@ -38,6 +38,11 @@ def read_csv_table(spark: SparkSession, path: str, index: bool = True) -> DataFr
     return df.drop(df.columns[0]) if index and df.columns else df
 
 
+def csv_resources(links: DataFrame) -> DataFrame:
+    """Dataset and resource (format, data: the file that holds it) of files (dataset, file)."""
+    return links.select("dataset", F.struct(F.lit("csv").alias("format"), F.col("file").alias("data")).alias("resource"))
+
+
 def read_geojson(spark: SparkSession, path: str, flat: bool = True) -> DataFrame:
     """A row for each feature: its properties, in name order and without nested ones if flat, and geometry_type."""
     features = spark.read.json(path, multiLine=True).select(F.explode("features").alias("f"))
