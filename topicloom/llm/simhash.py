@@ -1,7 +1,7 @@
 """SimHash near-duplicates: exact comparison of all fingerprints, tile by tile, with exclusive-or and bit counts.
 
 A text's fingerprint has one bit for each bit of its shingles' hashes: 1 if set in over half of them. Equal
-fingerprints are one node. Nodes are ordered by population count and cut into groups of about `group_size`; two
+fingerprints are one node. Nodes are ordered by population count and cut into groups; two
 groups are compared only if their population counts come within the radius of each other. Inside a pair of groups
 nodes lie in cells by the population counts of their 16-bit quarters, and tiles of cells whose counts differ by more
 than the radius in sum are skipped, as such fingerprints differ in more bits. All other tiles are compared exactly
@@ -21,16 +21,17 @@ columns are not carried. The number of comparisons grows with the square of the
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, NO_ID, bytes_of, checkpointed, id_and_text, keep_rows, partitions, row_key, small, table
+from .common import LOWER_AZ, NO_ID, bytes_of, checkpointed, id_and_text, join_classes, keep_rows, partitions, row_key, small, table
 from .components import components
+from .url_filter import bounded_filter
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
@@ -182,59 +183,72 @@ def _groups(counts: dict[int, int], group_size: int) -> tuple[list[tuple[int, in
     return groups, of
 
 
-def near_duplicate_links(nodes: DataFrame, radius: int, group_size: int = 32768) -> DataFrame:
-    """A forest of links (a0, a1, ..., b0, b1, ...) between distinct fingerprints (f0, f1, ...) that differ in at most radius bits."""
+#: The most fingerprints of a group; a task compares two groups.
+GROUP = 1 << 19
+
+
+def near_duplicate_links(nodes: DataFrame, radius: int, group_size: int = GROUP) -> DataFrame:
+    """A forest of links (a0, a1, ..., b0, b1, ...) between distinct fingerprints (f0, f1, ...) that differ in at most radius bits.
+
+    Groups are as many as give every core a few pairs of them to compare, more only beyond group_size fingerprints
+    each. A group travels once to each of its pairs, and each pair is one task.
+    """
     spark, words = nodes.sparkSession, nodes.columns
     counted = nodes.withColumn("bits", sum((F.bit_count(w) for w in words), F.lit(0)).cast("int"))
     histogram = {r["bits"]: r["count"] for r in counted.groupBy("bits").count().collect()}  # one row for each count of bits
-    groups, of = _groups(histogram, group_size)
+    side = math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))
+    groups, of = _groups(histogram, min(group_size, max(1024, -(-sum(histogram.values()) // side))))
     reach = [max(g[0] for g in groups if g[1] <= hi + radius) for _, _, hi, _ in groups]
     base = F.create_map(*[F.lit(x) for p, (g, _) in sorted(of.items()) for x in (p, g)]) if of else F.create_map(F.lit(0), F.lit(0))
     many = F.create_map(*[F.lit(x) for p, (_, k) in sorted(of.items()) for x in (p, k)]) if of else F.create_map(F.lit(0), F.lit(1))
     grouped = counted.withColumn("g", (F.element_at(base, F.col("bits")) + F.pmod(F.xxhash64(*words), F.element_at(many, F.col("bits")))).cast("int"))
 
-    def blob(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [key[0]], "rows": [np.ascontiguousarray(pdf[words].to_numpy(np.int64)).tobytes()]})
-
-    blobs = checkpointed(grouped.groupBy("g").applyInPandas(blob, "g int, rows binary"))
-    last = spark.createDataFrame([(i, r) for i, r in enumerate(reach)] or [(0, 0)], "g int, last int")  # one row for each group_size fingerprints
-    left = blobs.join(last.hint("merge"), "g").select(F.col("g").alias("a"), F.col("rows").alias("left_rows"), F.explode(F.sequence("g", "last")).alias("g"))
-    pairs = left.join(blobs.hint("merge"), "g").select("a", F.col("g").alias("b"), "left_rows", "rows")
-
+    def blob(key: tuple, group: pa.Table) -> pa.Table:
+        rows = np.column_stack([group.column(w).to_numpy() for w in words]).astype(np.int64)
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "rows": pa.array([rows.tobytes()], pa.binary())})
+
+    blobs = checkpointed(grouped.repartition(max(1, len(groups)), "g").groupBy("g").applyInArrow(blob, "g int, rows binary"))
+    pairs = [(a, b) for a, last in enumerate(reach) for b in range(a, last + 1)]
+    taking: dict[int, list[int]] = {}
+    for number, (a, b) in enumerate(pairs):
+        for g in {a, b}:
+            taking.setdefault(g, []).append(number)
+    dealt = spark.createDataFrame(sorted(taking.items()) or [(0, [0])], "g int, pairs array<int>")  # one row for each group
+    sent = blobs.join(dealt.hint("merge"), "g").select("g", "rows", F.explode("pairs").alias("pair"))
     names = [f"{p}{k}" for p in "ab" for k in range(len(words))]
 
-    def compare(batches):
-        for batch in batches:
-            for a, b, x, y in zip(*(batch.column(i) for i in range(4))):
-                left_rows = np.frombuffer(x.as_py(), np.uint64).reshape(-1, len(words))
-                right_rows = None if a.as_py() == b.as_py() else np.frombuffer(y.as_py(), np.uint64).reshape(-1, len(words))
-                links = tile_forest(left_rows, right_rows, radius)
-                both = left_rows if right_rows is None else np.concatenate([left_rows, right_rows])
-                p, q = both[links[:, 0]].view(np.int64), both[links[:, 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*p.T, *q.T)], names)
+    def compare(group: pa.Table) -> pa.Table:
+        two = sorted(zip(group.column("g").to_pylist(), group.column("rows")), key=lambda x: x[0])
+        sides = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, len(words)) for _, x in two]
+        links = tile_forest(sides[0], sides[1] if len(sides) > 1 else None, radius)
+        both = np.concatenate(sides)
+        p, q = both[links[:, 0]].view(np.int64), both[links[:, 1]].view(np.int64)
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in (*p.T, *q.T)], names=names)
 
-    return pairs.mapInArrow(compare, ", ".join(f"{n} long" for n in names))
+    return sent.repartition(max(1, len(pairs)), "pair").groupBy("pair").applyInArrow(compare, ", ".join(f"{n} long" for n in names))
 
 
 def near_duplicates(df: DataFrame, radius: int = 2, shingle_words: int = 3, fingerprint_words: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, raw, f0, f1, component_id and root (a fingerprint that names the component) for every row of df."""
     marked = checkpointed(fingerprints(df, shingle_words, fingerprint_words, distinct, id_col, text_col))
-    nodes = checkpointed(marked.groupBy("f0", "f1").agg(F.min("doc_id").alias("least")))
+    nodes = checkpointed(marked.groupBy("f0", "f1").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     links = near_duplicate_links(nodes.select("f0", "f1"), radius)
     name = lambda p: F.struct(F.col(f"{p}0").alias("f0"), F.col(f"{p}1").alias("f1"))
     found = components(links.select(name("a").alias("a"), name("b").alias("b")))
     linked = found.select(F.col("node.f0").alias("f0"), F.col("node.f1").alias("f1"), "root").join(nodes, ["f0", "f1"])
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    in_groups = linked.join(smallest, "root").select("f0", "f1", "component_id", "root")
-    classes = nodes.join(in_groups, ["f0", "f1"], "left").select("f0", "f1", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", F.struct("f0", "f1")).alias("root"))
-    return marked.join(classes, ["f0", "f1"]).select("doc_id", "raw", "f0", "f1", "component_id", "root")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    in_groups = join_classes(linked.drop("n"), smallest, ["root"]).select("f0", "f1", "component_id", "root")
+    classes = nodes.join(in_groups, ["f0", "f1"], "left").select("f0", "f1", "n", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", F.struct("f0", "f1")).alias("root"))
+    return join_classes(marked, checkpointed(classes), ["f0", "f1"]).select("doc_id", "raw", "f0", "f1", "component_id", "root")
 
 
 #: Words of the candidate search's fingerprint, and its radius. A pair at Jaccard 0.8 differs in 39 of 256 bits on
 #: average (deviation 5.7), sets of 4 and 5 shingles in 48 (6.2); unrelated texts in 128 (8).
 WORDS, RADIUS = 4, 76
 #: Shingles in a block of sets.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 18
+#: The most bytes of the filter that tells which texts are involved; beyond some millions of texts it lets more others through, which cost a shuffle of their sets.
+FILTER_BYTES = 8 << 20
 
 
 def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
@@ -268,75 +282,94 @@ def set_prints(df: DataFrame, shingle_words: int, id_col: str = "doc_id", text_c
     return id_and_text(df, id_col, text_col).mapInArrow(compute, "doc_id long, raw long, s0 long, s1 long, n long, " + ", ".join(f"f{k} long" for k in range(WORDS)))
 
 
-def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Spanning links between sets (of distinct values) whose Jaccard similarity is at least `similarity`; all shared values are counted."""
+def jaccard_forest(sets: list[np.ndarray], similarity: float, split: int = 0) -> np.ndarray:
+    """Links (rows of two places) that span the sets (sorted, of distinct values) whose Jaccard similarity is at least `similarity`; split: only between the first `split` sets and the others.
+
+    Sets that are so similar share one of their rarest values: of n values, rarest first, the first n - ceil(similarity
+    n) + 1. So only sets that meet there are counted, and those that are not joined yet.
+    """
     m = len(sets)
     size = np.fromiter(map(len, sets), np.int64, m)
     flat = np.concatenate(sets) if m else np.empty(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    owner = np.repeat(np.arange(m), size)[order]  # by value
-    _, which, shared = np.unique(flat, return_inverse=True, return_counts=True)
-    first = np.cumsum(shared) - shared
-    ends = np.cumsum(size)
+    values, code, shared = np.unique(flat, return_inverse=True, return_counts=True)  # codes ascend within each set too
+    owner, start = np.repeat(np.arange(m), size), np.cumsum(size) - size
+    rare = code[np.lexsort((code, shared[code], owner))]
+    early = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    place = np.arange(len(flat)) - np.repeat(start, size)
+    held = np.nonzero((place < np.repeat(early, size)) & (owner >= split))[0]
+    held = held[np.argsort(rare[held], kind="stable")]
+    count = np.bincount(rare[held], minlength=len(values))
+    first, holder = np.cumsum(count) - count, owner[held]
     root, links = np.arange(m), []
-    for i in range(m):
-        open_ = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6)
-        open_[:i] = False
-        if not open_.any():
+
+    def runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    for i in range(split or m):
+        own = rare[start[i] : start[i] + early[i]]
+        near = np.unique(holder[runs(first[own], count[own])])
+        fits = np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i]) - 1e-6
+        near = near[fits & (root[near] != root[i]) & (near > i)]
+        if not len(near):
             continue
-        values = which[ends[i] - size[i] : ends[i]]
-        values = values[shared[values] > 1]
-        n = shared[values]
-        at = np.repeat(first[values] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        common = np.bincount(owner[at], minlength=m)
-        alike = np.nonzero(open_ & (common / np.maximum(size + size[i] - common, 1) >= similarity))[0]
+        mine, theirs = code[start[i] : start[i] + size[i]], code[runs(start[near], size[near])]
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[near]) - size[near])
+        alike = near[common / (size[near] + size[i] - common) >= similarity]
         _, one = np.unique(root[alike], return_index=True)  # one link for each component reached
         links += [(i, int(j)) for j in alike[one]]
         if len(alike):
             joined = np.append(root[alike], root[i])
             root[np.isin(root, joined)] = joined.min()
-    return links
+    return np.array(links, np.int64).reshape(-1, 2)
 
 
 def _verified(df: DataFrame, involved: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
     """Links (blocks, a0, a1, b0, b1) from shingle sets of involved(__id, __raw, comp, block, blocks, s0, s1) to the first set they reach in a pair of blocks of their comp."""
     spark = df.sparkSession
+    keys = involved.select(F.xxhash64("__id", "__raw").alias("h1"), F.xxhash64("__raw", "__id").alias("h2"))
+    wanted = spark.sparkContext.broadcast(bounded_filter(keys, FILTER_BYTES))
     keyed = id_and_text(df, id_col, text_col).select("text", *row_key(F.col("doc_id"), F.col("text")))
-    texts = keyed.join(involved.hint("merge"), ["__id", "__raw"]).select("comp", "block", "blocks", "s0", "s1", "text")
+    hashed = keyed.select("__id", "__raw", F.xxhash64("__id", "__raw").alias("h1"), F.xxhash64("__raw", "__id").alias("h2"), "text")
 
     def sets(batches):
-        for b in small(batches):
-            own = [shingle_set(t, shingle_words).tobytes() for t in bytes_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(own, pa.binary())], ["comp", "block", "blocks", "s0", "s1", "own"])
-
-    def blob(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["s0", "s1"])
-        return pd.DataFrame({"comp": [key[0]], "block": [key[1]], "blocks": [int(pdf["blocks"].iloc[0])], "names": [np.ascontiguousarray(pdf[["s0", "s1"]].to_numpy(np.int64)).tobytes()], "sizes": [pdf["own"].map(len).to_numpy(np.int64).tobytes()], "own": [b"".join(pdf["own"])]})
-
-    made = texts.mapInArrow(sets, "comp long, block int, blocks int, s0 long, s1 long, own binary")
-    blobs = checkpointed(made.groupBy("comp", "block").applyInPandas(blob, "comp long, block int, blocks int, names binary, sizes binary, own binary"))
-    kinds = ["names", "sizes", "own"]
-    alone = blobs.select("blocks", *kinds, *(F.lit(None).cast("binary").alias(f"{c}2") for c in kinds))
-    left = blobs.filter("block < blocks - 1").select("comp", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), "blocks", *kinds)
-    right = blobs.filter("block > 0").select("comp", "block", *(F.col(c).alias(f"{c}2") for c in kinds))
-    pairs = alone.unionAll(left.join(right.hint("merge"), ["comp", "block"]).select("blocks", *kinds, *(f"{c}2" for c in kinds)))
-
-    def compare(batches):
-        for batch in batches:
-            for blocks, *row in zip(*(batch.column(i) for i in range(7))):
-                names, lists = [], []
-                for name, size, own in (row[:3], row[3:]):
-                    if name.is_valid:
-                        names.append(np.frombuffer(name.as_py(), np.int64).reshape(-1, 2))
-                        cuts = np.cumsum(np.frombuffer(size.as_py(), np.int64) // 8)
-                        lists += np.split(np.frombuffer(own.as_py(), np.uint64), cuts[:-1])
-                names, links = np.concatenate(names), np.array(jaccard_forest(lists, similarity), np.int64).reshape(-1, 2)
-                root = forest(links[:, 0], links[:, 1], len(names))
-                inner = np.nonzero(root != np.arange(len(names)))[0]
-                p, q = names[inner], names[root[inner]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inner), blocks.as_py(), np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in (*p.T, *q.T))], ["blocks", "a0", "a1", "b0", "b1"])
-
-    return pairs.repartition(partitions(spark)).mapInArrow(compare, "blocks int, a0 long, a1 long, b0 long, b1 long")
+        """The shingle sets of rows that are involved, or seem to be: few texts leave their partition."""
+        level = wanted.value
+        for b in batches:
+            if level is None or not b.num_rows:
+                continue
+            near = b.filter(pa.array(level.lets_through(b.column("h1").to_numpy(), b.column("h2").to_numpy(), 0)))
+            for part in small([near]):
+                own = [shingle_set(t, shingle_words).tobytes() for t in bytes_of(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__raw"), pa.array(own, pa.binary())], ["__id", "__raw", "own"])
+
+    def blob(key: tuple, group: pa.Table) -> pa.Table:
+        names = np.column_stack([group.column(c).to_numpy() for c in ("s0", "s1")]).astype(np.int64)
+        _, one = np.unique(names, axis=0, return_index=True)
+        own = group.column("own").take(pa.array(one)).to_pylist()
+        columns = [pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([group.column("blocks")[0].as_py()], pa.int32())]
+        return pa.table([*columns, *(pa.array([x], pa.binary()) for x in (names[one].tobytes(), np.array(list(map(len, own)), np.int64).tobytes(), b"".join(own)))], names=["comp", "block", "blocks", "names", "sizes", "own"])
+
+    made = hashed.mapInArrow(sets, "__id long, __raw long, own binary").join(involved.hint("merge"), ["__id", "__raw"]).select("comp", "block", "blocks", "s0", "s1", "own")
+    blobs = checkpointed(made.groupBy("comp", "block").applyInArrow(blob, "comp long, block int, blocks int, names binary, sizes binary, own binary"))
+    # Each block travels once to each pair of blocks that it is part of, itself included.
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q")))
+    sent = blobs.withColumn("pair", F.explode(others)).select("comp", "pair.p", "pair.q", "block", "blocks", "names", "sizes", "own")
+
+    def compare(group: pa.Table) -> pa.Table:
+        names, lists, ends = [], [], [0]
+        for _, name, size, own in sorted(zip(group.column("block").to_pylist(), *(group.column(c) for c in ("names", "sizes", "own"))), key=lambda x: x[0]):
+            names.append(np.frombuffer(name.as_py(), np.int64).reshape(-1, 2))
+            cuts = np.cumsum(np.frombuffer(size.as_py(), np.int64) // 8)
+            lists += np.split(np.frombuffer(own.as_py(), np.uint64), cuts[:-1])
+            ends.append(len(lists))
+        names, links = np.concatenate(names), jaccard_forest(lists, similarity, ends[1] if len(ends) > 2 else 0)
+        root = forest(links[:, 0], links[:, 1], len(names))
+        inner = np.nonzero(root != np.arange(len(names)))[0]
+        p, q = names[inner], names[root[inner]]
+        return pa.table([pa.array(np.full(len(inner), group.column("blocks")[0].as_py(), np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in (*p.T, *q.T))], names=["blocks", "a0", "a1", "b0", "b1"])
+
+    return sent.repartition(partitions(spark), "comp", "p", "q").groupBy("comp", "p", "q").applyInArrow(compare, "blocks int, a0 long, a1 long, b0 long, b1 long")
 
 
 def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -355,7 +388,7 @@ def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, shingle_words:
     found = components(links.select(F.xxhash64(*(f"a{k}" for k in range(WORDS))).alias("a"), F.xxhash64(*(f"b{k}" for k in range(WORDS))).alias("b")))  # equal hashes only cost counting
     near = searched.withColumn("node", F.xxhash64(*words)).join(found, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     several = near.groupBy("comp").agg(F.count("*").alias("many"), F.sum("n").alias("shingles")).filter("many > 1").select("comp", F.ceil(F.col("shingles") / block_shingles).cast("int").alias("blocks"))
-    involved = near.join(several.hint("merge"), "comp").select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("__id"), F.col("first.raw").alias("__raw"), "comp", F.pmod(F.xxhash64("s0", "s1"), "blocks").cast("int").alias("block"), "blocks", "s0", "s1")
+    involved = checkpointed(near.join(several.hint("merge"), "comp").select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("__id"), F.col("first.raw").alias("__raw"), "comp", F.pmod(F.xxhash64("s0", "s1"), "blocks").cast("int").alias("block"), "blocks", "s0", "s1"))
     alike = checkpointed(_verified(df, involved, similarity, shingle_words, id_col, text_col).select("blocks", *(F.struct(F.col(f"{p}0").alias("s0"), F.col(f"{p}1").alias("s1")).alias(p) for p in "ab")))
     rootless = alike.filter("blocks > 1")  # only what took several blocks is left to join up
     roots = alike.filter("blocks = 1").select(F.col("a").alias("node"), F.col("b").alias("root"))

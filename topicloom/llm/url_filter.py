@@ -136,6 +136,12 @@ def _bloom(keys: DataFrame, number: int, count: int, rate: float, max_bytes: int
     return Level(bits, hashes_, words)
 
 
+def bounded_filter(keys: DataFrame, max_bytes: int, rate: float = 0.01) -> Level | None:
+    """A filter of keys (h1, h2) of at most about max_bytes: it lets all of them through, and of others a share `rate`, more where the bytes do not suffice. None without keys."""
+    count = keys.count()
+    return _bloom(keys, 0, count, max(rate, math.exp(-8 * max_bytes / count * math.log(2) ** 2)), max_bytes + 8) if count else None
+
+
 def build_cascade(universe: DataFrame, max_filter_bytes: int = 64 << 20) -> Cascade:
     """universe: h1, h2 and listed, one row for each key."""
     counts = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
