@@ -27,7 +27,7 @@ def col(name: str) -> Column:
 
 
 #: Rows go to Python workers in batches of at most so many bytes.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -21,13 +21,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, col, small, small_batches, table, with_row_number
-from .tokens import encoder, vocabulary
+from .tokens import SLICE_BYTES, encoder, vocabulary
 
 #: The query's limits: ids of a prompt, and loss-bearing tokens and segments of a sequence.
 PROMPT, LOSS, SEGMENTS = 64, 4032, 128
@@ -64,7 +63,7 @@ def token_pieces(df: DataFrame, capacity: int, end_id: int, vocab: str, id_col:
 
     def cut(batches):
         enc = encoder(vocab)
-        for b in small(batches):
+        for b in small(batches, limit=SLICE_BYTES):
             rows = []
             for doc, prompt, ids in zip(b.column("doc_id").to_pylist(), b.column("prompt").to_pylist(), enc.encode(b.column("text"))):
                 raw, n = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes(), len(ids) + 1
@@ -84,17 +83,21 @@ def pack(pieces: DataFrame, capacity: int = 4096, max_segments: int = 256, max_l
     numbered, _ = with_row_number(checkpointed(pieces), ["doc_id", "start", "length", "ids_crc32"], "__row")
     limits = np.array([capacity, max_segments, max_loss], float)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__row", ignore_index=True)
-        demand = np.column_stack([pdf["length"], np.ones(len(pdf)), pdf["loss"]]).astype(float)
-        pdf["bin"] = pack_vectors(demand, limits)
-        pdf = pdf.sort_values(["bin", "__row"], ignore_index=True)
-        pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
-        pdf["sequence_id"] = (pdf["__row"] // block) * block + pdf["bin"]
-        return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss", "sequence_id", "offset"]]
+    def place(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__row")
+        length = group.column("length").to_numpy()
+        demand = np.column_stack([length, np.ones(len(length)), group.column("loss").to_numpy()]).astype(float)
+        bin_ = pack_vectors(demand, limits)
+        order = np.argsort(bin_, kind="stable")
+        ends = np.cumsum(length[order])
+        first = np.nonzero(np.append(True, np.diff(bin_[order]) > 0))[0]
+        offset = np.empty(len(length), np.int64)
+        offset[order] = ends - length[order] - np.repeat((ends - length[order])[first], np.diff(np.append(first, len(length))))
+        sequence = (group.column("__row").to_numpy() // block) * block + bin_
+        return group.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     blocks = numbered.withColumn("__block", F.floor(F.col("__row") / block))
-    return blocks.groupBy("__block").applyInPandas(place, PIECES + ", sequence_id long, offset long")
+    return blocks.groupBy("__block").applyInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, capacity: int = 4096, end_id: int = 2, vocab: str | None = None, prompt: str | int = PROMPT, max_segments: int = SEGMENTS, max_loss: int = LOSS, block: int = 4096) -> DataFrame:

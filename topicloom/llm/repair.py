@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_and_text, partitions, small, stored, table
-from .tokens import encoder, vocabulary
+from .tokens import SLICE_BYTES, encoder, vocabulary
 
 MAGIC = b"RPAIR2\0\0"
 _HEAD = struct.Struct("<8sIIIIII")
@@ -227,7 +227,7 @@ def write_shards(df: DataFrame, vocab: str, end_id: int, shard_tokens: int = 1 <
         def shard():
             return pa.RecordBatch.from_pylist([{"part": part, "first_token": first, "n_tokens": held, "n_documents": len(names), "payload": pack_shard(names, ids)}], schema=pa.schema([("part", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("n_documents", pa.int32()), ("payload", pa.binary())]))
 
-        for b in small(batches):
+        for b in small(batches, limit=SLICE_BYTES):
             part = b.column("part")[0].as_py() if b.num_rows else part
             for doc, own in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 names.append(doc)

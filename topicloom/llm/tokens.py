@@ -17,7 +17,9 @@ import pyarrow as pa
 from .common import flat_utf8
 
 #: Distinct pieces a worker keeps; beyond them it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
+#: Texts are encoded in slices of about so many bytes, for each of which arrays of some 30 bytes are held.
+SLICE_BYTES = 1 << 19
 
 _byte = np.arange(256)
 SPACE, LETTER, SIGN, LEAD, QUOTE = 1, 2, 4, 8, 16
