@@ -12,7 +12,7 @@ different slots. An empty table gives an empty result. Other columns are not car
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +70,9 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 20240, id_col: str = "doc
     sized = id_and_text(df, id_col, text_col).select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     numbered, n = with_row_number(sized, ["doc_id", "size", "text_crc32"])
 
-    @F.pandas_udf("long")
-    def position(rows: pd.Series) -> pd.Series:
-        return pd.Series(permute(rows.to_numpy(), n, seed))
+    @F.arrow_udf("long")
+    def position(rows: pa.Array) -> pa.Array:
+        return pa.array(permute(rows.to_numpy(), n, seed))
 
     at = numbered.withColumn("__position", position("row_no"))
     return at.select("doc_id", "size", "text_crc32", "row_no", (F.col("__position") % shards).cast("int").alias("shard"), F.floor(F.col("__position") / shards).cast("long").alias("slot"))
