@@ -169,6 +169,10 @@ def test_lexicon(spark, lexicon_tables):
     anti = spark.createDataFrame([], "lemma string, antonym string")
     got = lexicon.enrich(names, spark.createDataFrame([("oak.n", "a big tree; hard wood")], "synset string, definition string"), lemma, tree, anti).first()
     assert got["overlap"] == ["big", "tree"] and "oak" not in got["target_words"]
+    done = spark.createDataFrame([("parks", "oak", "kept", ["a"], ["b"], ["c"])], "dataset string, name string, synset string, source_words array<string>, target_words array<string>, overlap array<string>")
+    more = names.unionAll(spark.createDataFrame([("parks", "pine", ["tree"])], names.schema))
+    found = lexicon.enrich_missing(more, done, spark.createDataFrame([("pine.n", "a tree")], "synset string, definition string"), lemma, tree, anti).collect()
+    assert sorted((r["name"], r["synset"]) for r in found) == [("oak", "kept"), ("pine", "pine.n")]
     cover = lexicon.dictionary_coverage(spark.createDataFrame([("oak zzz",)], "topic string"), spark.createDataFrame([("oak",)], "word string"), lemma).first()
     assert (cover["english_percent"], cover["wordnet_percent"], cover["wordnet"]) == (0.5, 0.5, "oak")
 
@@ -220,7 +224,7 @@ def test_layers(spark):
     assert [tuple(r) for r in catalogue.parse_layers(df).orderBy("ordinal").collect()] == [("sde park", 0, "park_name", None, None, None, "esriFieldTypeString"), ("sde park", 1, "kind", "the kind", "coded_values", ["a", "b"], "esriFieldTypeString")]
 
 
-def test_learning(spark):
+def test_learning(spark, tmp_path):
     tables = {"one": pd.DataFrame({"street": ["Main St", "Oak Ave", "Elm St", "Pine Rd"], "year": ["1999", "2004", "2010", "1987"]}), "two": pd.DataFrame({"addr": ["First St", "Lake Rd"], "built": ["1950", None]})}
     mapping = spark.createDataFrame([("one", "street", "road"), ("one", "year", "date"), ("two", "addr", "road"), ("two", "built", "date")], "dataset string, attr string, topic string")
     data = learn.training_data({k: spark.createDataFrame(v) for k, v in tables.items()}, mapping).cache()
@@ -233,6 +237,8 @@ def test_learning(spark):
     both = scores.join(near.predict(data).withColumnRenamed("score", "near"), ["row_id", "class"], "left").na.fill(0.0)
     weights = learn.meta_weights(both, data.select("row_id", "class"), ["chars", "near"])
     assert weights.count() == 4
+    learn.save_weights(weights, str(tmp_path / "weights"))
+    assert rows(learn.load_weights(spark, str(tmp_path / "weights"))) == rows(weights)
     long = both.select("row_id", "class", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("near"), "near")).alias("classifier", "score"))
     mapped = {r["name"]: r["class"] for r in learn.predicted_mapping(data, long, weights).collect()}
     assert mapped["street"] == "road" and mapped["year"] == "date"
@@ -248,6 +254,8 @@ def test_drivers(spark):
     base = iterative.discover(topics, vocabulary, attrs, values, stats, Params(rounds=2, cluster_score=1.0))
     assert ("parks", "trees", "park") in {(r["src_dataset"], r["tar_dataset"], r["tar_attr"]) for r in base.cluster.collect()}
     assert {"parks", "roads"} <= {r["dataset"] for r in base.match.collect()}
+    one = iterative.single_topic(topics, "parks", attrs, values, stats).collect()
+    assert {(r["concept"], r["src_dataset"], r["src_attr"], r["tar_dataset"], r["tar_attr"]) for r in one} == {("parks", "parks", "park name", "trees", "park")}
     c = guiding.Catalogue(spark.createDataFrame([("g", "parks"), ("o", "park"), ("o", "zebra")], "dataset string, topic string"), spark.createDataFrame([("g", "park name", 0), ("o", "parks", 0)], "dataset string, attr string, ordinal int"))
     _, found = guiding.expand(c, "g", Params(rounds=2))
     assert ("g", "park") in {tuple(r) for r in found.collect()} and ("o", "parks") in {tuple(r) for r in found.collect()}

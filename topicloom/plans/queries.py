@@ -766,45 +766,4 @@ def iterative_discovery(spark, d):
     return found.cluster.select("concept", "src_dataset", "src_attr", "tar_dataset", "tar_attr", F.round("score", 4).alias("score"))
 
 
-#: Table, topic, and the lexicon's word that it means.
-TAGS = [("customer", "name", "ring"), ("customer", "account balance", "gear"), ("supplier", "names", "ring"), ("supplier", "money", "gear"), ("supplier", "nation", "plate"), ("part", "brand", "bolt"), ("part", "retail price", "anvil"), ("orders", "status", "red"), ("orders", "account", "blue"), ("lineitem", "price", "anvil"), ("lineitem", "tax", "gizmo"), ("nation", "state", "plate")]
-#: What columns mean, by their names.
-MEANT = {"name": "ring", "acctbal": "gear", "mktsegment": "widget", "nationkey": "plate", "brand": "bolt", "type": "widget", "retailprice": "anvil", "orderstatus": "red", "totalprice": "anvil", "orderdate": "old", "extendedprice": "anvil", "tax": "gizmo", "shipdate": "old"}
-
-
-def star_catalogue(spark: SparkSession, d: str):
-    """The star schema's columns and the tags above, with contexts in the lexicon of part and its closure."""
-    from .guiding import Catalogue
-    from .relation_queries import Lexicon
-
-    columns = [(name, c.partition("_")[2], i) for name in (*TABLES, "nation") for i, c in enumerate(t(spark, d, name).columns)]
-    context = lambda rows: inline(spark, [(n, x, f"{m}.n", [m, x.split()[0]]) for n, x, m in rows], "dataset string, name string, synset string, overlap array<string>")
-    meant = [(n, c, MEANT[c]) for n, c, _ in columns if c in MEANT]
-    return Catalogue(inline(spark, [x[:2] for x in TAGS], "dataset string, topic string"), inline(spark, columns, "dataset string, attr string, ordinal int"), context(TAGS), context(meant), Lexicon(spark, d).closure)
-
-
-@query()
-def local_topics(spark, d):
-    """Every table's columns mapped to all tags, by names and meanings."""
-    from .guiding import local_mapping
-
-    return local_mapping(star_catalogue(spark, d)).drop("source_dataset").withColumn("match_score", F.round("match_score", 6))
-
-
-@query()
-def own_topics(spark, d):
-    """Every table's columns mapped to the table's own tags; the winner of the matchers counts."""
-    from .guiding import local_mapping
-
-    return local_mapping(star_catalogue(spark, d), every_topic=False).drop("source_dataset").withColumn("match_score", F.round("match_score", 6))
-
-
-@query()
-def guiding_expansion(spark, d):
-    """The whole of entry B over the star schema's tables."""
-    from .guiding import expand
-
-    return expand(star_catalogue(spark, d), "customer")[1]
-
-
 from . import relation_queries  # noqa: E402,F401  registers its queries here

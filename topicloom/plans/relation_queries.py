@@ -14,7 +14,7 @@ from topicloom.operators import cluster, evaluate, kb, learn, lexicon, matchers,
 from topicloom.operators.pairs import all_pairs
 from topicloom.sources import catalogue
 
-from .queries import BASE_SQL, PROFILE_SQL, _base, inline, query, r6, stats, t
+from .queries import BASE_SQL, PROFILE_SQL, PROFILED, TABLES, _base, inline, query, r6, stats, t, values_sql
 from .sql import bigram_sql
 
 joined = lambda c: F.array_join(c, "|").alias(c)
@@ -538,3 +538,56 @@ def vector_classifier(spark, d):
     model = learn.VectorClassifier(rows, classes, t(spark, d, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vec")))
     model.fit(classes)
     return model.predict(rows).withColumn("score", F.round("score", 6))
+
+
+# ---- entry B over the star schema -----------------------------------------------------------------------------
+
+#: Table, topic, and the lexicon's word that it means.
+TAGS = [("customer", "name", "ring"), ("customer", "account balance", "gear"), ("supplier", "names", "ring"), ("supplier", "money", "gear"), ("supplier", "nation", "plate"), ("part", "brand", "bolt"), ("part", "retail price", "anvil"), ("orders", "status", "red"), ("orders", "account", "blue"), ("lineitem", "price", "anvil"), ("lineitem", "tax", "gizmo"), ("nation", "state", "plate")]
+#: What columns mean, by their names.
+MEANT = {"name": "ring", "acctbal": "gear", "mktsegment": "widget", "nationkey": "plate", "brand": "bolt", "type": "widget", "retailprice": "anvil", "orderstatus": "red", "totalprice": "anvil", "orderdate": "old", "extendedprice": "anvil", "tax": "gizmo", "shipdate": "old"}
+
+
+def star_catalogue(spark: SparkSession, d: str):
+    """The star schema's columns and the tags above, with contexts in the lexicon of part and its closure."""
+    from .guiding import Catalogue
+    columns = [(name, c.partition("_")[2], i) for name in (*TABLES, "nation") for i, c in enumerate(t(spark, d, name).columns)]
+    context = lambda rows: inline(spark, [(n, x, f"{m}.n", [m, x.split()[0]]) for n, x, m in rows], "dataset string, name string, synset string, overlap array<string>")
+    meant = [(n, c, MEANT[c]) for n, c, _ in columns if c in MEANT]
+    return Catalogue(inline(spark, [x[:2] for x in TAGS], "dataset string, topic string"), inline(spark, columns, "dataset string, attr string, ordinal int"), context(TAGS), context(meant), Lexicon(spark, d).closure)
+
+
+_COLUMNS = [(name, c.partition("_")[2], i) for name, columns in {**TABLES, "nation": PROFILED["nation"]}.items() for i, c in enumerate(columns)]
+STAR_SQL = f"""tags AS (SELECT * FROM {values_sql(TAGS, 'dataset, topic, m')}), cols AS (SELECT * FROM {values_sql(_COLUMNS, 'dataset, attr, ordinal')}), meant AS (SELECT * FROM {values_sql(list(MEANT.items()), 'attr, m')}),
+words AS (SELECT c.dataset, c.attr, g.topic, max(path) AS word FROM cols c JOIN meant USING (attr) JOIN pathed ON a = meant.m || '.n' JOIN tags g ON b = g.m || '.n' GROUP BY ALL),
+shared AS (SELECT attr, topic, max(len(list_intersect([meant.m, attr], [tags.m, split_part(topic, ' ', 1)]))) AS n FROM meant, tags GROUP BY ALL), {bigram_sql("SELECT topic AS a, attr AS b FROM tags, cols")}"""
+
+
+def _mapped_sql(pairs: str, score: str, name: str) -> str:
+    return f"""WITH RECURSIVE {LEX_SQL}, {SIM_SQL}, {STAR_SQL}, p AS (SELECT p.*, s.score AS ngram, coalesce(word, 0) AS wordnet, greatest(coalesce(n, 1), 1) AS overlap FROM ({pairs}) p JOIN sim s ON s.a = topic AND s.b = attr LEFT JOIN words w ON w.dataset = p.dataset AND w.attr = p.attr AND w.topic = p.topic LEFT JOIN shared h ON h.attr = p.attr AND h.topic = p.topic),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset, attr ORDER BY score DESC, ordinal DESC, topic, score_name) AS n FROM (SELECT dataset, attr, topic, ordinal, {score} AS score, {name} AS score_name FROM p) WHERE score > 0.5)
+SELECT dataset, topic AS concept, attr AS attribute, round(score, 6) AS match_score FROM r WHERE n <= 4"""
+
+
+@query(_mapped_sql("SELECT c.dataset, attr, ordinal, topic FROM cols c, (SELECT DISTINCT topic FROM tags)", "0.4::DOUBLE * ngram + 0.6::DOUBLE * wordnet", "CASE WHEN 0.4 * ngram >= 0.6 * wordnet THEN 'ngram' ELSE 'wordnet' END"))
+def local_topics(spark, d):
+    """Every table's columns mapped to all tags, by names and meanings."""
+    from .guiding import local_mapping
+
+    return local_mapping(star_catalogue(spark, d)).drop("source_dataset").withColumn("match_score", F.round("match_score", 6))
+
+
+@query(_mapped_sql("SELECT DISTINCT c.dataset, attr, ordinal, topic FROM cols c JOIN tags USING (dataset)", "CASE WHEN ngram >= wordnet THEN ngram ELSE least(wordnet * overlap, 1) END", "CASE WHEN ngram >= wordnet THEN 'ngram' ELSE 'wordnet' END"))
+def own_topics(spark, d):
+    """Every table's columns mapped to the table's own tags; the winner of the matchers counts."""
+    from .guiding import local_mapping
+
+    return local_mapping(star_catalogue(spark, d), every_topic=False).drop("source_dataset").withColumn("match_score", F.round("match_score", 6))
+
+
+@query()
+def guiding_expansion(spark, d):
+    """The whole of entry B over the star schema's tables."""
+    from .guiding import expand
+
+    return expand(star_catalogue(spark, d), "customer")[1]
