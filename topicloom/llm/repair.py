@@ -1,10 +1,11 @@
 """Token files: Re-Pair grammar compression of token ids, shard by shard, with random access.
 
 A shard holds the ids of consecutive documents in id order, at most about `shard_tokens` of them. It is compressed in
-rounds: the pairs of neighbouring symbols are counted over the whole shard, those about half as frequent as the most
-frequent one or more become nonterminals together, and their occurrences are replaced, the more frequent pair's first where two overlap. Rounds go on until no
-pair occurs LEAST times; a rule for rarer ones takes more room than it saves, as it also widens the numbers of all
-symbols. No rule crosses the end of a document. Later rounds also pair nonterminals, so rules nest. A shard stores
+rounds: the pairs of neighbouring symbols are counted over the whole shard, those at least about a quarter as frequent
+as the most frequent one become nonterminals together, and their occurrences are replaced, the more frequent pair's
+first where two overlap. Rounds go on until no pair occurs LEAST times; a rule for rarer ones takes more room than it
+saves, as it also widens the numbers of all symbols. No rule crosses the end of a document. Later rounds also pair
+nonterminals, so rules nest. A shard stores
 
     magic, counts | rules of each round | rules (left, right) | expansion length of every nonterminal
     | documents (id, symbols, ids) | symbols
@@ -37,22 +38,24 @@ _HEAD = struct.Struct("<8sIIIIII")
 SHARD = "part int, first_token long, n_tokens long, n_documents int, payload binary"
 #: Pairs that occur less often get no rule: files are smallest so (README).
 LEAST = 8
+#: Pairs that are up to so many times rarer than the most frequent one are replaced with it.
+STEP = 4
 
 
 def _counted(code: np.ndarray, usable: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent codes, ascending, and how often they occur: those with at least half the count of the fullest hash slot, or less where none has, down to `least`."""
+    """The most frequent codes, ascending, and how often they occur: those with at least a STEP-th of the count of the fullest hash slot, or less where none has, down to `least`."""
     bins = 1 << 18
     slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
     slot[~usable] = bins
     held = np.bincount(slot, minlength=bins + 1)
     held[bins] = 0
-    bound = max(least, int(held.max()) // 2)
+    bound = max(least, int(held.max()) // STEP)
     while True:
         found, counts = np.unique(code[(held >= bound)[slot]], return_counts=True)  # a slot that holds a frequent code is as full
         often = counts >= bound
         if often.any() or bound == least:
             return found[often], counts[often]
-        bound = max(least, bound // 2)
+        bound = max(least, bound // STEP)
 
 
 def _alternate(at: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from .common import flat_utf8
 
 #: Distinct pieces a worker keeps; beyond them it starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 #: Texts are encoded in slices of about so many bytes, for each of which arrays of some 30 bytes are held.
 SLICE_BYTES = 1 << 19
 
