@@ -42,16 +42,21 @@ LEAST = 8
 STEP = 4
 
 
-def _counted(code: np.ndarray, usable: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent codes, ascending, and how often they occur: those with at least a STEP-th of the count of the fullest hash slot, or less where none has, down to `least`."""
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(32) | right
+
+
+def _counted(left: np.ndarray, right: np.ndarray, usable: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent pairs, ascending, and how often they occur: those with at least a STEP-th of the count of the fullest hash slot, or less where none has, down to `least`."""
     bins = 1 << 18
-    slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
+    slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(14)
     slot[~usable] = bins
     held = np.bincount(slot, minlength=bins + 1)
     held[bins] = 0
     bound = max(least, int(held.max()) // STEP)
     while True:
-        found, counts = np.unique(code[(held >= bound)[slot]], return_counts=True)  # a slot that holds a frequent code is as full
+        full = np.nonzero((held >= bound)[slot])[0]  # a slot that holds a frequent pair is as full
+        found, counts = np.unique(_pairs(left[full], right[full]), return_counts=True)
         often = counts >= bound
         if often.any() or bound == least:
             return found[often], counts[often]
@@ -65,13 +70,16 @@ def _alternate(at: np.ndarray) -> np.ndarray:
     return (at - first) % 2 == 0
 
 
-def _occurrences(code: np.ndarray, usable: np.ndarray, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _occurrences(left: np.ndarray, right: np.ndarray, usable: np.ndarray, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the chosen pairs (ascending) are replaced, and which of them each is: of two that overlap the more frequent pair's."""
-    starts = np.zeros(int(code.max() >> np.uint64(32)) + 1, bool)  # a symbol that never starts a chosen pair is passed over before the search
+    starts, stops = np.zeros(int(left.max()) + 1, bool), np.zeros(int(right.max()) + 1, bool)  # other symbols are passed over before the search
     starts[(chosen >> np.uint64(32)).astype(np.int64)] = True
-    maybe = np.nonzero(starts[(code >> np.uint64(32)).astype(np.int64)] & usable)[0]
-    place = np.minimum(np.searchsorted(chosen, code[maybe]), len(chosen) - 1)
-    hit = chosen[place] == code[maybe]
+    stops[(chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    maybe = np.nonzero(starts[left] & usable)[0]
+    maybe = maybe[stops[right[maybe]]]
+    code = _pairs(left[maybe], right[maybe])
+    place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
+    hit = chosen[place] == code
     at, rule = maybe[hit], place[hit]
     rank = np.empty(len(chosen), np.int64)
     rank[np.lexsort((chosen, -counts))] = np.arange(len(chosen))
@@ -88,13 +96,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.
     symbols, last, rounds = ids.astype(np.uint32), ends, []
     known, named = np.empty(0, np.uint64), np.empty(0, np.int64)  # pairs that have a rule, ascending, and their nonterminals
     while len(symbols) > 1:
-        code, usable = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], ~last[:-1]
-        same = np.nonzero(usable & (symbols[:-1] == symbols[1:]))[0]  # overlaps itself: it counts as often as it can be replaced
+        left, right, usable = symbols[:-1], symbols[1:], ~last[:-1]
+        same = np.nonzero(usable & (left == right))[0]  # overlaps itself: it counts as often as it can be replaced
         usable[same[~_alternate(same)]] = False
-        chosen, counts = _counted(code, usable, least)
+        chosen, counts = _counted(left, right, usable, least)
         if not len(chosen):
             break
-        at, rule = _occurrences(code, usable, chosen, counts)
+        at, rule = _occurrences(left, right, usable, chosen, counts)
         often = np.bincount(rule, minlength=len(chosen)) >= least  # pairs that lost too many places to others wait; the most frequent loses none
         at, rule, chosen = at[often[rule]], (np.cumsum(often) - 1)[rule[often[rule]]], chosen[often]
         place = np.minimum(np.searchsorted(known, chosen), max(0, len(known) - 1))
