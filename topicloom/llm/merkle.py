@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, join_classes, partitions, table, with_row_number
+from .common import HOT_ROWS, checkpointed, col, join_classes, partitions, table, with_row_number
 
 ARITY = 3
 #: Levels of a block.
@@ -108,9 +108,9 @@ def siblings(witness: bytes) -> bytes:
 _APPENDED = "tree binary, block long, pos long, node binary, witness binary, block_root binary"
 
 
-def append_blocks(nodes: DataFrame) -> DataFrame:
-    """nodes: tree, pos (gapless from 0 in each tree), node. Adds block (pos / ARITY ** LEVELS), the node's witness up to its block's root, and that root."""
-    size = ARITY**LEVELS
+def append_blocks(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """nodes: tree, pos (gapless from 0 in each tree), node. Adds block (pos / ARITY ** levels), the node's witness up to its block's root, and that root."""
+    size = ARITY**levels
 
     def stream(batches):
         """Blocks come one after the other, each in order of pos; a block may go over the ends of batches."""
@@ -126,7 +126,7 @@ def append_blocks(nodes: DataFrame) -> DataFrame:
                 if (tree, block) != now:
                     if now is not None:
                         yield close()
-                    now, appender, rows = (tree, block), Appender(), []
+                    now, appender, rows = (tree, block), Appender(levels), []
                 appender.append(node)
                 rows.append((pos, node))
         if now is not None:
@@ -137,13 +137,12 @@ def append_blocks(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(stream, _APPENDED)
 
 
-def grown(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grown(nodes: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(tree, pos, witness up to the tree's root) of every node, and (tree, root) of every tree. nodes: tree, pos, node."""
-    rounds = [checkpointed(append_blocks(nodes))]
+    rounds, size = [checkpointed(append_blocks(nodes, levels))], ARITY**levels
     while (rounds[-1].agg(F.max("block")).first()[0] or 0) > 0:
-        size = ARITY**LEVELS
         roots = rounds[-1].filter(F.col("pos") % size == 0).select("tree", F.col("block").alias("pos"), F.col("block_root").alias("node"))
-        rounds.append(checkpointed(append_blocks(roots)))
+        rounds.append(checkpointed(append_blocks(roots, levels)))
     roots = rounds[-1].filter("pos = 0").select("tree", F.col("block_root").alias("root"))
     above = rounds.pop().select("tree", "pos", "witness")
     for below in reversed(rounds):
@@ -152,27 +151,28 @@ def grown(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return above, roots
 
 
-def positions(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+def positions(rows: DataFrame, by: str, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds pos: the row's place 0, 1, ... in its group, in this order. One range shuffle; groups of very many rows get their first row's number by broadcast."""
     numbered, _ = with_row_number(rows, [by, *order], "m_row")
     first = checkpointed(numbered.groupBy(by).agg(F.min("m_row").alias("m_first"), F.count("*").alias("n")))
-    return join_classes(numbered, first, [by]).withColumn("pos", F.col("m_row") - F.col("m_first")).drop("m_row", "m_first")
+    return join_classes(numbered, first, [by], hot_rows).withColumn("pos", F.col("m_row") - F.col("m_first")).drop("m_row", "m_first", "n")
 
 
-def manifest(df: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "doc_id", group_col: str = "source", **others: Column) -> DataFrame:
+def manifest(df: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "doc_id", group_col: str = "source", levels: int = LEVELS, hot_rows: int = HOT_ROWS, **others: Column) -> DataFrame:
     """m_id, m_group, leaf, witness, subroot and root for every row; others: more columns to carry, such as other versions of the leaf."""
     group = col(group_col).cast("string")
     # The group's key sorts as its bytes do, null first, and tells null from empty text.
     rows = df.select(col(id_col).cast("long").alias("m_id"), group.alias("m_group"), F.when(group.isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), group.cast("binary"))).alias("tree"), leaf([col(c) for c in columns]).alias("node"), *(c.alias(n) for n, c in others.items()))
-    placed = checkpointed(positions(rows, "tree", ["m_id", "node"]))
-    local, subroots = grown(placed.select("tree", "pos", "node"))
+    # Kept before it is dealt by ranges, as their bounds are drawn in a pass of its own that would compute all digests again.
+    placed = checkpointed(positions(checkpointed(rows), "tree", ["m_id", "node"], hot_rows))
+    local, subroots = grown(placed.select("tree", "pos", "node"), levels)
     ranked, _ = with_row_number(subroots, ["tree"], "rank")
     ranked = checkpointed(ranked)
-    top, root = grown(ranked.select(F.lit(b"").alias("tree"), F.col("rank").alias("pos"), F.col("root").alias("node")))
+    top, root = grown(ranked.select(F.lit(b"").alias("tree"), F.col("rank").alias("pos"), F.col("root").alias("node")), levels)
     only = root.first()
     groups = ranked.join(top.select(F.col("pos").alias("rank"), F.col("witness").alias("upper")), "rank").join(placed.groupBy("tree").agg(F.count("*").alias("n")), "tree")
     groups = checkpointed(groups.select("tree", F.col("root").alias("subroot"), "upper", "n"))
-    joined = join_classes(placed.join(local, ["tree", "pos"]), groups, ["tree"])
+    joined = join_classes(placed.join(local, ["tree", "pos"]), groups, ["tree"], hot_rows)
     return joined.select("m_id", "m_group", F.col("node").alias("leaf"), F.concat("witness", "upper").alias("witness"), "subroot", F.lit(bytes(only["root"]) if only else None).cast("binary").alias("root"), *others)
 
 
