@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.functions.similarity import array_cosine
 from topicloom.plans.checkpoints import checkpointed
 
-from .pairs import all_pairs, salted_join
+from .linkage import close_rows, close_vectors, inconsistent_groups, split_parts  # noqa: F401
+from .pairs import salted_join
 
 
 def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -31,87 +29,52 @@ def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def linkage(features: DataFrame, threshold: float) -> DataFrame:
     """Id, group: single linkage by cosine distance, cut at a distance, that is, components of pairs within it. features: id, vec. Groups are named by their smallest id; fewer than two rows give none."""
-    a, b = features.select(F.col("id").alias("a"), F.col("vec").alias("va")), features.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    close = all_pairs(a, b).filter("a < b").filter(1 - array_cosine(F.col("va"), F.col("vb")) <= threshold).select("a", "b")
-    roots = connected(close)
-    several = features.agg((F.count("*") > 1).alias("several"))  # a row
-    named = features.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").crossJoin(F.broadcast(several)).filter("several")
+    return _groups(features.select("id"), close_vectors(features, threshold))
+
+
+def _groups(ids: DataFrame, links: DataFrame) -> DataFrame:
+    if ids.limit(2).count() < 2:
+        return ids.select("id", F.col("id").alias("group")).limit(0)
+    named = ids.join(connected(links).withColumnRenamed("node", "id"), "id", "left")
     return named.select("id", F.coalesce("root", "id").alias("group"))
 
 
-def _merge_order(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Single-linkage merges (cluster, cluster, height, size) in the order of a minimum spanning tree's edges."""
-    n = len(distance)
-    near, source, left, edges = distance[0].copy(), np.zeros(n, int), np.ones(n, bool), []
-    left[0] = False
-    for _ in range(n - 1):
-        j = int(np.where(left, near, np.inf).argmin())
-        edges.append((float(near[j]), int(source[j]), j))
-        left[j] = False
-        closer = left & (distance[j] < near)
-        near[closer], source[closer] = distance[j][closer], j
-    name, size, out = list(range(n)), {i: 1 for i in range(n)}, []
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    parent = list(range(n))
-    for k, (height, i, j) in enumerate(sorted(edges)):
-        a, b = top(i), top(j)
-        out.append((min(name[a], name[b]), max(name[a], name[b]), height, size[name[a]] + size[name[b]]))
-        parent[b] = a
-        name[a] = n + k
-        size[n + k] = out[-1][3]
-    return out
-
-
-def inconsistent_groups(distance: np.ndarray, threshold: float) -> np.ndarray:
-    """Flat clusters: a merge and all below it stay together if their inconsistency (over two levels) is at most the threshold. Numbered from 1 by smallest member."""
-    n = len(distance)
-    if n < 2:
-        return np.ones(n, int)
-    merges = _merge_order(distance)
-    most = {}
-    for k, (a, b, height, _) in enumerate(merges):
-        heights = [height] + [merges[x - n][2] for x in (a, b) if x >= n]
-        spread = np.std(heights, ddof=1) if len(heights) > 1 else 0.0
-        own = (height - np.mean(heights)) / spread if spread > 0 else 0.0
-        most[n + k] = max([own, *(most[x] for x in (a, b) if x >= n)])
-    members: dict[int, list[int]] = {i: [i] for i in range(n)}
-    group = np.arange(n)
-    for k, (a, b, _, _) in enumerate(merges):
-        members[n + k] = members[a] + members[b]
-        if most[n + k] <= threshold:
-            group[members[n + k]] = min(members[n + k])
-    return np.unique(group, return_inverse=True)[1] + 1
+def shared_members(members: DataFrame) -> DataFrame:
+    """concept, a, b (a < b), shared: how many members sources (key) of a concept share. Pairs meet by an equi-join on concept and member, of which common ones are cut into blocks; those that share none have no row."""
+    own = members.select("concept", "key", "member").distinct()
+    a, b = own.withColumnRenamed("key", "a"), own.withColumnRenamed("key", "b")
+    return salted_join(a, b, ["concept", "member"]).filter("a < b").groupBy("concept", "a", "b").agg(F.count("*").alias("shared"))
+
+
+def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(sizes.select("concept", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "all"))).withColumnRenamed(f"key_{side}", side), ["concept", side])
+    return pairs
+
+
+def _split_distance(bound: float) -> Column:
+    distance = (F.col("n_a") + F.col("n_b") - 2 * F.coalesce("shared", F.lit(0))) / (F.col("all_a") + F.col("all_b"))
+    return F.when(distance > bound, distance).otherwise(0.0)
 
 
 def split_distances(members: DataFrame, bound: float = 0.5) -> DataFrame:
-    """Concept, a, b, distance of the sources (key) of a concept: |A symmetric difference B| / (nA + nB), 0 up to the bound. members: concept, key, member."""
-    lists = members.groupBy("concept", "key").agg(F.collect_list("member").alias("list"))
-    a, b = lists.select("concept", F.col("key").alias("a"), F.col("list").alias("la")), lists.select("concept", F.col("key").alias("b"), F.col("list").alias("lb"))
-    differ = F.size(F.array_except(F.array_union("la", "lb"), F.array_intersect("la", "lb")))
-    distance = differ / (F.size("la") + F.size("lb"))
-    return a.join(b, "concept").filter("a < b").select("concept", "a", "b", F.when(distance > bound, distance).otherwise(0.0).alias("distance"))
+    """Concept, a, b, distance of all pairs of sources (key) of a concept: |A symmetric difference B| / (nA + nB), 0 up to the bound. members: concept, key, member. Computed from the numbers of shared members, without lists of them."""
+    sizes = checkpointed(members.groupBy("concept", "key").agg(F.count_distinct("member").alias("n"), F.count("member").alias("all")))
+    every = salted_join(sizes.select("concept", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("all").alias("all_a")), sizes.select("concept", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("all").alias("all_b")), ["concept"]).filter("a < b")
+    return every.join(shared_members(members), ["concept", "a", "b"], "left").select("concept", "a", "b", _split_distance(bound).alias("distance"))
 
 
 def split_concepts(members: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Concept, key, new_concept: sources in other groups than the first move to temp_<concept>_<group>. All of a group's members are kept."""
-    distances = split_distances(members, threshold)
+    """Concept, key, new_concept: sources in other groups than the first move to temp_<concept>_<group>. All of a group's members are kept; a member that repeats counts once.
 
-    def groups(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = sorted(set(pdf["a"]) | set(pdf["b"]))
-        place = {k: i for i, k in enumerate(keys)}
-        d = np.zeros((len(keys), len(keys)))
-        for a, b, x in zip(pdf["a"], pdf["b"], pdf["distance"]):
-            d[place[a], place[b]] = d[place[b], place[a]] = x
-        return pd.DataFrame({"concept": key[0], "key": keys, "part": inconsistent_groups(d, threshold)})
-
-    parts = distances.groupBy("concept").applyInPandas(groups, "concept string, key string, part int")  # a concept's sources are few
-    joined = members.select("concept", "key").distinct().join(parts, ["concept", "key"], "left")
-    return joined.select("concept", "key", F.when(F.coalesce("part", F.lit(1)) == 1, F.col("concept")).otherwise(F.concat(F.lit("temp_"), F.col("concept"), F.lit("_"), F.col("part").cast("string"))).alias("new_concept"))
+    Only pairs of sources that share a member are made (split_parts).
+    """
+    own = checkpointed(members.select("concept", "key", "member").distinct())
+    sizes = own.groupBy("concept", "key").agg(F.count("*").alias("n")).withColumn("all", F.col("n"))
+    edges = _sized(shared_members(own), sizes).select("concept", "a", "b", _split_distance(threshold).alias("w"))
+    parts = split_parts(own.select("concept", "key").distinct(), edges, threshold)
+    moved = F.concat(F.lit("temp_"), F.col("concept"), F.lit("_"), F.col("part").cast("string"))
+    return parts.select("concept", "key", F.when(F.col("part") == 1, F.col("concept")).otherwise(moved).alias("new_concept"))
 
 
 def merge_pairs(members: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -141,15 +104,13 @@ def topic_pairs(scores: DataFrame, threshold: float = 0.34) -> DataFrame:
 
 
 def topic_groups(matrix: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """Group, topics: linkage over the rows of a topic similarity matrix (a, b, score)."""
-    topics = matrix.select("a").distinct().agg(F.sort_array(F.collect_set("a")).alias("all"))  # the topics' names
-    rows = matrix.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "score"))).alias("m")).crossJoin(F.broadcast(topics))
-    vectors = rows.select(F.col("a").alias("id"), F.transform("all", lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("vec"))
-    return linkage(vectors, threshold).groupBy("group").agg(F.sort_array(F.collect_list("id")).alias("topics"))
+    """Group, topics: linkage over the rows of a topic similarity matrix (a, b, score), for a distance below 1."""
+    groups = _groups(matrix.select(F.col("a").alias("id")).distinct(), close_rows(matrix, threshold))
+    return groups.groupBy("group").agg(F.sort_array(F.collect_list("id")).alias("topics"))
 
 
-def two_means(values: DataFrame, rounds: int = 20) -> DataFrame:
-    """K-means with k = 2 on one number: id, value, cluster (0 is the lower one). Each round is one grouped average."""
+def two_means(values: DataFrame, rounds: int = 1000) -> DataFrame:
+    """K-means with k = 2 on one number: id, value, cluster (0 is the lower one). Each round is one grouped average; a cut that has not settled after so many is an error."""
     low, high = values.agg(F.min("value"), F.max("value")).first()
     if low is None:
         return values.withColumn("cluster", F.lit(None).cast("int"))
@@ -160,6 +121,8 @@ def two_means(values: DataFrame, rounds: int = 20) -> DataFrame:
         if new == (low, high):
             break
         low, high = new
+    else:
+        raise ArithmeticError("the means did not settle")
     return values.withColumn("cluster", (F.col("value") > (low + high) / 2).cast("int"))
 
 

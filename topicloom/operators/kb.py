@@ -106,7 +106,8 @@ def transfer_topics(kb2: DataFrame, guiding: str, transfers: DataFrame) -> tuple
     first = best_per(moved.withColumn("__o", F.concat_ws(",", "source_dataset")), ["dataset", "concept", "attribute"], "__o", "match_score").drop("__o")
     merged = upsert(kb2, first, ["dataset", "concept", "attribute"])
     group = merged.filter(F.col("dataset") == guiding).join(t.select(F.col("guiding_topic").alias("concept"), "topic").filter("concept <> topic").distinct(), "concept")
-    aliased = group.select("dataset", F.col("topic").alias("concept"), "attribute", "match_score", "source_dataset").dropDuplicates(["dataset", "concept", "attribute"])
+    aliased = group.select("dataset", F.col("topic").alias("concept"), "attribute", "match_score", "source_dataset")
+    aliased = best_per(aliased.withColumn("__o", F.concat_ws(",", "source_dataset")), ["dataset", "concept", "attribute"], "__o", "match_score").drop("__o")
     return upsert(merged, aliased, ["dataset", "concept", "attribute"]), t.select("dataset", "topic").distinct()
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.similarity import name_similarity
 from topicloom.functions.text import character_features
+from topicloom.plans.checkpoints import checkpointed
 
 from .lexicon import path_similarity
 from .matchers import phrase_similarity
@@ -189,25 +191,69 @@ class NgramClassifier(_Logistic):
         return self.counter.transform(grams)
 
 
+def logistic_weights(rows: DataFrame, features: list[str], most_steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """class, feature, weight and intercept of one balanced, regularised logistic regression for each class. rows: class, label (0 or 1) and the features.
+
+    Minimises the mean of the weighted losses plus |weights|^2 / 2n (n rows of the class; the intercept is free; rows
+    weigh n / 2 of their label's number). All classes are fitted at once: in each Newton step one grouped job sums up
+    every class's loss, gradient and Hessian, combined before the shuffle, and the driver solves one small system for
+    each class that has not settled. A step that does not lower the loss is halved. Classes with one label get 0.
+    """
+    spark, k = rows.sparkSession, len(features)
+    names = [f"x{i}" for i in range(k)]
+    x = [*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in zip(features, names)), F.lit(1.0).alias(f"x{k}")]
+    given = checkpointed(rows.select("class", F.col("label").cast("double").alias("y"), *x).groupBy("class", "y", *names, f"x{k}").agg(F.count("*").alias("many")))
+    counts = {r["class"]: (r["n"], r["pos"]) for r in given.groupBy("class").agg(F.sum("many").alias("n"), F.sum(F.col("many") * F.col("y")).alias("pos")).collect()}  # a row for each topic
+    state = {c: {"beta": np.zeros(k + 1), "step": None, "loss": np.inf} for c, (n, pos) in counts.items() if 0 < pos < n}
+    columns = [f"x{i}" for i in range(k + 1)]
+    schema = "class string, n double, pos double, " + ", ".join(f"b{i} double" for i in range(k + 1))
+    open_ = set(state)
+    for _ in range(most_steps):
+        if not open_:
+            break
+        tried = spark.createDataFrame([(c, float(counts[c][0]), float(counts[c][1]), *map(float, state[c]["beta"])) for c in sorted(open_)], schema)
+        z = sum((F.col(f"b{i}") * F.col(x) for i, x in enumerate(columns)), F.lit(0.0))
+        weighed = given.join(tried, "class").withColumn("z", z).withColumn("p", 1 / (1 + F.exp(-F.col("z")))).withColumn("w", F.col("many") * F.when(F.col("y") == 1, F.col("n") / (2 * F.col("pos"))).otherwise(F.col("n") / (2 * (F.col("n") - F.col("pos")))))
+        loss = F.col("w") * (F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("y") * F.col("z"))
+        first = [F.sum(F.col("w") * (F.col("p") - F.col("y")) * F.col(x)).alias(f"g{i}") for i, x in enumerate(columns)]
+        second = [F.sum(F.col("w") * F.col("p") * (1 - F.col("p")) * F.col(x) * F.col(columns[j])).alias(f"h{i}_{j}") for i, x in enumerate(columns) for j in range(i + 1)]
+        for r in weighed.groupBy("class").agg(F.sum(loss).alias("loss"), *first, *second).collect():
+            s, n = state[r["class"]], counts[r["class"]][0]
+            own = s["beta"].copy()
+            own[k] = 0.0
+            now = r["loss"] / n + own @ own / (2 * n)
+            if now > s["loss"] + 1e-13 and s["step"] is not None:
+                s["step"] /= 2
+                s["beta"] = s["beta"] - s["step"]  # back by half
+                if np.abs(s["step"]).max() < tolerance:
+                    open_.discard(r["class"])
+                continue
+            gradient = np.array([r[f"g{i}"] for i in range(k + 1)]) / n + own / n
+            hessian = np.zeros((k + 1, k + 1))
+            for i in range(k + 1):
+                for j in range(i + 1):
+                    hessian[i, j] = hessian[j, i] = r[f"h{i}_{j}"] / n
+            hessian[np.arange(k), np.arange(k)] += 1 / n
+            step = -np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+            s["loss"], s["step"] = now, step
+            if np.abs(step).max() < tolerance:
+                open_.discard(r["class"])
+            s["beta"] = s["beta"] + step
+    if open_:
+        raise ArithmeticError(f"the weights of {sorted(open_)[:3]} did not settle")
+    done = [(c, f, float(state[c]["beta"][i]) if c in state else 0.0, float(state[c]["beta"][k]) if c in state else 0.0) for c in sorted(counts) for i, f in enumerate(features)]
+    return spark.createDataFrame(done, "class string, feature string, weight double, intercept double")
+
+
 def meta_weights(scores: DataFrame, truth: DataFrame, classifiers: list[str]) -> DataFrame:
     """Class, classifier, weight. scores: row_id, class and a column for each classifier; truth: row_id, class.
 
-    For each class a balanced logistic regression tells rows of the class from others by the base scores for it.
+    For each class a balanced logistic regression (logistic_weights) tells rows of the class from others by the base
+    scores for it.
     """
     own = truth.select("row_id", F.col("class").alias("truth"))
-    joined = scores.join(own, "row_id").withColumn("label", (F.col("class") == F.col("truth")).cast("double")).na.fill(0.0, classifiers).cache()
-    counts = {r["class"]: (r["n"], r["pos"]) for r in joined.groupBy("class").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()}  # a row for each topic
-    vectors = VectorAssembler(inputCols=classifiers, outputCol="features").transform(joined)
-    rows = []
-    for name, (n, pos) in sorted(counts.items()):
-        if not 0 < pos < n:
-            rows += [(name, c, 0.0) for c in classifiers]
-            continue
-        weight = F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
-        part = vectors.filter(F.col("class") == name).withColumn("weight", weight)
-        model = LogisticRegression(weightCol="weight", regParam=1.0 / n, standardization=False, maxIter=100).fit(part)
-        rows += [(name, c, float(w)) for c, w in zip(classifiers, model.coefficients)]
-    return scores.sparkSession.createDataFrame(rows, "class string, classifier string, weight double")
+    labelled = scores.join(own, "row_id").withColumn("label", (F.col("class") == F.col("truth")).cast("double"))
+    return logistic_weights(labelled, classifiers).select("class", F.col("feature").alias("classifier"), "weight")
 
 
 def save_weights(weights: DataFrame, path: str) -> None:

@@ -12,20 +12,31 @@ from topicloom.functions.similarity import name_similarity
 from topicloom.functions.text import singular
 from topicloom.plans.checkpoints import checkpointed
 
-from .pairs import all_pairs
+from .names import similar_names
+from .pairs import all_pairs, salted_join
 
 
-def ancestors(hypernym: DataFrame, max_depth: int = 25) -> DataFrame:
-    """L4: synset, ancestor, distance (the shortest; a synset is its own at 0). One join for each level of the tree."""
-    nodes = hypernym.select(F.col("child").alias("synset")).unionAll(hypernym.select("parent")).distinct()
-    front = nodes.select("synset", F.col("synset").alias("ancestor"), F.lit(0).alias("distance"))
-    found = front
-    for _ in range(max_depth):
-        front = checkpointed(front.join(hypernym, F.col("ancestor") == F.col("child")).select("synset", F.col("parent").alias("ancestor"), (F.col("distance") + 1).alias("distance")).distinct().join(found.select("synset", "ancestor"), ["synset", "ancestor"], "left_anti"))
-        if front.limit(1).count() == 0:
+def ancestors(hypernym: DataFrame) -> DataFrame:
+    """L4: synset, ancestor, distance (the shortest; a synset is its own at 0), of trees and graphs of any depth. A cycle is an error.
+
+    Distances double: who is 2^k away is reached over those exactly k away, so a chain of a thousand takes ten rounds.
+    """
+    edges = checkpointed(hypernym.select("child", "parent").distinct())
+    nodes = edges.select(F.col("child").alias("synset")).unionAll(edges.select("parent")).distinct()
+    found = checkpointed(nodes.select("synset", F.col("synset").alias("ancestor"), F.lit(0).alias("distance")).unionAll(edges.select(F.col("child").alias("synset"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))))
+    reach = 1
+    while True:
+        far = found.filter(F.col("distance") == reach).select("synset", F.col("ancestor").alias("via"))
+        step = found.filter("distance > 0").select(F.col("synset").alias("via"), "ancestor", F.col("distance").alias("more"))
+        beyond = far.join(step, "via").groupBy("synset", "ancestor").agg((F.min("more") + reach).alias("distance"))
+        new = checkpointed(beyond.join(found.select("synset", "ancestor"), ["synset", "ancestor"], "left_anti"))
+        if new.isEmpty():
             break
-        found = checkpointed(found.unionByName(front))
-    return found.groupBy("synset", "ancestor").agg(F.min("distance").alias("distance"))
+        found, reach = checkpointed(found.unionByName(new)), 2 * reach
+    circle = edges.join(found.select(F.col("ancestor").alias("child"), F.col("synset").alias("parent")), ["child", "parent"]).first()
+    if circle is not None:
+        raise ValueError(f"{circle['child']} is an ancestor of itself")
+    return found
 
 
 def hyponyms(hypernym: DataFrame) -> DataFrame:
@@ -131,21 +142,35 @@ def dictionary_coverage(phrases: DataFrame, english: DataFrame, lemma: DataFrame
 
 
 def context_overlap(left: DataFrame, right: DataFrame, parity: bool = False) -> DataFrame:
-    """left_name, right_name, score: the most words that contexts (name, synset, overlap) of two names share. parity=True gives 0, as was observed of the original."""
-    a = left.select(F.col("name").alias("left_name"), F.col("overlap").alias("oa"))
-    b = right.select(F.col("name").alias("right_name"), F.col("overlap").alias("ob"))
-    size = F.lit(0) if parity else F.size(F.array_intersect("oa", "ob"))
-    return all_pairs(a, b).groupBy("left_name", "right_name").agg(F.max(size).alias("score"))
+    """left_name, right_name, score: the most words that contexts (name, synset, overlap) of two names share. parity=True gives 0, as was observed of the original.
+
+    Contexts meet by an equi-join on words, of which common ones are cut into blocks; names that share none get 0.
+    """
+    every = all_pairs(left.select(F.col("name").alias("left_name")).distinct(), right.select(F.col("name").alias("right_name")).distinct())
+    if parity:
+        return every.withColumn("score", F.lit(0))
+    worded = lambda df, name, key, word: df.select(F.col("name").alias(name), F.struct("name", "overlap").alias(key), F.explode(F.array_distinct("overlap")).alias(word))
+    a = worded(left, "left_name", "c", "word").select("left_name", F.xxhash64("c").alias("p"), F.hash("c").alias("p2"), "word").distinct()
+    b = worded(right, "right_name", "c", "word").select("right_name", F.xxhash64("c").alias("q"), F.hash("c").alias("q2"), "word").distinct()
+    shared = salted_join(a, b, ["word"]).groupBy("left_name", "p", "p2", "right_name", "q", "q2").agg(F.count("*").alias("n"))
+    most = shared.groupBy("left_name", "right_name").agg(F.max("n").cast("int").alias("score"))
+    return every.join(most, ["left_name", "right_name"], "left").select("left_name", "right_name", F.coalesce("score", F.lit(0)).alias("score"))
 
 
 def context_similarity(attributes: DataFrame, topics: DataFrame, closure: DataFrame) -> DataFrame:
-    """Attribute, topic, score, synsets and owner: the highest path similarity of any synsets of the two; a topic's contexts in the attribute's own table go before other tables' among equals. attributes: dataset, name, synset; topics: dataset, name, synset."""
+    """Attribute, topic, score, synsets and owner: the highest path similarity of any synsets of the two; a topic's contexts in the attribute's own table go before other tables' among equals. attributes: dataset, name, synset; topics: dataset, name, synset.
+
+    Both sides' rings, each ancestor with the nearest synset below it, are made first, and meet by an equi-join on the
+    ancestor: pairs of synsets are never listed. Of the ways over one ancestor only the nearest on either side can be
+    the best, and of equally near ones the first. Common ancestors are cut into blocks.
+    """
     a = attributes.select(F.col("dataset").alias("own"), F.col("name").alias("attribute"), F.col("synset").alias("a")).distinct()
     b = topics.select(F.col("dataset").alias("owner"), F.col("name").alias("topic"), F.col("synset").alias("b")).distinct()
-    pairs = all_pairs(a, b)
-    scored = pairs.join(path_similarity(closure, pairs.select("a", "b").distinct()), ["a", "b"])
-    order = Window.partitionBy("own", "attribute", "topic").orderBy(F.desc("score"), F.col("own") != F.col("owner"), "owner", "a", "b")
-    return scored.withColumn("n", F.row_number().over(order)).filter("n = 1").select(F.col("own").alias("dataset"), "attribute", "topic", "score", "a", "b", "owner")
+    ring = lambda df, keys, s, near: df.join(closure.select(F.col("synset").alias(s), "ancestor", "distance"), s).groupBy(*keys, "ancestor").agg(F.min(F.struct("distance", s)).alias(near))
+    left, right = ring(a, ["own", "attribute"], "a", "x"), ring(b, ["owner", "topic"], "b", "y")
+    way = F.struct((F.col("x.distance") + F.col("y.distance")).alias("way"), (F.col("own") != F.col("owner")).alias("other"), "owner", F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+    best = salted_join(checkpointed(left), checkpointed(right), ["ancestor"]).groupBy("own", "attribute", "topic").agg(F.min(way).alias("best"))
+    return best.select(F.col("own").alias("dataset"), "attribute", "topic", (1.0 / (1 + F.col("best.way"))).alias("score"), "best.a", "best.b", "best.owner")
 
 
 def compare_words(source: Column, target: Column, guarded: Column) -> tuple[Column, Column, Column]:
@@ -224,7 +249,8 @@ def attribute_words(stats: DataFrame, sample: int = 100, sentence: int = 30) ->
 def recommended_labels(attrs: DataFrame, topics: DataFrame, exact: DataFrame, excluded: DataFrame, peers: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Dataset, attr, topic, why: candidates from an exact map (attr, topic), from names over the threshold, and from topics in a candidate's group (topic, peer), without excluded ones (attr, topic)."""
     by_map = attrs.select("dataset", "attr").join(exact, "attr").select("dataset", "attr", "topic", F.lit("exact").alias("why"))
-    by_name = all_pairs(attrs.select("dataset", "attr").distinct(), topics.select("topic").distinct()).filter(name_similarity(F.col("topic"), F.col("attr")) > threshold).select("dataset", "attr", "topic", F.lit("name").alias("why"))
+    alike = similar_names(topics.select(F.col("topic").alias("a")), attrs.select(F.col("attr").alias("b")), threshold).select(F.col("a").alias("topic"), F.col("b").alias("attr"))
+    by_name = attrs.select("dataset", "attr").distinct().join(alike, "attr").select("dataset", "attr", "topic", F.lit("name").alias("why"))
     direct = by_map.unionByName(by_name)
     by_group = direct.join(peers, "topic").select("dataset", "attr", F.col("peer").alias("topic"), F.lit("group").alias("why"))
     found = direct.unionByName(by_group).join(excluded, ["attr", "topic"], "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.similarity import array_cosine, character_cosine, composite, name_similarity
 from topicloom.functions.text import is_int
 
+from .names import similar_names
 from .pairs import all_pairs, salted_join
 from .profile import head_limit, head_sample, term_frequencies
 
@@ -37,8 +38,8 @@ def instance_matrix(source: DataFrame, target: DataFrame, stats: DataFrame, thre
     """M5: src_attr, tar_attr, score over sampled values (attr, ordinal, value).
 
     Value pairs count if neither is 'None', both or neither are integers, and their similarity passes the threshold;
-    each adds similarity times the target value's count in its column. Equal pairs are compared once and multiplied;
-    integers never meet texts, as pairs agree in that.
+    each adds similarity times the target value's count in its column. Equal pairs are compared once and multiplied, and
+    only values that share enough bigrams are (names.similar_names).
     """
 
     def side(df: DataFrame, attr: str, value: str, n: str) -> DataFrame:
@@ -47,9 +48,8 @@ def instance_matrix(source: DataFrame, target: DataFrame, stats: DataFrame, thre
         return kept.groupBy(F.col("attr").alias(attr), F.col("value").alias(value)).agg(F.count("*").alias(n)).withColumn("ints", is_int(F.col(value)))
 
     counted = side(target, "tar_attr", "v", "nv").join(stats.select(F.col("attr").alias("tar_attr"), F.col("value").alias("v"), "cnt"), ["tar_attr", "v"])
-    values = all_pairs(side(source, "src_attr", "u", "nu").select("u", "ints").distinct(), counted.select("v", "ints").distinct(), ["ints"]).select("u", "v")
-    alike = values.withColumn("s", name_similarity(F.col("u"), F.col("v"))).filter(F.col("s") > threshold)
-    hits = alike.join(side(source, "src_attr", "u", "nu").drop("ints"), "u").join(counted.drop("ints"), "v")
+    alike = similar_names(side(source, "src_attr", "u", "nu").select(F.col("u").alias("a")), counted.select(F.col("v").alias("b")), threshold).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("score").alias("s"))
+    hits = alike.filter(is_int(F.col("u")) == is_int(F.col("v"))).join(side(source, "src_attr", "u", "nu").drop("ints"), "u").join(counted.drop("ints"), "v")
     sums = hits.groupBy("src_attr", "tar_attr").agg(F.sum(F.col("s") * F.col("cnt") * F.col("nu") * F.col("nv")).alias("score"))
     return _filled(source, target, sums)
 

@@ -66,7 +66,7 @@ def _moved(base: KnowledgeBase, moves: DataFrame) -> KnowledgeBase:
     to = moves.select("concept", "src_dataset", "new_concept").distinct()
     match = base.match.join(to.withColumnRenamed("src_dataset", "dataset"), ["concept", "dataset"], "left").withColumn("concept", F.coalesce("new_concept", "concept")).drop("new_concept")
     found = base.cluster.join(to, ["concept", "src_dataset"], "left").withColumn("concept", F.coalesce("new_concept", "concept")).drop("new_concept")
-    return KnowledgeBase(checkpointed(match.dropDuplicates(["concept", "dataset", "attribute"])), checkpointed(found))
+    return KnowledgeBase(checkpointed(select.best_per(match, ["concept", "dataset", "attribute"], "data_type", "match_score")), checkpointed(found))
 
 
 def _empty(df: DataFrame) -> bool:

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.functions.similarity import name_similarity
 from topicloom.functions.text import clean_name, file_name
-from topicloom.operators.pairs import all_pairs
+from topicloom.operators.names import similar_names
 
 def file_stem(path: str) -> str:
     """A path's last part without its ending."""
@@ -77,13 +76,14 @@ def parse_layers(layers: DataFrame) -> DataFrame:
 
 
 def link_files(files: DataFrame, datasets: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """File, dataset, score: the dataset with the file's cleaned name, else the most similar one at or over the threshold; score ascending."""
+    """File, dataset, score: the dataset with the file's cleaned name, else the most similar one at or over the threshold. Only names that share enough bigrams are compared (names.similar_names)."""
     named = files.select("file", clean_name(file_name(F.col("file")), has_extension=True).alias("stem"))
     exact = named.join(datasets.select("dataset"), F.col("stem") == F.col("dataset")).select("file", "dataset", F.lit(1.0).alias("score"))
     rest = named.join(exact.select("file"), "file", "left_anti")
-    scored = all_pairs(rest, datasets.select("dataset")).withColumn("score", name_similarity(F.col("stem"), F.col("dataset"))).filter(F.col("score") >= threshold)
+    alike = similar_names(rest.select(F.col("stem").alias("a")), datasets.select(F.col("dataset").alias("b")), threshold - 1e-9).filter(F.col("score") >= threshold)
+    scored = rest.join(alike.select(F.col("a").alias("stem"), F.col("b").alias("dataset"), "score"), "stem")
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "dataset"))).filter("n = 1")
-    return exact.unionByName(best.select("file", "dataset", "score")).orderBy("score", "file")
+    return exact.unionByName(best.select("file", "dataset", "score"))
 
 
 def datasources_and_tags(catalogue: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
