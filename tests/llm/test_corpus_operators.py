@@ -545,11 +545,11 @@ def test_tree_merge_over_many_runs(spark, keep, best, slice_keys, monkeypatch):
 def test_runs_merge_in_order():
     rng = np.random.default_rng(8)
     keys = np.array([bytes(rng.integers(0, 3, 48, np.uint8)) if i % 5 else bytes(48) for i in range(600)], "S48")
-    ids, rows = rng.integers(0, 50, 600), np.arange(600)
-    runs = [exact_dedup.Run.of(keys[a : a + 60], ids[a : a + 60], rows[a : a + 60], False) for a in range(0, 600, 60)]
+    ids, raws, rows = rng.integers(0, 50, 600), rng.integers(0, 3, 600), np.arange(600)
+    runs = [exact_dedup.Run.of(*(x[a : a + 60] for x in (keys, ids, raws, rows)), False) for a in range(0, 600, 60)]
     run = exact_dedup.merge_runs(runs, False)
     want = {}
-    for k, i, r in zip(keys.tolist(), ids.tolist(), rows.tolist()):
-        low, n = want.get(k, ((i, r), 0))
-        want[k] = min(low, (i, r)), n + 1
-    assert run.keys.tolist() == sorted(want) and [((a, b), n) for a, b, n in run.values.tolist()] == [want[k] for k in sorted(want)]
+    for k, *own in zip(keys.tolist(), ids.tolist(), raws.tolist(), rows.tolist()):
+        low, n = want.get(k, (tuple(own), 0))
+        want[k] = min(low, tuple(own)), n + 1
+    assert run.keys.tolist() == sorted(want) and [(tuple(own), n) for *own, n in run.values.tolist()] == [want[k] for k in sorted(want)]

@@ -93,8 +93,9 @@ def unpacked(name: str, columns: list[str]) -> list[Column]:
 
 
 def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose row_key is in kept(__id, __raw); of rows that repeat in id and text one."""
-    keyed = df.select(packed(df, "__row"), *row_key(col(id_col), col(text_col))).dropDuplicates(["__id", "__raw"])  # repeats go before the shuffle
+    """The rows of df, all columns, whose row_key is in kept(__id, __raw); of rows that repeat in id and text the one with the smallest hash of all columns."""
+    rows = df.select(packed(df, "__row"), *row_key(col(id_col), col(text_col)))
+    keyed = rows.groupBy("__id", "__raw").agg(F.min_by("__row", F.struct(F.xxhash64("__row"), F.hash("__row"))).alias("__row"))  # repeats go before the shuffle
     found = keyed.join(kept.hint("merge"), ["__id", "__raw"], "left_semi")
     return found.select(*unpacked("__row", df.columns))
 

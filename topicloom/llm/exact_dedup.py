@@ -8,8 +8,9 @@ exchanged in groups of `fan_in`, still sorted, and merged two by two until one i
 again at every level, so copies shrink before they travel. After log(runs) rounds one run is left for each slice. A
 large group of copies is one entry of each run.
 
-The row that stays is the one with the largest id (keep="smallest": the smallest); of rows that repeat in id and
-text one stays. Null ids count as smaller (for "smallest": larger) than any. Null texts count as empty. An empty
+The row that stays is the one with the largest id (keep="smallest": the smallest); of rows that repeat the id the one
+whose text, as it is, has the largest (smallest) hash, so the order of rows changes nothing; of rows that repeat in id
+and text one stays, in drop_exact_duplicates the one with the smallest hash of all columns. Null ids count as smaller (for "smallest": larger) than any. Null texts count as empty. An empty
 table gives an empty result. Other columns are not carried.
 """
 
@@ -50,16 +51,16 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 class Run:
-    """Entries sorted by key, one for each: keys (bytes) and values (id and row that stay, number of rows)."""
+    """Entries sorted by key, one for each: keys (bytes) and values (id, raw hash and row that stay, number of rows)."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = keys, values
 
     @staticmethod
-    def of(keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, largest: bool) -> Run:
+    def of(keys: np.ndarray, ids: np.ndarray, raws: np.ndarray, rows: np.ndarray, largest: bool) -> Run:
         """A run of unsorted rows."""
         order = np.argsort(keys, kind="stable")
-        return Run(keys[order], np.column_stack([ids, rows, np.ones(len(ids), np.int64)])[order]).settled(largest)
+        return Run(keys[order], np.column_stack([ids, raws, rows, np.ones(len(ids), np.int64)])[order]).settled(largest)
 
     def settled(self, largest: bool) -> Run:
         """Neighbours with equal keys become one entry: the row that stays, and the sum of their numbers."""
@@ -69,10 +70,10 @@ class Run:
         if len(first) == len(self.keys):
             return self
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(self.keys))))
-        order = np.lexsort((self.values[:, 1], self.values[:, 0], group))
+        order = np.lexsort((self.values[:, 2], self.values[:, 1], self.values[:, 0], group))
         at = np.append(first[1:], len(self.keys)) - 1 if largest else first
         values = self.values[order[at]]
-        values[:, 2] = np.add.reduceat(self.values[:, 2], first)
+        values[:, 3] = np.add.reduceat(self.values[:, 3], first)
         return Run(self.keys[first], values)
 
     def merged(self, other: Run, largest: bool) -> Run:
@@ -80,7 +81,7 @@ class Run:
         place = np.searchsorted(self.keys, other.keys, "right") + np.arange(len(other.keys))
         own = np.ones(len(self.keys) + len(other.keys), bool)
         own[place] = False
-        keys, values = np.empty(len(own), self.keys.dtype), np.empty((len(own), 3), np.int64)
+        keys, values = np.empty(len(own), self.keys.dtype), np.empty((len(own), 4), np.int64)
         keys[place], values[place], keys[own], values[own] = other.keys, other.values, self.keys, self.values
         return Run(keys, values).settled(largest)
 
@@ -89,7 +90,7 @@ class Run:
 
     @staticmethod
     def unpacked(keys: bytes, values: bytes) -> Run:
-        return Run(np.frombuffer(keys, f"S{KEY_BYTES}"), np.frombuffer(values, np.int64).reshape(-1, 3))
+        return Run(np.frombuffer(keys, f"S{KEY_BYTES}"), np.frombuffer(values, np.int64).reshape(-1, 4))
 
 
 def merge_runs(runs: list[Run], largest: bool) -> Run:
@@ -100,7 +101,7 @@ def merge_runs(runs: list[Run], largest: bool) -> Run:
 
 
 def tree_merge(marked: DataFrame, keep: str = "largest", fan_in: int = 8, slice_keys: int = SLICE_KEYS) -> DataFrame:
-    """key, keep, keep_row and n for each distinct key. marked: doc_id, row, key."""
+    """key, keep, keep_raw, keep_row and n for each distinct key. marked: doc_id, raw, row, key."""
     largest, none = keep == "largest", _NONE[keep]
     slices = max(partitions(marked.sparkSession), -(-marked.count() // slice_keys))
     blob = "run long, slice int, keys binary, entries binary"
@@ -125,7 +126,7 @@ def tree_merge(marked: DataFrame, keep: str = "largest", fan_in: int = 8, slice_
             if not held and not closed:
                 part = b.column("part")[0].as_py() << 20
             keys = np.array(b.column("key").to_pylist(), f"S{KEY_BYTES}")
-            held.append(Run.of(keys, b.column("id").to_numpy(), b.column("row").to_numpy(), largest))
+            held.append(Run.of(keys, *(b.column(c).to_numpy() for c in ("id", "raw", "row")), largest))
             size += b.num_rows
             if size >= RUN_ROWS:
                 yield from cut()
@@ -133,7 +134,7 @@ def tree_merge(marked: DataFrame, keep: str = "largest", fan_in: int = 8, slice_
         if held:
             yield from cut()
 
-    numbered = marked.select("key", F.coalesce("doc_id", F.lit(none)).alias("id"), "row", F.spark_partition_id().cast("long").alias("part"))
+    numbered = marked.select("key", F.coalesce("doc_id", F.lit(none)).alias("id"), "raw", "row", F.spark_partition_id().cast("long").alias("part"))
     runs = checkpointed(numbered.mapInArrow(first_runs, blob))
     part, again = F.shiftright("run", 20), F.col("run").bitwiseAND(F.lit((1 << 20) - 1))
     parts, times = (1 + (x if x is not None else -1) for x in runs.agg(F.max(part), F.max(again)).first())
@@ -155,9 +156,9 @@ def tree_merge(marked: DataFrame, keep: str = "largest", fan_in: int = 8, slice_
             for keys, values in zip(b.column("keys"), b.column("entries")):
                 run = Run.unpacked(keys.as_py(), values.as_py())
                 flat = pa.Array.from_buffers(pa.binary(KEY_BYTES), len(run.keys), [None, pa.py_buffer(run.keys.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([flat, *(pa.array(np.ascontiguousarray(run.values[:, k])) for k in range(3))], ["key", "keep", "keep_row", "n"])
+                yield pa.RecordBatch.from_arrays([flat, *(pa.array(np.ascontiguousarray(run.values[:, k])) for k in range(4))], ["key", "keep", "keep_raw", "keep_row", "n"])
 
-    return runs.select("keys", "entries").mapInArrow(entries, "key binary, keep long, keep_row long, n long")
+    return runs.select("keys", "entries").mapInArrow(entries, "key binary, keep long, keep_raw long, keep_row long, n long")
 
 
 def exact_duplicates(df: DataFrame, keep: str = "largest", fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text", slice_keys: int = SLICE_KEYS) -> DataFrame:

@@ -266,6 +266,8 @@ def _sequential(data: bytes, least: int) -> np.ndarray:
                 return np.frombuffer(bytes(out), np.uint8)
             if not entries:
                 entries = [bytes([i]) for i in range(clear)] + [b"", b""]
+            if code > len(entries) or before is None and code >= clear:
+                raise ValueError("a code comes before its entry")
             if before is None:
                 word = entries[code]
             else:
