@@ -21,6 +21,7 @@ from topicloom.plans.checkpoints import checkpointed
 
 from .lexicon import path_similarity
 from .matchers import phrase_similarity
+from .names import nearest_names
 from .numbering import with_position
 from .pairs import all_pairs
 from .profile import hashed_sample, rarest_values
@@ -141,10 +142,10 @@ class NeighbourClassifier:
 
 
 def neighbour_votes(names: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
-    """name, class, score: 1/k for each of the k nearest (known, class); ties by known and class."""
+    """name, class, score: 1/k for each of the k nearest (known, class); ties by known and class. The nearest names are found behind a bound (names.nearest_names)."""
     near = Window.partitionBy("name").orderBy("distance", "known", "class")
-    pairs = all_pairs(names, known).withColumn("distance", F.levenshtein("name", "known"))
-    voted = pairs.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k)
+    entries = nearest_names(names, known, k).join(known.select("known", "class"), "known")  # k names have k entries or more
+    voted = entries.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k)
     return voted.groupBy("name", "class").agg((F.count("*") / F.lit(k)).alias("score"))
 
 

@@ -1,4 +1,4 @@
-"""Names that are alike: a join at a threshold of the 2-gram similarity that compares few pairs.
+"""Names that are alike: a join at a threshold of the 2-gram similarity, and the nearest by edit distance, that compare few pairs.
 
 A sound bound for the distance D of names a (m characters) and b (n), as functions.similarity computes it over a table
 with a column for each character of b:
@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import Accumulator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.similarity import bigram_similarity, name_similarity
@@ -151,3 +151,95 @@ def _cells(batches):
                 held[c].append(x)
     if held["name"]:
         yield held
+
+
+#: Rows of either side of a task of nearest_names, and characters told apart by its bound.
+NEAR_ROWS, KINDS = 2048, 64
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each kind of character occurs in each text (kinds are characters by number), and lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cell = np.repeat(np.arange(len(texts)), size) * KINDS + codes % KINDS
+    return np.bincount(cell, minlength=len(texts) * KINDS).reshape(-1, KINDS).astype(np.int16), size
+
+
+def edit_distances(left: list[str], right: list[str]) -> np.ndarray:
+    """Levenshtein distances of pairs, by one table of each pair, all pairs at once."""
+    pad = max(map(len, [*left, *right]), default=0)
+    grid = lambda xs: np.array([np.pad(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.int32), (0, pad - len(x)), constant_values=-1) for x in xs]).reshape(len(xs), pad)
+    m, n = (np.fromiter(map(len, xs), np.int64, len(xs)) for xs in (left, right))
+    a, b = grid(left), grid(right)
+    row = np.tile(np.arange(pad + 1), (len(m), 1))
+    out = np.where(m == 0, n, 0)
+    out[n == 0] = m[n == 0]
+    for i in range(1, pad + 1):
+        now = np.empty_like(row)
+        now[:, 0] = i
+        best = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i - 1 : i] != b))
+        # now[j] = min over k <= j of best[k] + (j - k): one running minimum instead of a step for each column
+        shifted = np.concatenate([now[:, :1], best], axis=1) - np.arange(pad + 1)
+        now = np.minimum.accumulate(shifted, axis=1) + np.arange(pad + 1)
+        done = (m == i) & (n > 0)
+        out[done] = now[done, n[done]]
+        row = now
+    return out
+
+
+def _nearest(names: list[str], known: list[str], k: int):
+    """For each name the k known ones nearest by edit distance, ties by name: (places of names, places of known, distances, pairs compared). known comes sorted.
+
+    Two names differ in at least as many edits as either has characters that the other lacks. Known names are compared
+    in order of that bound, a few for all open names at a time, until the k-th distance found is below the next bound.
+    """
+    (x, m), (y, n) = _counted(names), _counted(known)
+    bound = np.empty((len(names), len(known)), np.int32)
+    for i in range(len(names)):
+        more = np.maximum(x[i] - y, 0).sum(axis=1)
+        bound[i] = np.maximum(more, more + n - m[i])
+    order = np.argsort(bound, axis=1, kind="stable")
+    best, open_, at, step, compared = [[] for _ in names], np.arange(len(names)), 0, max(4, 2 * k), 0
+    while len(open_) and at < len(known):
+        places = order[open_, at : at + step]
+        p, q = np.repeat(open_, places.shape[1]), places.ravel()
+        compared += len(p)
+        for i, j, d in zip(p.tolist(), q.tolist(), edit_distances([names[i] for i in p.tolist()], [known[j] for j in q.tolist()]).tolist()):
+            best[i].append((d, j))
+        at += step
+        going = []
+        for i in open_.tolist():
+            best[i] = sorted(best[i])[:k]
+            if len(best[i]) < k or at < len(known) and bound[i, order[i, at]] <= best[i][-1][0]:
+                going.append(i)
+        open_ = np.array(going, np.int64)
+    found = [(i, j, d) for i, own in enumerate(best) for d, j in own]
+    return found, compared
+
+
+def nearest_names(names: DataFrame, known: DataFrame, k: int, rows: int = NEAR_ROWS, compared: Accumulator | None = None) -> DataFrame:
+    """Name, known, distance: for each name the k nearest known names by edit distance, ties by name. `compared` counts the pairs whose distance was computed.
+
+    Both sides are dealt into blocks of about `rows`; a task compares two blocks behind the bound of _nearest and sends
+    k rows for each name.
+    """
+    a, b = names.select("name").distinct(), known.select("known").distinct()
+    i, j = (max(1, -(-df.count() // rows)) for df in (a, b))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.select(F.col("name").alias("text"), F.lit(False).alias("is_known"), block("name", i).alias("i"), every(j).alias("j"))
+    right = b.select(F.col("known").alias("text"), F.lit(True).alias("is_known"), block("known", j).alias("j"), every(i).alias("i"))
+
+    def search(table: pa.Table) -> pa.Table:
+        own = [[], []]
+        for text, side in zip(table.column("text").to_pylist(), table.column("is_known").to_pylist()):
+            own[side].append(text)
+        ours, theirs = own[0], sorted(own[1], key=lambda t: t.encode())
+        found, pairs = _nearest(ours, theirs, k) if theirs else ([], 0)
+        if compared is not None:
+            compared.add(pairs)
+        return pa.table({"name": pa.array([ours[p] for p, _, _ in found], pa.string()), "known": pa.array([theirs[q] for _, q, _ in found], pa.string()), "distance": pa.array([d for _, _, d in found], pa.int32())})
+
+    met = left.unionByName(right).filter("text IS NOT NULL").groupBy("i", "j").applyInArrow(search, "name string, known string, distance int")
+    order = Window.partitionBy("name").orderBy("distance", "known")
+    return met.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k).drop("__n")
