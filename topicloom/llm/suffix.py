@@ -13,7 +13,7 @@ anchors wherever they are, so only segments of one anchor need comparing.
 2. A slice settles equal segments: all but the earliest are copies as a whole. Anchors with one segment are done, unless
    the anchor occurs in it twice.
 3. Only segments that share their anchor with a different one (or repeat it) are cut out of their texts, dealt to blocks by anchor, and
-   searched: a block's suffixes (those that begin a window) are sorted by doubling, and for every suffix the nearest
+   searched. Windows whose hash occurs once in the block are passed over; the suffixes at the others are sorted by doubling, and for every suffix the nearest
    ones before and after it in suffix order that lie earlier in the table give the longest previous factor. Where it is
    `width` or longer its bytes are copies. Segments of an anchor that more than HOT_SEGMENTS share (a short common line
    in ever new surroundings) are cut into single windows, dealt by their content, so that no block grows with one anchor.
@@ -44,13 +44,13 @@ ANCHOR = 32
 #: A segment has at most so many windows (a text of one repeated byte would be one segment).
 SEGMENT_WINDOWS = 512
 #: A task packs its segments when it has so many.
-RUN_SEGMENTS = 1 << 19
+RUN_SEGMENTS = 1 << 17
 #: Anchors of more segments than this in one run go the way of hot ones without being counted.
 RUN_HOT = 256
 #: Anchors of more different segments are cut into windows.
 HOT_SEGMENTS = 4096
 #: Text for each slice, and bytes of segments for each block.
-SLICE_BYTES, BLOCK_BYTES = 32 << 20, 1 << 20
+SLICE_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
 #: Of the filter that tells rows with candidates.
 FILTER_BYTES = 16 << 20
 _ENTRY = np.dtype([("anchor", "<u8"), ("seg", "<u8"), ("id", "<i8"), ("raw", "<i8"), ("start", "<u4"), ("len", "<u2"), ("more", "?")])
@@ -114,7 +114,8 @@ def segments(flat: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.n
     owner = np.repeat(np.arange(len(start)), many)
     near = places[np.arange(len(owner)) + np.repeat(low - (np.cumsum(many) - many), many)]
     times = np.bincount(owner[hashes[near] == of[owner]], minlength=len(start))
-    return of, start, end + width - 1, times > 1
+    of = of * np.uint64(0x9E3779B97F4A7C15)  # smallest hashes are small: spread again, as slices go by them
+    return of ^ of >> np.uint64(32), start, end + width - 1, times > 1
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -142,7 +143,7 @@ def suffix_ranks(flat: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, list[n
         if size < 4:
             rank = rank << (9 * size) | after  # a byte and its end fit in 9 bits
         else:
-            rank = _dense(rank << 32 | after)
+            rank = _dense(rank, after)
             if not ((np.bincount(rank)[rank] > 1) & (rest >= 2 * size)).any():
                 return rank, names  # no factor of this length occurs again, so no longer one does
         size *= 2
@@ -150,8 +151,18 @@ def suffix_ranks(flat: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, list[n
             rank = _dense(rank)
 
 
-def _dense(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1] + 1
+def _dense(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Ranks from 1 of numbers, or of pairs of ranks. Up to 2^21 of them are sorted together with their places in one number."""
+    n = len(first)
+    code = first if second is None else first << (21 if n < 1 << 21 else 32) | second
+    if n >= 1 << 21:
+        return np.unique(code, return_inverse=True)[1] + 1
+    placed = code << 21 | np.arange(n)
+    placed.sort()
+    code = placed >> 21
+    rank = np.empty(n, np.int64)
+    rank[placed & ((1 << 21) - 1)] = np.cumsum(np.append(True, code[1:] != code[:-1])[:n])
+    return rank
 
 
 def longest_previous_factor(flat: np.ndarray, rest: np.ndarray, places: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,15 +228,16 @@ def _found(df: DataFrame, width: int, slice_bytes: int) -> DataFrame:
             of = (rest["anchor"] >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
             bounds = np.searchsorted(of, np.arange(slices + 1, dtype=np.uint64)) if slices < len(of) else np.append(np.nonzero(np.append(True, of[1:] != of[:-1]))[0], len(of))
             out = [(int(of[a]), rest[a:b].tobytes(), b"", b"") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if b > a]
-            own = int(xxhash.xxh64_intdigest(e[:1].tobytes(), 3)) % slices  # what is settled goes through any slice
-            contested = e[hot & ~new]
-            if len(gone) or len(contested):
-                out.append((own, b"", gone.tobytes(), contested.tobytes()))
-            for i in range(0, len(out), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1024]), (pa.int64(), *[pa.binary()] * 3))], ["slice", "entries", "gone", "contested"])
+            own = int(xxhash.xxh64_intdigest(e[:1].tobytes(), 3))  # what is settled goes through any slices, in small pieces
+            for place, part in ((2, gone), (3, e[hot & ~new])):
+                for i in range(0, len(part), 1024):
+                    own += 1
+                    out.append((own % slices, *(part[i : i + 1024].tobytes() if k == place else b"" for k in (1, 2, 3))))
+            for i in range(0, len(out), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 16]), (pa.int64(), *[pa.binary()] * 3))], ["slice", "entries", "gone", "contested"])
 
         for whole in batches:
-            for b in small([whole]):
+            for b in small([whole], limit=1 << 20):
                 flat, at = flat_utf8(b.column("text"))
                 anchor, start, stop, again = segments(flat, at, width)
                 if not len(start):
@@ -256,13 +268,42 @@ def _found(df: DataFrame, width: int, slice_bytes: int) -> DataFrame:
         e = e[first & shared[of]]
         out = []
         for part, kind in ((gone, _COPY), (read("gone"), _COPY), (e, _CONTESTED), (read("contested"), _CONTESTED)):
-            out.append(_batch(part["id"], part["raw"], part["anchor"], part["start"], part["len"], kind))
+            for i in range(0, max(1, len(part)), 1 << 15):
+                some = part[i : i + (1 << 15)]
+                out.append(_batch(some["id"], some["raw"], some["anchor"], some["start"], some["len"], kind))
         return pa.Table.from_batches(out)
 
     packed = df.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(cut, "slice long, entries binary, gone binary, contested binary")
     return packed.groupBy("slice").applyInArrow(settle, _SPANS)
 
 
+def _repeating(own: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all segments end to end, and the stretches of them (segment, start, length) whose windows' hashes all occur more than once: the suffixes of other windows have no factor of `width` bytes in common with any."""
+    size = np.fromiter(map(len, own), np.int64, len(own))
+    flat, begin = np.frombuffer(b"".join(own), np.uint8), np.cumsum(size) - size
+    half = 1 << (width.bit_length() - 1)
+    hashes = _hashes(flat, half)
+    windows = size - width + 1
+    piece = np.repeat(np.arange(len(own)), windows)
+    place = begin[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hashes = hashes[place] * np.uint64(0x9E3779B97F4A7C15) + hashes[place + width - half]
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again = np.zeros(len(place), bool)
+    again[order[1:]] = same
+    again[order[:-1]] |= same
+    kept = np.nonzero(again)[0]
+    first = np.append(True, (np.diff(kept) > 1) | (np.diff(piece[kept]) > 0))[: len(kept)]
+    first = np.nonzero(first)[0]
+    many = np.diff(np.append(first, len(kept)))
+    return flat, piece[kept[first]], place[kept[first]], many + width - 1
+
+
+def _taken(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat end to end."""
+    return flat[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
+
+
 def _filter_of(rows: DataFrame):
     """A broadcast filter of the rows (__id, __raw), bounded in size; None without rows."""
     return rows.sparkSession.sparkContext.broadcast(bounded_filter(rows.select(F.xxhash64("__id", "__raw").alias("h1"), F.xxhash64("__raw", "__id").alias("h2")), FILTER_BYTES))
@@ -327,11 +368,13 @@ def _previous(df: DataFrame, contested: DataFrame, width: int, hot_segments: int
         known = group.filter(pa.compute.is_null(group.column("own")))
         group = group.filter(pa.compute.is_valid(group.column("own")))
         own = group.column("own").to_pylist()
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat, at = np.frombuffer(b"".join(own), np.uint8), np.cumsum(size) - size
-        id_, raw, start = (group.column(c).to_numpy() for c in ("__id", "__raw", "start"))
+        flat, row, at, size = _repeating(own, width)
+        id_, raw, start = (group.column(c).to_numpy()[row] for c in ("__id", "__raw", "start"))
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        start = start + at - (np.cumsum(sizes) - sizes)[row]
+        flat, at = _taken(flat, at, size), np.cumsum(size) - size
         windows = size - width + 1
-        piece = np.repeat(np.arange(len(own)), windows)
+        piece = np.repeat(np.arange(len(size)), windows)
         offset = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
         place = start[piece] + offset
         by = np.lexsort((place, raw[piece], id_[piece]))
