@@ -146,6 +146,23 @@ def composite(scores: list[Column], weights: list[float], squash: bool = True) -
     return sigmoid(mean) if squash else mean
 
 
+#: Matchers that SQL can call, as bodies over their parameters' names; all run inside Spark's own functions.
+SQL_MATCHERS = {
+    "vector_cosine": ("x ARRAY<DOUBLE>, y ARRAY<DOUBLE>", "DOUBLE", "aggregate(zip_with(x, y, (p, q) -> p * q), 0D, (s, v) -> s + v) / nullif(sqrt(aggregate(x, 0D, (s, v) -> s + v * v)) * sqrt(aggregate(y, 0D, (s, v) -> s + v * v)), 0D)"),
+    "character_cosine": (
+        "l STRING, r STRING", "DOUBLE",
+        "coalesce(vector_cosine(transform(array_distinct(filter(split(concat(l, r), '', -1), c -> c <> '')), c -> CAST(length(l) - length(replace(l, c, '')) AS DOUBLE)), transform(array_distinct(filter(split(concat(l, r), '', -1), c -> c <> '')), c -> CAST(length(r) - length(replace(r, c, '')) AS DOUBLE))), 0D)",
+    ),
+    "composite_score": ("first DOUBLE, second DOUBLE, w1 DOUBLE, w2 DOUBLE", "DOUBLE", "1D / (1D + exp(-(coalesce(first * w1, 0D) + coalesce(second * w2, 0D)) / nullif(nvl2(first, w1, 0D) + nvl2(second, w2, 0D), 0D)))"),
+    "text_cosine": (
+        "l STRING, r STRING, boost DOUBLE", "DOUBLE",
+        "coalesce(vector_cosine(transform(array_distinct(filter(split(concat(l, ' ', r), ' ', -1), w -> w <> '')), w -> CAST(size(filter(split(l, ' ', -1), v -> v = w)) AS DOUBLE) / nullif(size(filter(split(l, ' ', -1), v -> v <> '')), 0) * if(array_contains(split(l, ' ', -1), w) AND array_contains(split(r, ' ', -1), w), boost, 1D)), transform(array_distinct(filter(split(concat(l, ' ', r), ' ', -1), w -> w <> '')), w -> CAST(size(filter(split(r, ' ', -1), v -> v = w)) AS DOUBLE) / nullif(size(filter(split(r, ' ', -1), v -> v <> '')), 0) * if(array_contains(split(l, ' ', -1), w) AND array_contains(split(r, ' ', -1), w), boost, 1D))), 0D)",
+    ),
+}
+
+
 def register_matchers(spark: SparkSession) -> None:
-    """Makes name_similarity(a, b) callable from SQL."""
+    """Makes matchers callable from SQL: name_similarity(a, b) (M1), vector_cosine(x, y) (M9), character_cosine(l, r) (M22), composite_score(first, second, w1, w2) (M34) and text_cosine(l, r, boost) (M16-M18). All but the first are SQL functions without Python, which the optimiser sees through."""
     spark.udf.register("name_similarity", _bigram_udf)
+    for name, (parameters, kind, body) in SQL_MATCHERS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")

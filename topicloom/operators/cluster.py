@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.plans.checkpoints import checkpointed
 
 from .linkage import close_rows, close_vectors, inconsistent_groups, split_parts  # noqa: F401
+from .numbering import running_sums
 from .pairs import salted_join
 
 
@@ -159,7 +160,7 @@ def table_topics(choices: DataFrame) -> DataFrame:
 
 
 def running_sections(lines: DataFrame, start: str, end: str) -> DataFrame:
-    """File, line_no, value, section of the lines between start and end markers. lines: file, line_no, value. Each file is read in order, files beside each other."""
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("section", F.sum((F.col("value") == start).cast("int")).over(order)).withColumn("ended", F.sum((F.col("value") == end).cast("int")).over(order))
+    """File, line_no, value, section of the lines between start and end markers. lines: file, line_no, value. A file of any length is read by many tasks (numbering.running_sums)."""
+    marks = {"section": (F.col("value") == start).cast("long"), "ended": (F.col("value") == end).cast("long")}
+    marked = running_sums(lines.select("file", "line_no", "value"), "file", "line_no", marks)
     return marked.filter((F.col("section") > F.col("ended")) & (F.col("value") != start)).select("file", "line_no", "value", "section")

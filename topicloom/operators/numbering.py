@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.plans.checkpoints import checkpointed
@@ -37,3 +37,22 @@ def with_position(df: DataFrame, by: str, order: str, name: str = "pos", size: s
     groups = numbered.groupBy(by).agg(F.min("__row").alias("__first"), F.count("*").alias(size))
     joined = numbered.join(groups, numbered[by].eqNullSafe(groups[by])).drop(groups[by])
     return joined.withColumn(name, F.col("__row") - F.col("__first")).drop("__row", "__first")
+
+
+def running_sums(df: DataFrame, by: str, order: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums (each row's own included) over the rows of a group in order; groups of any size are spread over tasks.
+
+    Rows are dealt by ranges of group and order. Each range adds up its part of each group, these few sums are added up
+    over the ranges before, and within a range the sums run on from there.
+    """
+    sort = [F.col(by).asc_nulls_first(), F.col(order).asc_nulls_first()]
+    valued = df.withColumns({f"__v{i}": c for i, c in enumerate(sums.values())})
+    ranged = checkpointed(valued.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *sort).sortWithinPartitions(*sort))
+    placed = ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    parts = placed.groupBy(F.col(by).alias("__by"), "__part").agg(*(F.sum(f"__v{i}").alias(f"__s{i}") for i in range(len(sums))))
+    earlier = Window.partitionBy("__by").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = parts.select("__by", F.col("__part").alias("__p"), *(F.coalesce(F.sum(f"__s{i}").over(earlier), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))))
+    within = Window.partitionBy(by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = placed.join(before, (placed["__part"] == before["__p"]) & placed[by].eqNullSafe(before["__by"]))
+    added = joined.withColumns({name: F.col(f"__b{i}") + F.coalesce(F.sum(f"__v{i}").over(within), F.lit(0)) for i, name in enumerate(sums)})
+    return added.select(*df.columns, *sums)

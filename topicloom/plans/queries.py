@@ -402,28 +402,6 @@ def onehot_topics(spark, d):
     return profile.one_hot(t(spark, d, "events"), "user_id", "event_type").select("user_id", F.array_join(F.transform("vec", lambda x: x.cast("string")), "").alias("vec"))
 
 
-TYPED = [("a", "id", "esriFieldTypeOID"), ("a", "name", "esriFieldTypeString"), ("a", "year", "esriFieldTypeSmallInteger"), ("a", "latitude", "esriFieldTypeDouble"), ("b", "name", "esriFieldTypeString"), ("b", "height", "esriFieldTypeDouble"), ("b", "picture", "esriFieldTypeBlob"), ("b", "planted", "esriFieldTypeDate"), ("b", "shape", "esriFieldTypeGeometry")]
-OBSERVED = [("a", "id"), ("a", "name"), ("a", "latitude"), ("a", "extra"), ("b", "name"), ("b", "height"), ("b", "picture"), ("b", "planted"), ("b", "longitude")]
-UNUSABLE_SQL = f"""unusable AS ((SELECT dataset, attr FROM (SELECT dataset, attr FROM {values_sql(TYPED, 'dataset, attr, data_type')} EXCEPT SELECT * FROM {values_sql(OBSERVED, 'dataset, attr')})) UNION
-(SELECT dataset, attr FROM {values_sql(OBSERVED, 'dataset, attr')} EXCEPT SELECT dataset, attr FROM {values_sql(TYPED, 'dataset, attr, data_type')}) UNION
-(SELECT dataset, attr FROM {values_sql(OBSERVED, 'dataset, attr')} WHERE attr IN ('latitude', 'longitude')))"""
-
-
-def _typed(spark):
-    return inline(spark, TYPED, "dataset string, attr string, data_type string"), inline(spark, OBSERVED, "dataset string, attr string")
-
-
-@query(f"WITH {UNUSABLE_SQL} SELECT * FROM unusable")
-def attrs_to_delete(spark, d):
-    return profile.unusable_attributes(*_typed(spark))
-
-
-@query(f"WITH {UNUSABLE_SQL} SELECT dataset, attr FROM {values_sql(TYPED, 'dataset, attr, data_type')} WHERE data_type NOT IN ('esriFieldTypeString', 'esriFieldTypeBlob') UNION SELECT * FROM unusable")
-def datatype_match_join(spark, d):
-    declared, observed = _typed(spark)
-    return profile.incompatible_attributes(declared, "esriFieldTypeString", profile.unusable_attributes(declared, observed))
-
-
 @query("""WITH n AS (SELECT c_nationkey AS dataset, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) >= 10)
 SELECT DISTINCT s_nationkey AS dataset FROM supplier WHERE s_nationkey IN (SELECT dataset FROM n) AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)""")
 def eligible_datasets(spark, d):
@@ -626,21 +604,6 @@ def thesaurus_names(spark, d):
     return lexicon.thesaurus_matcher(left, right, lemma, closure, threshold=0.49).select("left_id", "right_id", r6(F.col("score"), "score"))
 
 
-MAPPING = [("A", "x", "p"), ("A", "x", "q"), ("B", "x", "q"), ("C", "x", "r"), ("C", "y", "r"), ("C", "y", "s")]
-
-
-@query(f"""WITH m AS (SELECT * FROM {values_sql(MAPPING, 'topic, tab, attr')}), o AS (SELECT tab, topic, attr FROM m UNION SELECT DISTINCT tb.tab, tp.topic, NULL FROM m tb, m tp)
-SELECT a.tab AS "table", a.attr AS a, b.attr AS b, c.attr AS c FROM o a JOIN o b ON a.tab = b.tab AND b.topic = 'B' JOIN o c ON a.tab = c.tab AND c.topic = 'C' WHERE a.topic = 'A' AND (a.attr IS NULL OR a.attr IS DISTINCT FROM b.attr) AND (a.attr IS NULL OR a.attr IS DISTINCT FROM c.attr) AND (b.attr IS NULL OR b.attr IS DISTINCT FROM c.attr)""")
-def one_to_one_matchings(spark, d):
-    choices = cluster.one_to_one(inline(spark, MAPPING, "topic string, `table` string, attr string"))
-    return choices.select("table", *(F.col("choice")[x].alias(x.lower()) for x in "ABC"))
-
-
-@query(f"SELECT DISTINCT tab AS \"table\", topic FROM {values_sql(MAPPING, 'topic, tab, attr')}")
-def mapping_topics(spark, d):
-    return cluster.table_topics(cluster.one_to_one(inline(spark, MAPPING, "topic string, `table` string, attr string")))
-
-
 @query("""WITH e AS (SELECT DISTINCT p_brand AS s, n_regionkey AS tar, avg(l_discount) AS score FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL),
 k AS (SELECT s, tar::VARCHAR AS tar FROM e WHERE score > 0.05), m AS (SELECT s, tar AS dataset FROM k UNION SELECT s, s FROM k), tg AS (SELECT DISTINCT p_brand AS dataset, p_type AS tag FROM part UNION SELECT n_regionkey::VARCHAR, n_name FROM nation),
 p AS (SELECT DISTINCT s, tag FROM m JOIN tg USING (dataset)) SELECT dataset, array_to_string(list_sort(list(DISTINCT tag)), '|') AS tags FROM m JOIN p USING (s) GROUP BY 1""")
@@ -766,4 +729,4 @@ def iterative_discovery(spark, d):
     return found.cluster.select("concept", "src_dataset", "src_attr", "tar_dataset", "tar_attr", F.round("score", 4).alias("score"))
 
 
-from . import relation_queries  # noqa: E402,F401  registers its queries here
+from . import relation_queries, table_queries  # noqa: E402,F401  register their queries here
