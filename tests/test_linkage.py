@@ -123,8 +123,7 @@ def plain_groups(ids, close):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("threshold", [1e-9, 0.02, 0.1, 0.45, 1.0, 1.6])
-@pytest.mark.parametrize("cell", [linkage.CELL_ROWS, 5])
+@pytest.mark.parametrize("threshold,cell", [(1e-9, linkage.CELL_ROWS), (0.02, 5), (0.1, linkage.CELL_ROWS), (0.45, 5), (1.0, linkage.CELL_ROWS), (1.6, 5)])
 def test_linkage_by_pivots(spark, threshold, cell, monkeypatch):
     """Equal, scaled, opposite and zero vectors, bundles of several widths, cells of many blocks."""
     rng = np.random.default_rng(int(threshold * 100) + cell)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -207,12 +208,14 @@ def logistic_weights(rows: DataFrame, features: list[str], most_steps: int = 60,
     counts = {r["class"]: (r["n"], r["pos"]) for r in given.groupBy("class").agg(F.sum("many").alias("n"), F.sum(F.col("many") * F.col("y")).alias("pos")).collect()}  # a row for each topic
     state = {c: {"beta": np.zeros(k + 1), "step": None, "loss": np.inf} for c, (n, pos) in counts.items() if 0 < pos < n}
     columns = [f"x{i}" for i in range(k + 1)]
-    schema = "class string, n double, pos double, " + ", ".join(f"b{i} double" for i in range(k + 1))
+    names_ = ["class", "n", "pos", *(f"b{i}" for i in range(k + 1))]
     open_ = set(state)
     for _ in range(most_steps):
         if not open_:
             break
-        tried = spark.createDataFrame([(c, float(counts[c][0]), float(counts[c][1]), *map(float, state[c]["beta"])) for c in sorted(open_)], schema)
+        order = sorted(open_)
+        sizes = [[float(counts[c][i]) for c in order] for i in (0, 1)]
+        tried = spark.createDataFrame(pa.table([pa.array(order, pa.string()), *map(pa.array, sizes), *(pa.array([float(state[c]["beta"][i]) for c in order]) for i in range(k + 1))], names=names_))  # a local relation, broadcast while it is small
         z = sum((F.col(f"b{i}") * F.col(x) for i, x in enumerate(columns)), F.lit(0.0))
         weighed = given.join(tried, "class").withColumn("z", z).withColumn("p", 1 / (1 + F.exp(-F.col("z")))).withColumn("w", F.col("many") * F.when(F.col("y") == 1, F.col("n") / (2 * F.col("pos"))).otherwise(F.col("n") / (2 * (F.col("n") - F.col("pos")))))
         loss = F.col("w") * (F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("y") * F.col("z"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import similarity as sim
-from topicloom.functions import text as tx
 from topicloom.operators import cluster, learn, matchers, matching, names, profile, select
+from topicloom.operators.pairs import all_pairs
+from topicloom.sources import archives, catalogue
 
+from .checkpoints import shared_dir
 from .iterative import toy_run
 from .queries import PROFILE_SQL, inline, query, r6, stats, t, values_sql
 from .sql import bigram_sql
@@ -193,3 +197,54 @@ def sql_text_cosine(spark, d):
     """M16-M18 from SQL text."""
     sim.register_matchers(spark)
     return spark.sql("SELECT l, r, round(text_cosine(l, r, 2D), 6) AS score FROM (SELECT DISTINCT p_name AS l, concat('big ', split_part(p_name, ' ', 2), ' box') AS r FROM {part})", part=t(spark, d, "part"))
+
+
+# ---- files ----------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_name, p_brand, p_size::VARCHAR AS p_size FROM part")
+def csv_rows(spark, d):
+    """Part written as CSV with a row index, and read back as strings."""
+    path = _folder(spark, "csv")
+    t(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size").write.csv(path, header=True)
+    return catalogue.read_csv_table(spark, path)
+
+
+@query("SELECT c_custkey AS custkey, c_mktsegment AS segment, round(c_acctbal, 6) AS balance, CASE WHEN c_custkey % 2 = 0 THEN 'Point' ELSE 'Polygon' END AS geometry_type FROM customer")
+def geojson_rows(spark, d):
+    """Customers written as a feature collection for each nation, and read back by ranges of bytes."""
+    path = _folder(spark, "geojson")
+    shape = F.struct(F.when(F.col("c_custkey") % 2 == 0, "Point").otherwise("Polygon").alias("type"), F.array("c_custkey").alias("coordinates"))
+    properties = F.struct(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.struct("c_name").alias("more"))
+    features = t(spark, d, "customer").select("c_nationkey", F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), shape.alias("geometry"))).alias("f"))
+    files = features.groupBy("c_nationkey").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    files.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return catalogue.read_geojson(spark, path, range_bytes=4096).select("custkey", "segment", F.round(F.col("balance").cast("double"), 6).alias("balance"), "geometry_type")
+
+
+@query("SELECT doc_id, strlen(text) AS n_bytes, md5(text) AS digest FROM documents")
+def zipped_documents(spark, d):
+    """Documents written as members of zip archives, and read back member by member."""
+    path = _folder(spark, "zip")
+    members = t(spark, d, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), "text")
+    archives.write_zips(members.repartition(4, "name"), path, "name", "text").count()
+    return catalogue.read_zip(spark, path).select(F.split_part("file", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+# ---- drivers --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_type AS class, classifier, count(*) AS n FROM (SELECT DISTINCT p_type FROM part), (VALUES ('chars'), ('names')) AS v(classifier) GROUP BY ALL")
+def kept_weights(spark, d):
+    """weights of two scores of part rows for each type, saved and read again; the keys are compared here, the values in tests."""
+    part = t(spark, d, "part").withColumn("name", F.split("p_name", " ")[1])
+    rows = part.select(F.col("p_partkey").alias("row_id"), F.col("p_type").alias("class"))
+    classes = rows.select("class").distinct()
+    scored = all_pairs(part.select(F.col("p_partkey").alias("row_id"), "name"), classes).withColumn("chars", sim.character_cosine(F.col("name"), F.lower("class"))).withColumn("names", F.length("name") / (F.length("name") + F.length("class")))
+    path = _folder(spark, "weights")
+    learn.save_weights(learn.meta_weights(scored.select("row_id", "class", "chars", "names"), rows, ["chars", "names"]), path)
+    return learn.load_weights(spark, path).filter("weight IS NOT NULL").groupBy("class", "classifier").agg(F.count("*").alias("n"))

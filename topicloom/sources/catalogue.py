@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +9,9 @@ from pyspark.sql import types as T
 from topicloom.functions.text import clean_name, file_name
 from topicloom.operators.names import similar_names
 
+from .archives import RANGE_BYTES, register_sources
+
+
 def file_stem(path: str) -> str:
     """A path's last part without its ending."""
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -42,28 +41,28 @@ def csv_resources(links: DataFrame) -> DataFrame:
     return links.select("dataset", F.struct(F.lit("csv").alias("format"), F.col("file").alias("data")).alias("resource"))
 
 
-def read_geojson(spark: SparkSession, path: str, flat: bool = True) -> DataFrame:
-    """A row for each feature: its properties, in name order and without nested ones if flat, and geometry_type."""
-    features = spark.read.json(path, multiLine=True).select(F.explode("features").alias("f"))
-    properties = features.schema["f"].dataType["properties"].dataType
-    plain = [x.name for x in properties if not flat or not isinstance(x.dataType, (T.StructType, T.ArrayType, T.MapType))]
+def read_geojson(spark: SparkSession, path: str, flat: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A row for each feature: its properties, in name order and without nested ones if flat, and geometry_type. A file is cut at feature boundaries and read by many tasks (archives.FeatureSource); types are inferred from all features."""
+    register_sources(spark)
+    text = spark.read.format("geojson_features").option("rangebytes", range_bytes).load(path).select("feature")
+    kinds = text.select(F.schema_of_variant_agg(F.parse_json("feature")).alias("kind")).first()["kind"]
+    if not kinds or kinds == "VOID":
+        return spark.createDataFrame([], "geometry_type string")
+    features = text.select(F.from_json("feature", kinds.replace("OBJECT<", "STRUCT<")).alias("f"))
+    inner = features.schema["f"].dataType
+    properties = inner["properties"].dataType if "properties" in inner.names else None
+    fields = properties.fields if isinstance(properties, T.StructType) else []
+    plain = [x.name for x in fields if not flat or not isinstance(x.dataType, (T.StructType, T.ArrayType, T.MapType))]
     names = sorted(plain) if flat else plain
-    return features.select(*[F.col(f"f.properties.`{n}`").alias(n) for n in names], F.col("f.geometry.type").alias("geometry_type"))
+    shape = F.col("f.geometry.type") if "geometry" in inner.names and isinstance(inner["geometry"].dataType, T.StructType) else F.lit(None).cast("string")
+    return features.select(*[F.col(f"f.properties.`{n}`").alias(n) for n in names], shape.alias("geometry_type"))
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """File, content of every member of zip files; a member without an ending counts as .csv. Archives are read whole, a row each."""
-
-    def members(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir():
-                            name = info.filename.rsplit("/", 1)[-1]
-                            yield pd.DataFrame({"file": [name if "." in name else f"{name}.csv"], "content": [z.read(info)]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "file string, content binary")
+    """File, content of every member of zip files; a member without an ending counts as .csv. An archive's members are read by many tasks (archives.MemberSource)."""
+    register_sources(spark)
+    name = F.element_at(F.split("member", "/"), -1)
+    return spark.read.format("zip_members").load(path).select(F.when(F.instr(name, ".") > 0, name).otherwise(F.concat(name, F.lit(".csv"))).alias("file"), "content")
 
 
 def parse_layers(layers: DataFrame) -> DataFrame:
