@@ -26,7 +26,9 @@ def initialize(topics: DataFrame, attrs: DataFrame, stats: DataFrame) -> DataFra
     """K4: kb_match of topics (dataset, topic) against their tables' attributes (dataset, name, ordinal, data_type, domain, coded_values)."""
     pairs = topics.select("dataset", "topic").distinct().join(attrs.select("dataset", F.col("name").alias("attribute"), "ordinal"), "dataset")
     best = select.best_attribute(pairs.withColumn("score", name_similarity(F.col("topic"), F.col("attribute"))))
-    examples = profile.example_values(best, profile.coded_values(attrs, stats))
+    chosen = best.select("dataset", F.col("attribute").alias("name")).distinct()  # values are listed for these alone
+    known, held = attrs.join(chosen, ["dataset", "name"], "left_semi"), stats.join(chosen.withColumnRenamed("name", "attr"), ["dataset", "attr"], "left_semi")
+    examples = profile.example_values(best, profile.coded_values(known, held))
     return examples.select(F.col("topic").alias("concept"), "dataset", "attribute", F.col("score").alias("match_score"), "example_values", "data_type")
 
 
@@ -66,6 +68,8 @@ def _moved(base: KnowledgeBase, moves: DataFrame) -> KnowledgeBase:
     to = moves.select("concept", "src_dataset", "new_concept").distinct()
     match = base.match.join(to.withColumnRenamed("src_dataset", "dataset"), ["concept", "dataset"], "left").withColumn("concept", F.coalesce("new_concept", "concept")).drop("new_concept")
     found = base.cluster.join(to, ["concept", "src_dataset"], "left").withColumn("concept", F.coalesce("new_concept", "concept")).drop("new_concept")
+    # Concepts that held the same mapping hold it once when they are joined.
+    found = select.best_per(found, ["concept", "src_dataset", "src_attr", "tar_dataset", "tar_attr"], "tar_attr", "score")
     return KnowledgeBase(checkpointed(select.best_per(match, ["concept", "dataset", "attribute"], "data_type", "match_score")), checkpointed(found))
 
 

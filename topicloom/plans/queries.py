@@ -711,11 +711,8 @@ def lda_topics(spark, d):
     return model.select("id", "topic", F.round("weight", 4).alias("weight"), "rank")
 
 
-@query()
-def iterative_discovery(spark, d):
-    """The whole of entry A over the star schema's tables."""
-    from .iterative import discover
-
+def _profiled_values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """attrs and values of the profiled tables, for entry A."""
     values, declared = None, []
     for name, columns in PROFILED.items():
         df = t(spark, d, name).select(*columns)
@@ -723,10 +720,37 @@ def iterative_discovery(spark, d):
         own = df.select(F.lit(name).alias("dataset"), F.col(columns[0]).alias("ordinal"), F.explode(cells).alias("x")).select("dataset", "x.attr", "ordinal", "x.value")
         values = own if values is None else values.unionAll(own)
         declared += [(name, c, i, "esriFieldTypeString" if k == "string" else "esriFieldTypeInteger", None, None) for i, (c, k) in enumerate(df.dtypes)]
-    attrs = inline(spark, declared, "dataset string, name string, ordinal int, data_type string, domain string, coded_values array<string>")
+    return inline(spark, declared, "dataset string, name string, ordinal int, data_type string, domain string, coded_values array<string>"), values
+
+
+_MAPPED = ["concept", "src_dataset", "src_attr", "tar_dataset", "tar_attr"]
+
+
+@query()
+def iterative_discovery(spark, d):
+    """The whole of entry A over the star schema's tables."""
+    from .iterative import discover
+
+    attrs, values = _profiled_values(spark, d)
     topics = inline(spark, [("nation", "name"), ("customer", "segment"), ("part", "brand")], "dataset string, topic string")
     found = discover(topics, topics.unionAll(inline(spark, [("part", "size")], "dataset string, topic string")), attrs, values, stats(spark, d))
-    return found.cluster.select("concept", "src_dataset", "src_attr", "tar_dataset", "tar_attr", F.round("score", 4).alias("score"))
+    return found.cluster.select(*_MAPPED, F.round("score", 4).alias("score"))
+
+
+#: Topics that several tables have, so that concepts have several sources, of which some are joined.
+SHARED_TOPICS = [(x, "nationkey") for x in ("nation", "customer", "supplier")] + [("part", "size"), ("customer", "custkey"), ("supplier", "suppkey")] + [(x, "key") for x in ("part", "customer", "nation")] + [(x, "name") for x in ("region", "nation", "customer", "supplier")]
+
+
+@query()
+def merging_discovery(spark, d):
+    """Entry A over topics that several tables share: one round, in which sources of different concepts are joined."""
+    from .iterative import discover
+    from .params import Params
+
+    attrs, values = _profiled_values(spark, d)
+    topics = inline(spark, SHARED_TOPICS, "dataset string, topic string")
+    found = discover(topics, topics, attrs, values, stats(spark, d), Params(rounds=1))
+    return found.cluster.select(*_MAPPED, F.round("score", 4).alias("score"))
 
 
 from . import relation_queries, table_queries  # noqa: E402,F401  register their queries here
