@@ -370,15 +370,15 @@ def consumed_scores(spark, d):
     return select.consumed(rows, ["l_suppkey", "l_partkey"]).drop("ordinal").withColumn("score", F.round("score", 6))
 
 
-@query("""WITH o AS (SELECT DISTINCT user_id, event_type FROM events), s AS (SELECT x.user_id AS a, y.user_id AS b, count(*) AS shared FROM o x JOIN o y ON x.event_type = y.event_type AND x.user_id <> y.user_id WHERE x.event_type <> 'click' GROUP BY ALL),
+@query("""WITH o AS (SELECT DISTINCT o_custkey AS item, o_orderdate AS topic FROM orders), s AS (SELECT x.item AS a, y.item AS b, count(*) AS shared FROM o x JOIN o y ON x.topic = y.topic AND x.item <> y.item GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS rank FROM s),
-x AS (SELECT g.a, u.b FROM (SELECT DISTINCT a FROM r) g, (SELECT DISTINCT user_id AS b FROM o) u WHERE g.a <> u.b AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = g.a AND r.b = u.b)),
+x AS (SELECT g.a, u.b FROM (SELECT DISTINCT a FROM r) g, (SELECT DISTINCT item AS b FROM o) u WHERE g.a <> u.b AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = g.a AND r.b = u.b)),
 y AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY md5('3:' || a || ':' || b), b) AS n FROM x)
 SELECT a, b, true AS positive FROM r WHERE rank <= 5 UNION ALL SELECT a, b, false FROM y WHERE n <= 5""")
 def table_mixes(spark, d):
-    events = t(spark, d, "events")
-    ranked = matchers.shared_topics(events.filter("event_type <> 'click'"), "user_id", "event_type")
-    return select.table_mixes(ranked, events.select(F.col("user_id").alias("item")), 10, 5)
+    """Customers as tables, the days on which they order as topics."""
+    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderdate").alias("topic"))
+    return select.table_mixes(matchers.shared_topics(orders, "item", "topic"), orders, 10, 5)
 
 
 # ---- inversion, knowledge base, clusters ----------------------------------------------------------------------
