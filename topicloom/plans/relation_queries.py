@@ -128,21 +128,38 @@ def context_similarity(spark, d):
     return lexicon.context_similarity(attributes, topics, lex.closure).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH RECURSIVE {LEX_SQL}, names AS (SELECT p_brand AS dataset, name, list(DISTINCT type) || list(DISTINCT adj) || [name, 'thing'] AS words FROM (SELECT p_brand, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS name, lower(p_type) AS type FROM part) GROUP BY p_brand, name),
+ENRICHED_SQL = f"""WITH RECURSIVE {LEX_SQL}, names AS (SELECT p_brand AS dataset, name, list(DISTINCT type) || list(DISTINCT adj) || [name, 'thing'] AS words FROM (SELECT p_brand, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS name, lower(p_type) AS type FROM part) GROUP BY p_brand, name),
 defs AS (SELECT noun || '.n' AS synset, 'A ' || string_agg(DISTINCT adj, ', ' ORDER BY adj) || ' [thing]; large?' AS definition FROM nm GROUP BY noun),
 near AS (SELECT child AS synset, parent AS other FROM hyp UNION ALL SELECT parent, child FROM hyp), lw AS (SELECT synset, unnest(string_split(lemma, '_')) AS w FROM lem),
 tg AS (SELECT n.dataset, n.name, lem.synset, words, list_distinct(list_filter(string_split_regex(lower(regexp_replace(definition, '[\\[\\]()_,;.:!?"'']', ' ', 'g')), '\\s+'), lambda w: w <> '')
   || (SELECT coalesce(list(w), []) FROM lw WHERE lw.synset = lem.synset) || (SELECT coalesce(list(w), []) FROM near JOIN lw ON lw.synset = near.other WHERE near.synset = lem.synset) || (SELECT coalesce(list(antonym), []) FROM lem y JOIN opp USING (lemma) WHERE y.synset = lem.synset)) AS target
   FROM names n JOIN lem ON lem.lemma = n.name LEFT JOIN defs USING (synset))
 SELECT dataset, name, synset, array_to_string(list_sort(list_filter(list_distinct(words), lambda w: w <> name)), '|') AS source_words, array_to_string(list_sort(list_filter(target, lambda w: w <> name)), '|') AS target_words,
-array_to_string(list_sort(list_filter(list_distinct(words), lambda w: w <> name AND list_contains(target, w))), '|') AS overlap FROM tg""")
-def enriched_names(spark, d):
+array_to_string(list_sort(list_filter(list_distinct(words), lambda w: w <> name AND list_contains(target, w))), '|') AS overlap FROM tg"""
+
+
+def _named(spark: SparkSession, d: str) -> tuple:
+    """names, synset definitions and the lexicon of part."""
     lex, part, words = Lexicon(spark, d), t(spark, d, "part"), F.split("p_name", " ")
     names = part.groupBy(F.col("p_brand").alias("dataset"), words[1].alias("name")).agg(F.collect_set(F.lower("p_type")).alias("x"), F.collect_set(words[0]).alias("y")).select("dataset", "name", F.concat("x", "y", F.array("name", F.lit("thing"))).alias("words"))
     synset = lex.names.groupBy("noun").agg(F.sort_array(F.collect_set("adj")).alias("adjs")).select(F.concat("noun", F.lit(".n")).alias("synset"), F.concat(F.lit("A "), F.array_join("adjs", ", "), F.lit(" [thing]; large?")).alias("definition"))
+    return names, synset, lex
+
+
+@query(ENRICHED_SQL)
+def enriched_names(spark, d):
+    names, synset, lex = _named(spark, d)
     return lexicon.enrich(names, synset, lex.lemma, lex.hypernym, lex.antonym).select("dataset", "name", "synset", *map(joined, ("source_words", "target_words", "overlap")))
 
 
+@query(ENRICHED_SQL)
+def enriched_in_steps(spark, d):
+    """The names of brands up to 3 first, then only those that have no contexts yet."""
+    names, synset, lex = _named(spark, d)
+    done = lexicon.enrich(names.filter("dataset < 'Brand#3'"), synset, lex.lemma, lex.hypernym, lex.antonym)
+    return lexicon.enrich_missing(names, done, synset, lex.lemma, lex.hypernym, lex.antonym).select("dataset", "name", "synset", *map(joined, ("source_words", "target_words", "overlap")))
+
+
 @query("""WITH s AS (SELECT doc_id AS id, unnest(string_split(regexp_replace(translate(regexp_replace(text, '[\\[\\](){}]', '', 'g'), '_', ' '), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(translate(regexp_replace(text, '[\\[\\](){}]', '', 'g'), '_', ' '), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), 1) - 1 AS sentence FROM documents)
 SELECT id, sentence::INT AS sentence, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT id, sentence, regexp_extract_all(s, '[\\p{L}\\p{N}]+(?:[''-][\\p{L}\\p{N}]+)*') AS w FROM s) WHERE len(w) > 0""")
 def sentence_words(spark, d):
@@ -569,7 +586,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY dataset, attr ORDER BY score DES
 SELECT dataset, topic AS concept, attr AS attribute, round(score, 6) AS match_score FROM r WHERE n <= 4"""
 
 
-@query(_mapped_sql("SELECT c.dataset, attr, ordinal, topic FROM cols c, (SELECT DISTINCT topic FROM tags)", "0.4::DOUBLE * ngram + 0.6::DOUBLE * wordnet", "CASE WHEN 0.4 * ngram >= 0.6 * wordnet THEN 'ngram' ELSE 'wordnet' END"))
+LOCAL_SQL = _mapped_sql("SELECT c.dataset, attr, ordinal, topic FROM cols c, (SELECT DISTINCT topic FROM tags)", "0.4::DOUBLE * ngram + 0.6::DOUBLE * wordnet", "CASE WHEN 0.4 * ngram >= 0.6 * wordnet THEN 'ngram' ELSE 'wordnet' END")
+
+
+@query(LOCAL_SQL)
 def local_topics(spark, d):
     """Every table's columns mapped to all tags, by names and meanings."""
     from .guiding import local_mapping
@@ -577,6 +597,15 @@ def local_topics(spark, d):
     return local_mapping(star_catalogue(spark, d)).drop("source_dataset").withColumn("match_score", F.round("match_score", 6))
 
 
+@query(f"SELECT * FROM ({LOCAL_SQL}) WHERE dataset <> 'part'")
+def local_topics_of_the_rest(spark, d):
+    """The tables that are mapped already are left out."""
+    from .guiding import local_mapping
+
+    done = t(spark, d, "part").select(F.lit("part").alias("dataset")).distinct()
+    return local_mapping(star_catalogue(spark, d), done=done).drop("source_dataset").withColumn("match_score", F.round("match_score", 6))
+
+
 @query(_mapped_sql("SELECT DISTINCT c.dataset, attr, ordinal, topic FROM cols c JOIN tags USING (dataset)", "CASE WHEN ngram >= wordnet THEN ngram ELSE least(wordnet * overlap, 1) END", "CASE WHEN ngram >= wordnet THEN 'ngram' ELSE 'wordnet' END"))
 def own_topics(spark, d):
     """Every table's columns mapped to the table's own tags; the winner of the matchers counts."""
