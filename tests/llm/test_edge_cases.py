@@ -207,7 +207,7 @@ def test_pipeline_against_brute_force(spark, data):
 
 
 def test_registered_queries_read_all(spark, data):
-    assert list(queries.QUERIES) == ["op1_sharding", "op2_url_filter", "op3_packing", "op4_token_files", "op5_simhash", "op6_mixing", "op7_quality", "op8_exact_dedup", "op9_gif", "op10_secrets"]
+    assert list(queries.QUERIES) == ["op1_sharding", "op2_url_filter", "op3_packing", "op4_token_files", "op5_simhash", "op6_mixing", "op7_quality", "op8_exact_dedup", "op9_gif", "op10_secrets", "op11_merkle", "op12_periodic", "op13_suffix_dedup"]
 
 
 def _shingle_set(text):
