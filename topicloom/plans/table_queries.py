@@ -75,7 +75,7 @@ def matching_counts(spark, d):
     return matching.matching_counts(matching.matching_diagram(_candidates(spark, d))).withColumn("ways", F.col("ways").cast("long"))
 
 
-@query(f"""WITH RECURSIVE {CANDIDATES_SQL}, {LISTED_SQL}, own AS (SELECT tab, tp.topic, list_filter(choice, lambda x: starts_with(x, tp.topic || '=')) AS x FROM done, tp)
+@query(f"""WITH RECURSIVE {CANDIDATES_SQL}, {LISTED_SQL}, own AS (SELECT tab, g.topic, list_filter(choice, lambda x: starts_with(x, g.topic || '=')) AS x FROM done JOIN (SELECT DISTINCT tab, topic FROM c) g USING (tab))
 SELECT tab AS "table", topic, CASE WHEN len(x) > 0 THEN substr(x[1], length(topic) + 2) END AS attr, count(*) AS ways FROM own GROUP BY ALL""")
 def topic_shares(spark, d):
     """In how many ways each type takes each size, from the decision diagram."""
