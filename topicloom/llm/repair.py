@@ -42,91 +42,116 @@ LEAST = 8
 STEP = 4
 
 
-def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return left.astype(np.uint64) << np.uint64(32) | right
-
-
-def _counted(left: np.ndarray, right: np.ndarray, usable: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs, ascending, and how often they occur: those with at least a STEP-th of the count of the fullest hash slot, or less where none has, down to `least`."""
-    bins = 1 << 18
-    slot = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(14)
-    slot[~usable] = bins
-    held = np.bincount(slot, minlength=bins + 1)
-    held[bins] = 0
-    bound = max(least, int(held.max()) // STEP)
+#: Pairs are counted in 2^SLOT_BITS slots at most before they are counted exactly.
+SLOT_BITS = 20
+
+
+def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _frequent(pairs: np.ndarray, full: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs, ascending, how often they occur, and where they may be: those with at least a STEP-th of the count of the fullest slot, or less where none has, down to `least`. full: how often each pair's slot occurs."""
+    bound = max(least, int(full.max(initial=0)) // STEP)
     while True:
-        full = np.nonzero((held >= bound)[slot])[0]  # a slot that holds a frequent pair is as full
-        found, counts = np.unique(_pairs(left[full], right[full]), return_counts=True)
+        maybe = np.nonzero(full >= bound)[0]  # a slot that holds a frequent pair is as full
+        found, counts = np.unique(pairs[maybe], return_counts=True)
         often = counts >= bound
         if often.any() or bound == least:
-            return found[often], counts[often]
+            return found[often], counts[often], maybe
         bound = max(least, bound // STEP)
 
 
-def _alternate(at: np.ndarray) -> np.ndarray:
-    """Of positions in a row every other one: which of ascending positions can be replaced together."""
-    run = np.append(True, np.diff(at) > 1) if len(at) else np.empty(0, bool)
-    first = at[np.nonzero(run)[0]][np.cumsum(run) - 1] if len(at) else at
-    return (at - first) % 2 == 0
-
-
-def _occurrences(left: np.ndarray, right: np.ndarray, usable: np.ndarray, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the chosen pairs (ascending) are replaced, and which of them each is: of two that overlap the more frequent pair's."""
-    starts, stops = np.zeros(int(left.max()) + 1, bool), np.zeros(int(right.max()) + 1, bool)  # other symbols are passed over before the search
-    starts[(chosen >> np.uint64(32)).astype(np.int64)] = True
-    stops[(chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-    maybe = np.nonzero(starts[left] & usable)[0]
-    maybe = maybe[stops[right[maybe]]]
-    code = _pairs(left[maybe], right[maybe])
-    place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-    hit = chosen[place] == code
-    at, rule = maybe[hit], place[hit]
-    rank = np.empty(len(chosen), np.int64)
-    rank[np.lexsort((chosen, -counts))] = np.arange(len(chosen))
-    own, close = rank[rule], np.diff(at) == 1
-    taken = np.ones(len(at), bool)
-    taken[1:] &= ~close | (own[1:] < own[:-1])
-    taken[:-1] &= ~close | (own[:-1] < own[1:])
-    return at[taken], rule[taken]
-
-
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(symbols, rules of each round, whether a symbol ends a document) of the ids; ends: True at the last id of each document."""
-    names = int(ids.max()) + 1 if len(ids) else 1
-    symbols, last, rounds = ids.astype(np.uint32), ends, []
+    """(symbols, rules of each round, whether a symbol ends a document) of the ids; ends: True at the last id of each document.
+
+    Symbols stay where they are and name the places of their neighbours in the document (n: none). A round looks only
+    at places whose pair may still occur `least` times: a pair becomes rarer by what is replaced, and the places beside
+    a replacement are looked at again. When no pair is left, all places are looked at once more.
+    """
+    n, names = len(ids), int(ids.max()) + 1 if len(ids) else 1
+    symbols, rounds = np.append(ids, 0).astype(np.uint32), []
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[:n][ends] = n
+    before[1:][ends] = n
+    before[:1] = n
+    kept = np.arange(n + 1) < n
+    open_, whole = kept & (after < n), True
+    bits = max(10, min(SLOT_BITS, n.bit_length()))
+    ruled = np.full(1 << bits, -1, np.int64)
     known, named = np.empty(0, np.uint64), np.empty(0, np.int64)  # pairs that have a rule, ascending, and their nonterminals
-    while len(symbols) > 1:
-        left, right, usable = symbols[:-1], symbols[1:], ~last[:-1]
-        same = np.nonzero(usable & (left == right))[0]  # overlaps itself: it counts as often as it can be replaced
-        usable[same[~_alternate(same)]] = False
-        chosen, counts = _counted(left, right, usable, least)
+    while True:
+        at = np.nonzero(open_)[0]
+        following = after[at]
+        left, right = symbols[at], symbols[following]
+        pairs = left.astype(np.uint64) << np.uint64(32) | right
+        slot = _slots(pairs, bits) + 1
+        same = np.nonzero(left == right)[0]  # overlaps itself: it counts as often as it can be replaced
+        starts = np.append(True, at[same[1:]] != following[same[:-1]])[: len(same)]
+        slot[same[(np.arange(len(same)) - np.nonzero(starts)[0][np.cumsum(starts) - 1]) % 2 == 1]] = 0
+        held = np.bincount(slot, minlength=(1 << bits) + 1)
+        held[0] = 0
+        full = held[slot]
+        rare = full < least
+        rare[same] = False
+        open_[at[rare]] = False
+        chosen, counts, maybe = _frequent(pairs, full, least)
         if not len(chosen):
-            break
-        at, rule = _occurrences(left, right, usable, chosen, counts)
+            if whole:
+                break
+            open_, whole = kept & (after < n), True
+            continue
+        # The more frequent pair goes first where two overlap, or share a slot: the other one waits.
+        order = np.lexsort((chosen, -counts))
+        rank = np.empty(len(chosen), np.int64)
+        rank[order] = np.arange(len(chosen))
+        place = _slots(chosen, bits)
+        ruled[place[order[::-1]]] = order[::-1]
+        rule = ruled[slot[maybe] - 1]
+        hit = np.nonzero((rule >= 0) & (slot[maybe] > 0))[0]
+        hit = hit[chosen[rule[hit]] == pairs[maybe[hit]]]
+        ruled[place] = -1
+        rule, where = rule[hit], maybe[hit]
+        own, close = rank[rule], at[where][1:] == following[where[:-1]]
+        taken = np.ones(len(where), bool)
+        taken[1:] &= ~close | (own[1:] < own[:-1])
+        taken[:-1] &= ~close | (own[:-1] < own[1:])
+        where, rule = at[where[taken]], rule[taken]
         often = np.bincount(rule, minlength=len(chosen)) >= least  # pairs that lost too many places to others wait; the most frequent loses none
-        at, rule, chosen = at[often[rule]], (np.cumsum(often) - 1)[rule[often[rule]]], chosen[often]
+        where, rule, chosen = where[often[rule]], (np.cumsum(often) - 1)[rule[often[rule]]], chosen[often]
         place = np.minimum(np.searchsorted(known, chosen), max(0, len(known) - 1))
         old = known[place] == chosen if len(known) else np.zeros(len(chosen), bool)
         number = names + np.cumsum(~old) - 1
         number[old] = named[place[old]]
-        symbols = symbols.copy()
-        symbols[at] = number[rule].astype(np.uint32)
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        last = last.copy()
-        last[at] = last[at + 1]
-        symbols, last, new = symbols[keep], last[keep], chosen[~old]
+        gone = after[where]
+        symbols[where] = number[rule].astype(np.uint32)
+        after[where] = after[gone]
+        before[after[where]] = where
+        kept[gone] = open_[gone] = whole = False
+        open_[before[where]] = True
+        open_[where] = after[where] < n
+        open_[n], new = False, chosen[~old]
         if len(new):
             order = np.argsort(np.concatenate([known, new]), kind="stable")
             known, named = np.concatenate([known, new])[order], np.concatenate([named, number[~old]])[order]
             rounds.append(np.column_stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
             names += len(new)
-    return symbols, rounds, last
+    left = np.nonzero(kept)[0]
+    return symbols[left], rounds, after[left] == n
 
 
 def _bits(values: np.ndarray, width: int) -> bytes:
-    """Numbers of `width` bits end to end, lowest bit first."""
-    return np.packbits((values[:, None] >> np.arange(width, dtype=np.uint32) & np.uint32(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+    """Numbers of `width` bits end to end, lowest bit first: of 64 numbers `width` words are made."""
+    v = np.zeros(-(-len(values) // 64) * 64, np.uint64)
+    v[: len(values)] = values
+    v = np.ascontiguousarray(v.reshape(-1, 64).T)
+    out = np.zeros((width, v.shape[1]), np.uint64)
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        out[word] |= v[k] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= v[k] >> np.uint64(64 - shift)
+    return out.T.astype("<u8").tobytes()[: -(-len(values) * width // 8)]
 
 
 def _numbers(packed: np.ndarray, width: int, first: int, count: int) -> np.ndarray:

@@ -10,23 +10,34 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from .common import flat_utf8
 
-#: Distinct pieces a worker keeps; beyond them it starts anew.
-CACHE_PIECES = 600_000
+#: Distinct pieces a worker keeps; beyond them it starts anew. Each takes some 60 bytes.
+CACHE_PIECES = 1_000_000
+#: Pieces that are looked up at once.
+CHUNK_PIECES = 1 << 17
 #: Texts are encoded in slices of about so many bytes, for each of which arrays of some 30 bytes are held.
 SLICE_BYTES = 1 << 19
 
 _byte = np.arange(256)
-SPACE, LETTER, SIGN, LEAD, QUOTE = 1, 2, 4, 8, 16
 _ASCII_LETTER = ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122))
-#: What each byte of UTF-8 can be: white space, ASCII letter, other ASCII sign, first byte of a two-byte letter.
-_KIND = (np.isin(_byte, [9, 10, 13, 32]) * SPACE | _ASCII_LETTER * LETTER | ((_byte < 128) & ~np.isin(_byte, [9, 10, 13, 32]) & ~_ASCII_LETTER) * SIGN | ((_byte >= 0xC3) & (_byte <= 0xC9)) * LEAD | (_byte == 39) * QUOTE).astype(np.uint8)
-_LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uint8)
+_SPACE = np.isin(_byte, [9, 10, 13, 32])
+OTHER, SPACE, LETTER, SIGN, QUOTE = range(5)
+#: What each byte of UTF-8 is: white space, letter (ASCII, or first byte of a two-byte one), other ASCII sign, apostrophe.
+_KIND = np.select([_SPACE, _ASCII_LETTER | ((_byte >= 0xC3) & (_byte <= 0xC9)), _byte == 39, _byte < 128], [SPACE, LETTER, QUOTE, SIGN], OTHER).astype(np.uint8).tobytes()
+_LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uint8).tobytes()
+_was, _is = _byte >> 3, _byte & 7
+#: For the kinds of a byte and the one before (times 8): 1 where a piece begins, 2 where white space begins.
+BEGINS, ENDS = 1, 2
+_MARK = np.select([(_is == SPACE) & (_was != SPACE), (_is != SPACE) & ((_was == SPACE) | ((_was == LETTER) & ((_is == SIGN) | (_is == QUOTE))) | ((_was == SIGN) & (_is == LETTER)))], [ENDS, BEGINS], 0).astype(np.uint8).tobytes()
+#: A key is up to 15 bytes of a piece and its length, in two words; longer pieces are kept in a dictionary.
+KEY_BYTES = 15
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 #: Pairs of bytes that send a text to the library whole: `<|`, U+0130, U+023A, U+023E.
@@ -56,9 +67,13 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.length, self.flat = (np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32), np.empty(1 << 18, np.uint32))
-        self.used = 0
+        self.long: dict[bytes, int] = {}
+        self.kept, self.used, self.flat = 0, 0, np.empty(1 << 18, np.uint32)
+        self._room(1 << 17)
+
+    def _room(self, slots: int) -> None:
+        """An empty table of keys, and of where in `flat` their ids lie (start * 2^32 + number)."""
+        self.low, self.high, self.span = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,57 +93,87 @@ class Encoder:
             out[i] = ids
         return out
 
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """The cache's numbers of the pieces, which are distinct."""
-        get = self.known.get
-        found = np.array([get(p, -1) for p in pieces], np.int64)
-        missing = np.nonzero(found < 0)[0]
-        if not len(missing):
-            return found
-        if len(self.known) + len(missing) > CACHE_PIECES and self.known:
-            self._reset()
-            missing = np.arange(len(pieces))
-        new = [pieces[i] for i in missing.tolist()]
-        ids = self._pieces(new)
+    def _places(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of every key, and the slots that were free until now. Keys whose slot is taken by another try the next."""
+        slots, new = len(self.high), []
+        mixed = (low ^ high * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        at, out, open_ = (mixed >> np.uint64(65 - slots.bit_length())).view(np.int64), np.empty(len(low), np.int64), np.arange(len(low))
+        while len(open_):
+            own, a, b = at[open_], low[open_], high[open_]
+            free = np.nonzero(self.high[own] == 0)[0]
+            if len(free):
+                self.low[own[free]], self.high[own[free]] = a[free], b[free]  # of several the last one takes it
+                new.append(np.unique(own[free]))
+            found = (self.low[own] == a) & (self.high[own] == b)
+            out[open_[found]] = own[found]
+            open_ = open_[~found]
+            at[open_] = (at[open_] + 1) & (slots - 1)
+        return out, np.concatenate(new) if new else np.empty(0, np.int64)
+
+    def _spans(self, pieces: list[bytes]) -> np.ndarray:
+        """Encodes distinct pieces, and where in `flat` their ids are put."""
+        ids = self._pieces(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, more = len(self.known), int(sizes.sum())
-        while n + len(new) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        more = int(sizes.sum())
         while self.used + more > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + more] = np.fromiter((i for x in ids for i in x), np.uint32, more)
-        ends = np.cumsum(sizes)
-        self.start[n : n + len(new)], self.length[n : n + len(new)] = self.used + ends - sizes, sizes
-        self.used += more
-        self.known.update(zip(new, range(n, n + len(new))))
-        found[missing] = np.arange(n, n + len(new))
-        return found
+        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used, self.kept = self.used + more, self.kept + len(pieces)
+        return starts << 32 | sizes
+
+    def _ids(self, text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some pieces end to end, and how many each has. text: 16 bytes longer than the last piece."""
+        if self.kept > CACHE_PIECES:
+            self._reset()
+        while 3 * (self.kept + len(begins)) > 2 * len(self.high):
+            low, high, span = self.low, self.high, self.span
+            self._room(2 * len(high))
+            held = np.nonzero(high)[0]
+            self.span[self._places(low[held], high[held])[0]] = span[held]
+        sizes, spans = ends - begins, np.empty(len(begins), np.int64)
+        short = sizes <= KEY_BYTES
+        at, n = begins[short], sizes[short]
+        words = np.ndarray(len(text) - 7, "<u8", text, 0, (1,))
+        low, high = words[at] & _FIRST[np.minimum(n, 8)], words[at + 8] & _FIRST[np.maximum(n - 8, 0)] | n.astype(np.uint64) << np.uint64(56)
+        where, new = self._places(low, high)
+        if len(new):
+            raw = np.column_stack([self.low[new], self.high[new]]).astype("<u8").tobytes()
+            self.span[new] = self._spans([raw[i : i + raw[i + KEY_BYTES]] for i in range(0, len(raw), 16)])
+        spans[short] = self.span[where]
+        rest = np.nonzero(~short)[0]
+        if len(rest):
+            own = [text[a:b] for a, b in zip(begins[rest].tolist(), ends[rest].tolist())]
+            new = [p for p in dict.fromkeys(own) if p not in self.long]
+            self.long.update(zip(new, self._spans(new).tolist()))
+            spans[rest] = [self.long[p] for p in own]
+        counts = spans & 0xFFFFFFFF
+        stops = np.cumsum(counts)
+        return self.flat[np.repeat((spans >> 32) - stops + counts, counts) + np.arange(stops[-1])], counts
 
     def _plain(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's ids start (one more than texts)."""
-        kind = _KIND[buf]
-        lead = (kind & LEAD) != 0
-        following = np.append(buf[1:], np.uint8(0))
-        lead &= (buf != 0xC3) | ((following != 0x97) & (following != 0xB7))  # the signs for times and divided by
-        letter = lead | ((kind & LETTER) != 0)
-        letter[1:] |= lead[:-1]
-        sign, space = (kind & SIGN) != 0, (kind & SPACE) != 0
-        cut = np.zeros(len(buf), bool)
-        cut[1:] = space[:-1] | (letter[:-1] & sign[1:]) | (((kind[:-1] & (SIGN | QUOTE)) == SIGN) & letter[1:])
-        cut[at[:-1][at[:-1] < len(buf)]] = True
-        kept = ~space
-        cut &= kept
-        packed, begins = _LOWER[buf[kept]], np.nonzero(cut[kept])[0]
+        raw = buf.tobytes()
+        kind = np.frombuffer(bytearray(raw.translate(_KIND)), np.uint8)
+        lead = np.nonzero(buf >= 0xC3)[0]
+        following = buf[lead + 1]
+        none = (buf[lead] == 0xC3) & ((following == 0x97) | (following == 0xB7))  # the signs for times and divided by
+        kind[lead[none]] = OTHER
+        kind[lead[~none] + 1] = LETTER
+        pairs = kind.copy()
+        pairs[1:] |= kind[:-1] << 3
+        mark = np.frombuffer(bytearray(pairs.tobytes().translate(_MARK)), np.uint8)
+        firsts = at[:-1][at[:-1] < len(buf)]
+        mark[firsts[kind[firsts] != SPACE]] = BEGINS
+        marks = np.nonzero(mark)[0]
+        begin = mark[marks] == BEGINS
+        begins, ends = marks[begin], np.append(marks[1:], len(buf))[begin]
         if not len(begins):
             return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
-        offsets = np.append(begins, len(packed)).astype(np.int32)
-        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
-        number = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
-        lengths = self.length[number].astype(np.int64)
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.start[number] - ends + lengths, lengths) + np.arange(ends[-1])]
-        before = np.searchsorted(np.nonzero(cut)[0], at)  # pieces before each text
-        return ids, np.concatenate([[0], ends])[before]
+        text = raw.translate(_LOWER) + bytes(16)
+        parts = [self._ids(text, begins[i : i + CHUNK_PIECES], ends[i : i + CHUNK_PIECES]) for i in range(0, len(begins), CHUNK_PIECES)]
+        ids, counts = (np.concatenate(x) for x in zip(*parts))
+        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begins, at)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, null as empty."""
