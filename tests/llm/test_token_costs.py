@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from topicloom.llm import repair, tokens
+from topicloom.llm import exact_dedup, repair, tokens
 
 
 def _most_frequent(symbols, last):
@@ -59,3 +59,12 @@ def test_known_pieces_take_little_room(monkeypatch):
     for got, right in ((enc.encode(pa.array(texts)), want), (enc.encode(pa.array(plain)), enc.tokenizer.encode_batch(plain, add_special_tokens=False))):
         assert [x.tolist() for x in got] == [x.ids for x in right]
     assert enc.kept < 4000
+
+
+def test_one_python_worker_behind_a_task(spark):
+    """The last round of the merge gives the entries itself: a second Python operator in its stage would hold a second worker for each core."""
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string").repartition(4)
+    marked = exact_dedup.checkpointed(exact_dedup.digests(df))
+    settled = exact_dedup.tree_merge(marked, fan_in=2)
+    assert "MapInArrow" not in settled._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["n"] for r in settled.collect()) == [5, 5, 6, 6, 6, 6, 6]

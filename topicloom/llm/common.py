@@ -101,7 +101,7 @@ def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def small(batches, column: str = "text", limit: int = 2 << 20):
-    """The batches cut to at most about `limit` bytes of a string column (a longer row comes alone), so that what is derived from a batch stays small."""
+    """The batches cut to at most about `limit` bytes of a string column (a longer row comes alone), so that what is derived from a batch stays small. After the last one Arrow gives back what it holds for reuse, as workers outlive their tasks."""
     for b in batches:
         _, at = flat_utf8(b.column(column))
         start = 0
@@ -109,6 +109,7 @@ def small(batches, column: str = "text", limit: int = 2 << 20):
             stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
             yield b.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def bytes_of(array: pa.Array) -> list[bytes]:

@@ -140,25 +140,31 @@ def tree_merge(marked: DataFrame, keep: str = "largest", fan_in: int = 8, slice_
     parts, times = (1 + (x if x is not None else -1) for x in runs.agg(F.max(part), F.max(again)).first())
     runs, left = runs.withColumn("run", again * parts + part), parts * times
 
-    def merge(key: tuple, group: pa.Table) -> pa.Table:
+    def one_run(group: pa.Table) -> Run:
         order = np.argsort(group.column("run").to_numpy())
         keys, entries = group.column("keys"), group.column("entries")
-        run = merge_runs([Run.unpacked(keys[i].as_py(), entries[i].as_py()) for i in order.tolist()], largest)
-        k, v = run.packed()
+        return merge_runs([Run.unpacked(keys[i].as_py(), entries[i].as_py()) for i in order.tolist()], largest)
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        k, v = one_run(group).packed()
         return pa.table({"run": pa.array([key[1].as_py()], pa.int64()), "slice": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([k], pa.binary()), "entries": pa.array([v], pa.binary())})
 
-    while left > 1:
-        runs = runs.withColumn("into", F.floor(F.col("run") / fan_in)).groupBy("slice", "into").applyInArrow(merge, blob)
-        left = -(-left // fan_in)
+    def columns(run: Run) -> dict[str, pa.Array]:
+        flat = pa.Array.from_buffers(pa.binary(KEY_BYTES), len(run.keys), [None, pa.py_buffer(run.keys.tobytes())]).cast(pa.binary())
+        return {"key": flat} | {name: pa.array(np.ascontiguousarray(run.values[:, k])) for k, name in enumerate(("keep", "keep_raw", "keep_row", "n"))}
 
     def entries(batches):
         for b in batches:
             for keys, values in zip(b.column("keys"), b.column("entries")):
-                run = Run.unpacked(keys.as_py(), values.as_py())
-                flat = pa.Array.from_buffers(pa.binary(KEY_BYTES), len(run.keys), [None, pa.py_buffer(run.keys.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([flat, *(pa.array(np.ascontiguousarray(run.values[:, k])) for k in range(4))], ["key", "keep", "keep_raw", "keep_row", "n"])
+                yield pa.RecordBatch.from_pydict(columns(Run.unpacked(keys.as_py(), values.as_py())))
 
-    return runs.select("keys", "entries").mapInArrow(entries, "key binary, keep long, keep_raw long, keep_row long, n long")
+    settled = "key binary, keep long, keep_raw long, keep_row long, n long"
+    while left > fan_in:
+        runs = runs.withColumn("into", F.floor(F.col("run") / fan_in)).groupBy("slice", "into").applyInArrow(merge, blob)
+        left = -(-left // fan_in)
+    if left > 1:  # the last round gives the entries, so that no second Python worker stands behind its task
+        return runs.groupBy("slice").applyInArrow(lambda group: pa.table(columns(one_run(group))), settled)
+    return runs.select("keys", "entries").mapInArrow(entries, settled)
 
 
 def exact_duplicates(df: DataFrame, keep: str = "largest", fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text", slice_keys: int = SLICE_KEYS) -> DataFrame:
