@@ -45,6 +45,49 @@ def test_repair_ends_when_no_pair_is_left():
         assert (shard.all_tokens() == ids).all() and shard.doc_tokens.tolist() == list(map(len, docs))
 
 
+def test_repair_groups_a_place_again_only_where_its_pair_changes(monkeypatch):
+    rng, looked = np.random.default_rng(4), []
+    slots = repair._slots
+    monkeypatch.setattr(repair, "_slots", lambda pairs, bits: (looked.append(len(pairs)), slots(pairs, bits))[1])
+    n = 60_000
+    phrases = [rng.integers(0, 5000, int(rng.integers(2, 9))) for _ in range(4000)]
+    ids = np.concatenate([phrases[k] for k in np.minimum(rng.zipf(1.4, n // 2), 4000) - 1])[:n].astype(np.uint32)
+    ends = np.arange(n) % 500 == 499
+    symbols, rounds, _ = repair.compress(ids, ends)
+    # All places once, some places of what is left again, and two for each symbol that a replacement takes away.
+    assert sum(looked) < n + 4 * len(symbols) + 2 * (n - len(symbols)) < len(rounds) * n / 2
+
+
+def _expand(symbols, rounds, base):
+    rules = np.concatenate([np.empty((0, 2), np.uint32), *rounds]).tolist()
+    out, stack = [], symbols.tolist()[::-1]
+    while stack:
+        s = stack.pop()
+        if s < base:
+            out.append(s)
+        else:
+            stack += rules[s - base][::-1]
+    return out
+
+
+def test_repair_of_ids_too_wide_for_exact_slots(monkeypatch):
+    slots, rng = repair._slots, np.random.default_rng(5)
+    few = lambda pairs, bits: ((slots(pairs, bits)[0] % 7), False)  # noqa: E731  pairs that share slots
+    for patched in (slots, few):
+        monkeypatch.setattr(repair, "_slots", patched)
+        for kinds in (1, 2, 5, 30):
+            n, base = int(rng.integers(2000, 4000)), (1 << 32) - (1 << 20)
+            ids = (base - 1 - rng.integers(0, kinds, n)).astype(np.uint32)
+            ids[0] = base - 1
+            ends = rng.random(n) < 0.02
+            ends[-1] = True
+            symbols, rounds, last = repair.compress(ids, ends, 3)
+            assert _expand(symbols, rounds, base) == ids.tolist() and last.sum() == ends.sum()
+            assert _most_frequent(symbols, last) < 3
+            rules = np.concatenate(rounds)
+            assert len(np.unique(rules, axis=0)) == len(rules)
+
+
 def test_known_pieces_take_little_room(monkeypatch):
     enc, rng = tokens.Encoder(tokens.vocabulary()), np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdefghijklmnopé"), int(rng.integers(3, 22)))) for _ in range(40_000)]

@@ -42,32 +42,104 @@ LEAST = 8
 STEP = 4
 
 
-#: Pairs are counted in 2^SLOT_BITS slots at most before they are counted exactly.
-SLOT_BITS = 20
-
-
-def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
-    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
-
+def _slots(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, bool]:
+    """A number of `bits` bits for every pair, and whether different pairs have different ones: the pair itself where it fits, else a hash."""
+    if int(pairs.max(initial=0)) >> bits == 0:
+        return pairs.view(np.int64), True
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64), False
+
+
+def _grouped(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs, equal pairs together and ascending within, and how many each kind of pair has."""
+    low = max(1, len(pairs).bit_length())
+    slots, differ = _slots(pairs, 63 - low)
+    keys = np.sort(slots << low | np.arange(len(pairs)))
+    order, ends = keys & (1 << low) - 1, (keys[1:] ^ keys[:-1]) >> low != 0
+    if not differ:
+        own = pairs[order]
+        if np.count_nonzero(own[1:] != own[:-1]) > np.count_nonzero(ends):  # two kinds share a slot
+            order = np.argsort(pairs, kind="stable")
+            own = pairs[order]
+            ends = own[1:] != own[:-1]
+    return order, np.diff(np.concatenate([[-1], np.nonzero(ends)[0], [len(pairs) - 1]]))
+
+
+class _Groups:
+    """Places by the pair that begins there. Only pairs that occur `least` times have a group; group 0 holds nothing.
+
+    A group's places are listed when it is made. It only loses places, so a listed place may be in another one by now.
+    A pair is a number, its right symbol in the `width` lowest bits.
+    """
 
-def _frequent(pairs: np.ndarray, full: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs, ascending, how often they occur, and where they may be: those with at least a STEP-th of the count of the fullest slot, or less where none has, down to `least`. full: how often each pair's slot occurs."""
-    bound = max(least, int(full.max(initial=0)) // STEP)
-    while True:
-        maybe = np.nonzero(full >= bound)[0]  # a slot that holds a frequent pair is as full
-        found, counts = np.unique(pairs[maybe], return_counts=True)
-        often = counts >= bound
-        if often.any() or bound == least:
-            return found[often], counts[often], maybe
-        bound = max(least, bound // STEP)
+    def __init__(self, n: int, least: int, width: int):
+        self.least, self.width, self.of, self.listed = least, np.uint64(width), np.zeros(n + 1, np.int64), np.empty(2 * n + 1, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.of[:] = 0
+        self.held, self.pair, self.first, self.size, self.used = np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), 0
+
+    def add(self, at: np.ndarray, pairs: np.ndarray, following: np.ndarray) -> None:
+        """Makes groups of places (ascending) that are in none."""
+        if not len(at):
+            return
+        order, size = _grouped(pairs)
+        often = size >= self.least
+        order, size = order[np.repeat(often, size)], size[often]
+        pair = pairs[order[np.cumsum(size) - size]]
+        group, places = np.repeat(np.arange(len(size)), size), at[order]
+        left, right = self.symbols(pair)
+        same = np.nonzero((left == right)[group])[0]
+        if len(same):  # such a pair overlaps itself: of a run every other one can be replaced
+            begins = np.append(True, places[same[1:]] != following[order[same[:-1]]])
+            fits = np.ones(len(places), bool)
+            fits[same[(np.arange(len(same)) - np.nonzero(begins)[0][np.cumsum(begins) - 1]) % 2 == 1]] = False
+            group, places = group[fits], places[fits]
+            size = np.bincount(group, minlength=len(size))
+        self.of[places] = len(self.held) + group
+        while self.used + len(places) > len(self.listed):
+            self.listed = np.resize(self.listed, 2 * len(self.listed))
+        self.listed[self.used : self.used + len(places)] = places
+        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
+        self.held, self.size, self.pair, self.used = np.concatenate([self.held, size]), np.concatenate([self.size, size]), np.concatenate([self.pair, pair]), self.used + len(places)
+
+    def symbols(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return pairs >> self.width, pairs & ((np.uint64(1) << self.width) - np.uint64(1))
+
+    def overlap(self, places: np.ndarray) -> bool:
+        """Whether any of the places is in a group whose pair overlaps itself."""
+        left, right = self.symbols(self.pair)
+        return bool((left == right)[self.of[places]][self.of[places] > 0].any())
+
+    def drop(self, places: np.ndarray) -> None:
+        self.held -= np.bincount(self.of[places], minlength=len(self.held))
+        self.held[0] = 0
+        self.of[places] = 0
+
+    def frequent(self) -> np.ndarray:
+        """Groups with at least a STEP-th as many places as the fullest one, and `least`, the fullest first. Of a pair that has several the others wait."""
+        chosen = np.nonzero(self.held >= max(self.least, int(self.held.max()) // STEP))[0]
+        chosen = chosen[np.lexsort((self.pair[chosen], -self.held[chosen]))]
+        return chosen[np.sort(np.unique(self.pair[chosen], return_index=True)[1])]
+
+    def places(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of some groups, ascending, and which of these groups each is in."""
+        size = self.size[groups]
+        ends, which = np.cumsum(size), np.repeat(np.arange(len(groups)), size)
+        at = self.listed[np.repeat(self.first[groups] - ends + size, size) + np.arange(ends[-1])]
+        mine = self.of[at] == groups[which]
+        low = len(groups).bit_length()
+        keys = np.sort(at[mine] << low | which[mine])
+        return keys >> low, keys & (1 << low) - 1
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(symbols, rules of each round, whether a symbol ends a document) of the ids; ends: True at the last id of each document.
 
     Symbols stay where they are and name the places of their neighbours in the document (n: none). A round looks only
-    at places whose pair may still occur `least` times: a pair becomes rarer by what is replaced, and the places beside
-    a replacement are looked at again. When no pair is left, all places are looked at once more.
+    at the places of the most frequent pairs and beside them: pairs that a replacement makes are grouped among
+    themselves. When no group is left, all places are grouped once more, unless since the last time no rule was used
+    again and no run of equal symbols was cut: other pairs are whole in their groups, or made rarer.
     """
     n, names = len(ids), int(ids.max()) + 1 if len(ids) else 1
     symbols, rounds = np.append(ids, 0).astype(np.uint32), []
@@ -75,66 +147,51 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.
     after[:n][ends] = n
     before[1:][ends] = n
     before[:1] = n
-    kept = np.arange(n + 1) < n
-    open_, whole = kept & (after < n), True
-    bits = max(10, min(SLOT_BITS, n.bit_length()))
-    ruled = np.full(1 << bits, -1, np.int64)
+    kept, groups, whole = np.arange(n + 1) < n, _Groups(n, least, min(32, (names + n).bit_length())), False
     known, named = np.empty(0, np.uint64), np.empty(0, np.int64)  # pairs that have a rule, ascending, and their nonterminals
-    while True:
-        at = np.nonzero(open_)[0]
+
+    def group(at):
         following = after[at]
-        left, right = symbols[at], symbols[following]
-        pairs = left.astype(np.uint64) << np.uint64(32) | right
-        slot = _slots(pairs, bits) + 1
-        same = np.nonzero(left == right)[0]  # overlaps itself: it counts as often as it can be replaced
-        starts = np.append(True, at[same[1:]] != following[same[:-1]])[: len(same)]
-        slot[same[(np.arange(len(same)) - np.nonzero(starts)[0][np.cumsum(starts) - 1]) % 2 == 1]] = 0
-        held = np.bincount(slot, minlength=(1 << bits) + 1)
-        held[0] = 0
-        full = held[slot]
-        rare = full < least
-        rare[same] = False
-        open_[at[rare]] = False
-        chosen, counts, maybe = _frequent(pairs, full, least)
+        groups.add(at, symbols[at].astype(np.uint64) << groups.width | symbols[following], following)
+
+    while True:
+        chosen = groups.frequent()
         if not len(chosen):
             if whole:
                 break
-            open_, whole = kept & (after < n), True
+            groups.clear()
+            group(np.nonzero(kept & (after < n))[0])
+            whole = True
             continue
-        # The more frequent pair goes first where two overlap, or share a slot: the other one waits.
-        order = np.lexsort((chosen, -counts))
-        rank = np.empty(len(chosen), np.int64)
-        rank[order] = np.arange(len(chosen))
-        place = _slots(chosen, bits)
-        ruled[place[order[::-1]]] = order[::-1]
-        rule = ruled[slot[maybe] - 1]
-        hit = np.nonzero((rule >= 0) & (slot[maybe] > 0))[0]
-        hit = hit[chosen[rule[hit]] == pairs[maybe[hit]]]
-        ruled[place] = -1
-        rule, where = rule[hit], maybe[hit]
-        own, close = rank[rule], at[where][1:] == following[where[:-1]]
+        # The more frequent pair goes first where two overlap.
+        where, rule = groups.places(chosen)
+        close = where[1:] == after[where[:-1]]
         taken = np.ones(len(where), bool)
-        taken[1:] &= ~close | (own[1:] < own[:-1])
-        taken[:-1] &= ~close | (own[:-1] < own[1:])
-        where, rule = at[where[taken]], rule[taken]
+        taken[1:] &= ~close | (rule[1:] < rule[:-1])
+        taken[:-1] &= ~close | (rule[:-1] < rule[1:])
+        where, rule = where[taken], rule[taken]
         often = np.bincount(rule, minlength=len(chosen)) >= least  # pairs that lost too many places to others wait; the most frequent loses none
-        where, rule, chosen = where[often[rule]], (np.cumsum(often) - 1)[rule[often[rule]]], chosen[often]
-        place = np.minimum(np.searchsorted(known, chosen), max(0, len(known) - 1))
-        old = known[place] == chosen if len(known) else np.zeros(len(chosen), bool)
+        where, rule, pairs = where[often[rule]], (np.cumsum(often) - 1)[rule[often[rule]]], groups.pair[chosen[often]]
+        place = np.minimum(np.searchsorted(known, pairs), max(0, len(known) - 1))
+        old = known[place] == pairs if len(known) else np.zeros(len(pairs), bool)
         number = names + np.cumsum(~old) - 1
         number[old] = named[place[old]]
-        gone = after[where]
+        gone, beside = after[where], before[where]
+        kept[gone] = False
+        beside = beside[kept[beside]]
+        changed = np.concatenate([where, beside])
+        whole = whole and not old.any() and not groups.overlap(np.concatenate([beside, gone]))
+        groups.drop(np.concatenate([changed, gone]))
         symbols[where] = number[rule].astype(np.uint32)
         after[where] = after[gone]
         before[after[where]] = where
-        kept[gone] = open_[gone] = whole = False
-        open_[before[where]] = True
-        open_[where] = after[where] < n
-        open_[n], new = False, chosen[~old]
+        group(np.sort(changed[after[changed] < n]))
+        new = pairs[~old]
         if len(new):
-            order = np.argsort(np.concatenate([known, new]), kind="stable")
-            known, named = np.concatenate([known, new])[order], np.concatenate([named, number[~old]])[order]
-            rounds.append(np.column_stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
+            own = np.concatenate([known, new])
+            order = np.argsort(own, kind="stable")
+            known, named = own[order], np.concatenate([named, number[~old]])[order]
+            rounds.append(np.column_stack(groups.symbols(new)).astype(np.uint32))
             names += len(new)
     left = np.nonzero(kept)[0]
     return symbols[left], rounds, after[left] == n
