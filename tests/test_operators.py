@@ -1,6 +1,7 @@
 """Operators on small literal relations."""
 
 import json
+import random
 import zipfile
 
 import numpy as np
@@ -267,3 +268,27 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert ("d", "k", "a", 2) in rows(spark.table("streamed"))
+
+
+def test_keys_of_many_pairs_are_dealt(spark):
+    """A key of few rows but many pairs meets in many tasks."""
+    a, b = spark.range(900).select(F.lit(1).alias("k"), F.col("id").alias("a")), spark.range(900).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    got = pairs.salted_join(a, b, ["k"], most_pairs=10_000).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("a") * 7 + F.col("b")).alias("s")).collect()
+    assert sum(r["n"] for r in got) == 900**2 and sum(r["s"] for r in got) == 8 * 900 * (900 * 899 // 2)
+    assert len(got) > 20 and max(r["n"] for r in got) < 900**2 // 8
+
+
+@pytest.mark.parametrize(("least", "most"), [(1, None), (2, 3), (1, 1)])
+def test_shared_topics_by_classes(spark, monkeypatch, least, most):
+    """Items of equal topics share one ranking; pairs are neither counted nor sorted."""
+    monkeypatch.setattr(matchers, "TASK_PAIRS", 50)
+    rng = random.Random(5)
+    sets = {i: set(rng.sample("abcd", rng.choice([0, 1, 2, 4]))) for i in range(40)}
+    rows = [(i, t) for i, own in sets.items() for t in [*own, None]] * 2 + [(None, "a")]
+    got = matchers.shared_topics(spark.createDataFrame(rows, "i int, t string"), "i", "t", least, most)
+    want = []
+    for a, own in sets.items():
+        ranked = sorted((-len(own & other), b) for b, other in sets.items() if b != a and len(own & other) >= least)
+        want += [(a, b, -n, k) for k, (n, b) in enumerate(ranked[:most], 1)]
+    assert sorted((r["a"], r["b"], r["shared"], r["rank"]) for r in got.collect()) == sorted(want)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
