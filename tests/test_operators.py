@@ -1,5 +1,6 @@
 """Operators on small literal relations."""
 
+import hashlib
 import json
 import random
 import zipfile
@@ -9,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.functions.drawing import Drawing
 from topicloom.operators import cluster, evaluate, kb, learn, lexicon, matchers, pairs, profile, select
 from topicloom.plans import guiding, iterative
 from topicloom.plans.params import Params
@@ -292,3 +294,32 @@ def test_shared_topics_by_classes(spark, monkeypatch, least, most):
         want += [(a, b, -n, k) for k, (n, b) in enumerate(ranked[:most], 1)]
     assert sorted((r["a"], r["b"], r["shared"], r["rank"]) for r in got.collect()) == sorted(want)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_drawing_by_md5():
+    rng = random.Random(1)
+    names = ["".join(rng.choice("0123456789aé") for _ in range(rng.randrange(60))) for _ in range(700)]
+    draw, free = Drawing(names), np.array([rng.random() < 0.7 for _ in names])
+    digest = lambda p, x: hashlib.md5(p + x.encode()).hexdigest()
+    for prefix in (b"3:1:", b"3:12:", b"", b"x" * 52, b"x" * 70):
+        assert [f"{x:08x}" for x in draw.leading(prefix)] == [digest(prefix, x)[:8] for x in names]
+        want = sorted((digest(prefix, x), k) for k, x in enumerate(names) if free[k])[:5]
+        places, digests = draw.first(prefix, free, 5)
+        assert [(d, int(k)) for k, d in zip(places, digests)] == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_table_mixes_by_cells(spark, monkeypatch, kind):
+    """Blocks of tables give what all pairs give; tables without a name are never drawn."""
+    monkeypatch.setattr(select, "CELL_TABLES", 20)
+    rng = random.Random(2)
+    sets = {(k if kind == "long" else f"t{k}"): set(rng.sample(range(25), rng.choice([0, 1, 2, 3]))) for k in range(70)}
+    rows = [(k, t) for k, own in sets.items() for t in [*own, None]] * 2 + [(None, 1), (None, None)]
+    got = select.table_mixes(spark.createDataFrame(rows, f"item {kind}, topic int"), 9, 4, seed=7).collect()
+    want = []
+    for a, own in sets.items():
+        best = sorted((-len(own & other), b) for b, other in sets.items() if b != a and own & other)[:4]
+        drawn = sorted((hashlib.md5(f"7:{a}:{b}".encode()).hexdigest(), b) for b, other in sets.items() if b != a and not own & other)[:5]
+        want += [(a, b, True) for _, b in best] + [(a, b, False) for _, b in drawn if best]
+    assert sorted((r["a"], r["b"], r["positive"]) for r in got) == sorted(want)
+    assert select.table_mixes(spark.createDataFrame([], f"item {kind}, topic int"), 9, 4).count() == 0
