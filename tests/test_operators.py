@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions.drawing import Drawing
+from topicloom.functions.similarity import array_cosine
 from topicloom.operators import cluster, evaluate, kb, learn, lexicon, matchers, pairs, profile, select
 from topicloom.plans import guiding, iterative
 from topicloom.plans.params import Params
@@ -323,3 +324,22 @@ def test_table_mixes_by_cells(spark, monkeypatch, kind):
         want += [(a, b, True) for _, b in best] + [(a, b, False) for _, b in drawn if best]
     assert sorted((r["a"], r["b"], r["positive"]) for r in got) == sorted(want)
     assert select.table_mixes(spark.createDataFrame([], f"item {kind}, topic int"), 9, 4).count() == 0
+
+
+def test_vector_neighbours_by_blocks(spark, monkeypatch):
+    """Blocks of matrices give what all pairs give: copies, near ties in the tenth digit, odd vectors; and no pair leaves its task."""
+    monkeypatch.setattr(matchers, "ITEM_NUMBERS", 300)
+    monkeypatch.setattr(matchers, "QUERY_NUMBERS", 40)
+    rng = np.random.default_rng(4)
+    vecs = [list(map(float, rng.normal(size=6))) for _ in range(120)]
+    vecs += [vecs[3]] * 30 + [[*vecs[3][:5], vecs[3][5] + rng.normal() * 1e-11] for _ in range(30)] + [[0.0] * 6, [], [1.0, 2.0], None, [1.0, None, 2.0, 3.0, 4.0, 5.0], [float("nan")] * 6]
+    data = [*enumerate(vecs), (None, vecs[3])]
+    items = spark.createDataFrame(data, "id int, vec array<double>")
+    queries = items.filter("id % 9 = 3").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    found = matchers.vector_neighbours(queries, items, 7)
+    scored = queries.crossJoin(items).filter("query_id <> id").withColumn("score", array_cosine(F.col("query_vec"), F.col("vec"))).filter("score IS NOT NULL")
+    want = scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)")).filter("rank <= 7")
+    show = lambda df: sorted((r["query_id"], r["rank"], r["id"], str(r["score"])) for r in df.collect())
+    assert show(found) == show(want)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and found.columns == ["query_id", "id", "score", "rank"]
+    assert matchers.vector_neighbours(queries, items.limit(0)).count() == 0 and matchers.vector_neighbours(queries.limit(0), items).count() == 0
