@@ -263,6 +263,30 @@ def test_tiles_find_every_link(spark, radius):
     assert (simhash.forest(a, b, len(f)) == simhash.forest(s, t, len(f))).all()
 
 
+@pytest.mark.parametrize("bucket", [simhash.BUCKET if hasattr(simhash, "BUCKET") else None, 20])
+def test_sets_meet_at_their_smallest_hashes(spark, bucket):
+    """All links between sets that share a hash and are near in their fingerprints; only hashes of very many sets go through the tiles."""
+    rng = np.random.default_rng(7)
+    sets = [(rng.integers(0, 1 << 62, 2), {int(x) for x in rng.integers(0, 400, 3)} | ({1000} if k < 60 else set())) for k in range(300)]
+    sets += [(f ^ (1 << int(rng.integers(62))), own) for f, own in sets[::2]] + [(sets[0][0] ^ (1 << k), {1000}) for k in range(30)]
+    df = spark.createDataFrame([(*map(int, f), sorted(own)) for f, own in sets], "f0 long, f1 long, lows array<long>")
+    links = simhash.near_set_links(df, 8, bucket).toPandas().to_numpy()
+    place = {tuple(map(int, f)): i for i, (f, _) in enumerate(sets)}
+    a, b = (np.array([place[tuple(r)] for r in links[:, k : k + 2].tolist()]) for k in (0, 2))
+    near = lambda i, j: sum(int(x).bit_count() for x in sets[i][0] ^ sets[j][0]) <= 8
+    node = [place[tuple(map(int, f))] for f, _ in sets]  # some fingerprints are those of two sets
+    want = [(node[i], node[j]) for i in range(len(sets)) for j in range(i) if sets[i][1] & sets[j][1] and near(i, j)]
+    assert (simhash.forest(a, b, len(sets)) == simhash.forest(*np.array(want).T, len(sets))).all()
+
+
+def test_search_work_follows_the_sets(spark, monkeypatch):
+    """Sets without a common hash are not compared at all, however many they are."""
+    compared = []
+    monkeypatch.setattr(simhash, "near_duplicate_links", lambda nodes, *a, **k: compared.append(nodes.count()))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(400)] + [(1000, " ".join(f"w7x{i}" for i in range(12)) + " more")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(400)) and not compared
+
+
 @pytest.mark.parametrize("hot_rows", [components.HOT_ROWS, 3])
 def test_components_of_chains_and_stars(spark, monkeypatch, hot_rows):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]

@@ -10,13 +10,15 @@ connection; components of the forests then give every document the smallest docu
 
 distinct=True counts each shingle of a text once. With fingerprint_words=2 a second 64-bit fingerprint (other seed) is appended, and the radius counts over both.
 
-drop_near_duplicates takes the tiles as candidate search only: texts link if the Jaccard similarity of their shingle
-sets reaches a bound. Candidates' components are cut into blocks of shingle sets, and every pair of blocks of a
+drop_near_duplicates takes fingerprints as candidate search only: texts link if the Jaccard similarity of their shingle
+sets reaches a bound. Sets that are so similar share one of their smallest hashes, so fingerprints are compared only
+where sets do (near_set_links); those that share a hash with very many go through the tiles. Candidates' components are cut into blocks of shingle sets, and every pair of blocks of a
 component is counted exactly; again only spanning links are passed on. Shingles are compared by 64-bit hashes.
 
 Null and empty texts have fingerprint zero and link like any other. Null ids are reached but never the smallest id,
 unless a component has no other. Repeated rows are returned each. An empty table gives an empty result. Other
-columns are not carried. The number of comparisons grows with the square of the number of distinct fingerprints.
+columns are not carried. In near_duplicates the number of comparisons grows with the square of the number of distinct
+fingerprints.
 """
 
 from __future__ import annotations
@@ -228,6 +230,71 @@ def near_duplicate_links(nodes: DataFrame, radius: int, group_size: int = GROUP)
     return sent.repartition(max(1, len(pairs)), "pair").groupBy("pair").applyInArrow(compare, ", ".join(f"{n} long" for n in names))
 
 
+#: The share of similar pairs that may be missed for want of a common smallest hash.
+MISSED = 1e-11
+#: Sets that share a hash are compared pair by pair if they are no more than this; entries of a task.
+BUCKET, ENTRIES = 2048, 1 << 19
+
+
+def lows_of(similarity: float) -> int:
+    """So many smallest hashes of each set are enough: the smallest ones of the union of two sets are in both with chance `similarity` each."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISSED) / math.log(1 - similarity))
+
+
+def bucket_forest(keys: np.ndarray, prints: np.ndarray, radius: int, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (rows of two places) between fingerprints (rows of words) of equal keys within the radius, and the places of keys of more than `bucket` rows, which are not compared."""
+    order = np.lexsort((prints[:, 0], keys)) if len(keys) else np.empty(0, np.int64)
+    _, first, many = np.unique(keys[order], return_index=True, return_counts=True)
+    hot = order[np.repeat(many > bucket, many)]
+    end = np.repeat(np.where(many > bucket, 0, first + many), many)  # where a place's bucket ends
+    root, links, held = np.arange(len(order)), [], 0
+
+    def joined() -> np.ndarray:
+        a, b = (np.concatenate(x) for x in zip(*links))
+        return forest(root[a], root[b], len(root))[root]
+
+    near, step = np.arange(len(order)), 1
+    while len(near := near[near + step < end[near]]):
+        for s in np.split(near, range(1 << 18, len(near), 1 << 18)):
+            s = s[root[s] != root[s + step]]
+            differ = np.bitwise_count(prints[order[s]] ^ prints[order[s + step]]).sum(axis=1, dtype=np.int64)
+            s = s[differ <= radius]
+            links.append((s, s + step))
+            held += len(s)
+        if held > 1 << 20:
+            root, links, held = joined(), [], 0
+        step += 1
+    root = joined() if links else root
+    inner = np.nonzero(root != np.arange(len(root)))[0]
+    return np.column_stack([order[inner], order[root[inner]]]), hot
+
+
+def near_set_links(sets: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Links (a0, a1, ..., b0, b1, ...) between fingerprints within the radius of sets (f0, f1, ..., lows) that share one of their smallest hashes: a forest for each hash. The fingerprints of all hashes of more than `bucket` sets are compared by near_duplicate_links."""
+    words = [c for c in sets.columns if c != "lows"]
+    entries = sets.select(F.explode("lows").alias("key"), *words)
+    parts = max(partitions(sets.sparkSession), -(-(sets.agg(F.coalesce(F.sum(F.size("lows")), F.lit(0))).first()[0]) // ENTRIES))
+    names = [f"{p}{k}" for p in "ab" for k in range(len(words))]
+
+    def search(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        prints = np.column_stack([whole.column(w).to_numpy() for w in words]).view(np.uint64)
+        links, hot = bucket_forest(whole.column("key").to_numpy(), prints, radius, bucket)
+        hot = np.unique(prints[hot], axis=0)
+        a, b = (np.concatenate([prints[links[:, k]], hot]).view(np.int64) for k in range(2))
+        for at in range(0, len(a), 1 << 16):
+            columns = [pa.array(np.ascontiguousarray(c)) for c in (*a[at : at + (1 << 16)].T, *b[at : at + (1 << 16)].T)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(at, at + len(columns[0])) >= len(links))], [*names, "hot"])
+
+    found = checkpointed(entries.repartition(parts, "key").mapInArrow(search, ", ".join(f"{n} long" for n in names) + ", hot boolean"))
+    links = found.filter("NOT hot").select(*names).distinct()
+    hot = found.filter("hot").select(*(F.col(f"a{k}").alias(w) for k, w in enumerate(words))).distinct()
+    return links if hot.isEmpty() else links.unionAll(near_duplicate_links(checkpointed(hot), radius).select(*names))
+
+
 def near_duplicates(df: DataFrame, radius: int = 2, shingle_words: int = 3, fingerprint_words: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, raw, f0, f1, component_id and root (a fingerprint that names the component) for every row of df."""
     marked = checkpointed(fingerprints(df, shingle_words, fingerprint_words, distinct, id_col, text_col))
@@ -264,8 +331,13 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def set_prints(df: DataFrame, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, raw, s0 and s1 (a 128-bit hash of the shingle set), n (its size) and fingerprint words f0, f1, ... for every row."""
+def set_prints(df: DataFrame, shingle_words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, raw, s0 and s1 (a 128-bit hash of the shingle set), n (its size), fingerprint words f0, f1, ... and lows for every row.
+
+    lows: the smallest hashes of the set, lows_of(similarity) or all that a set so similar must meet: of n hashes the first
+    n - ceil(similarity n) + 1.
+    """
+    most = lows_of(similarity)
 
     def compute(batches):
         for b in small(batches):
@@ -276,10 +348,12 @@ def set_prints(df: DataFrame, shingle_words: int, id_col: str = "doc_id", text_c
             words = [_majority(_mixed(flat, k) if k else flat, sizes) for k in range(WORDS)]
             raw = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts))
             of_set = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            taken = np.where(sizes > 0, np.minimum(most, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1), 0)
+            lows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *(x[:k] for x, k in zip(sets, taken))]).view(np.int64)))
             longs = [np.ascontiguousarray(x) for x in (raw.view(np.int64), of_set[:, 0], of_set[:, 1], sizes, *(w.view(np.int64) for w in words))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, longs)], ["doc_id", "raw", "s0", "s1", "n", *(f"f{k}" for k in range(WORDS))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, longs), lows], ["doc_id", "raw", "s0", "s1", "n", *(f"f{k}" for k in range(WORDS)), "lows"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(compute, "doc_id long, raw long, s0 long, s1 long, n long, " + ", ".join(f"f{k} long" for k in range(WORDS)))
+    return id_and_text(df, id_col, text_col).mapInArrow(compute, "doc_id long, raw long, s0 long, s1 long, n long, " + ", ".join(f"f{k} long" for k in range(WORDS)) + ", lows array<long>")
 
 
 def jaccard_forest(sets: list[np.ndarray], similarity: float, split: int = 0) -> np.ndarray:
@@ -376,15 +450,16 @@ def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, shingle_words:
     """One row of df, all columns, of each component: the one with the smallest id.
 
     Texts link if the Jaccard similarity of their sets of shingles is at least `similarity`, counted exactly. Candidates
-    are fingerprints within RADIUS, made for 0.8 and more: at 0.8 a pair lies beyond it once in 10^10, of sets of 4 and
+    share one of their smallest hashes, which a pair at `similarity` fails to do once in 10^11 (sets of up to some 75
+    shingles at 0.8 never), and have fingerprints within RADIUS, made for 0.8 and more: at 0.8 a pair lies beyond it once in 10^10, of sets of 4 and
     5 shingles once in 400,000; other texts cost counting but never link. Texts of so few
     shingles that one more is too many link only if their sets are equal; so do texts without a word.
     """
-    prints = checkpointed(set_prints(df, shingle_words, id_col, text_col))
+    prints = checkpointed(set_prints(df, shingle_words, similarity, id_col, text_col))
     words = [f"f{k}" for k in range(WORDS)]
-    nodes = checkpointed(prints.groupBy("s0", "s1", "n", *words).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "raw", "doc_id")).alias("first")))
+    nodes = checkpointed(prints.groupBy("s0", "s1", "n", *words).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "raw", "doc_id")).alias("first"), F.min("lows").alias("lows")))
     searched = nodes.filter(F.col("n") / (F.col("n") + 1) >= similarity)  # a smaller set is like no other, and its fingerprint lies near too many
-    links = near_duplicate_links(searched.select(*words).distinct(), RADIUS)
+    links = near_set_links(searched.select(*words, "lows"), RADIUS)
     found = components(links.select(F.xxhash64(*(f"a{k}" for k in range(WORDS))).alias("a"), F.xxhash64(*(f"b{k}" for k in range(WORDS))).alias("b")))  # equal hashes only cost counting
     near = searched.withColumn("node", F.xxhash64(*words)).join(found, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     several = near.groupBy("comp").agg(F.count("*").alias("many"), F.sum("n").alias("shingles")).filter("many > 1").select("comp", F.ceil(F.col("shingles") / block_shingles).cast("int").alias("blocks"))
