@@ -62,3 +62,17 @@ def test_members_by_tasks(spark, tmp_path):
     parts = archives.MemberReader({"path": str(tmp_path), "rangebytes": 5000}).partitions()
     assert len(parts) > 20 and sum(len(p.names) for p in parts) == 60
     assert sorted((r["file"], bytes(r["content"])) for r in catalogue.read_zip(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_ranges_are_bounded(tmp_path, monkeypatch):
+    """However small the ranges asked for, a folder has a bounded number, and a feature is cut out of its block without copying the rest."""
+    monkeypatch.setattr(archives, "MOST_RANGES", 50)
+    rng = random.Random(8)
+    own = [feature(rng, k) for k in range(3000)]
+    for n in range(3):
+        (tmp_path / f"f{n}.json").write_text(json.dumps({"type": "FeatureCollection", "features": own[n::3]}, indent=n or None))
+    reader = archives.FeatureReader({"path": str(tmp_path), "rangebytes": 64})
+    parts = reader.partitions()
+    assert len(parts) <= 53
+    got = [(at, json.loads(text)) for p in parts for _, at, text in reader.read(p)]
+    assert sorted(str(f) for _, f in got) == sorted(map(str, own))

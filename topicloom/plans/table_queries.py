@@ -221,8 +221,10 @@ def geojson_rows(spark, d):
     shape = F.struct(F.when(F.col("c_custkey") % 2 == 0, "Point").otherwise("Polygon").alias("type"), F.array("c_custkey").alias("coordinates"))
     properties = F.struct(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.struct("c_name").alias("more"))
     features = t(spark, d, "customer").select("c_nationkey", F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), shape.alias("geometry"))).alias("f"))
-    files = features.groupBy("c_nationkey").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
-    files.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    own = Window.partitionBy("c_nationkey").orderBy("f")  # a line for each feature, no collection in one row
+    head = F.when(F.lag("f").over(own).isNull(), '{"type":"FeatureCollection","features":[').otherwise("")
+    tail = F.when(F.lead("f").over(own).isNull(), "]}").otherwise(",")
+    features.select("c_nationkey", F.concat(head, "f", tail).alias("value")).write.partitionBy("c_nationkey").text(path)
     return catalogue.read_geojson(spark, path, range_bytes=4096).select("custkey", "segment", F.round(F.col("balance").cast("double"), 6).alias("balance"), "geometry_type")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a range of a collection, and of the members of an archive that one task reads.
 RANGE_BYTES = 32 << 20
+#: Ranges smaller than RANGE_BYTES grow where a folder would have more than so many.
+MOST_RANGES = 1024
 _BLOCK = 1 << 20
 #: How a feature begins in the files of common writers; raw quotes cannot stand in a JSON string, so no text matches.
 _FEATURE = re.compile(rb'\{\s*"type"\s*:\s*"Feature"\s*[,}]')
@@ -57,8 +59,9 @@ class FeatureReader(DataSourceReader):
         self.path, self.bytes = options["path"], int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[_Range]:
-        step = self.bytes or 1 << 62
-        return [_Range(path, at, min(at + step, size)) for path, size in _files(self.path) for at in range(0, max(size, 1), step)] or [_Range("", 0, 0)]
+        files = _files(self.path)
+        step = max(self.bytes, min(RANGE_BYTES, -(-sum(size for _, size in files) // MOST_RANGES))) if self.bytes else 1 << 62
+        return [_Range(path, at, min(at + step, size)) for path, size in files for at in range(0, max(size, 1), step)] or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         """The features of a range: from the first recognised start in it to the first one behind it. A feature that is written otherwise belongs to the range of the one before."""
@@ -66,13 +69,14 @@ class FeatureReader(DataSourceReader):
             return
         system, inner = _located(partition.path)
         with system.open_input_file(inner) as f:
-            size, held, at, searched = f.size(), b"", partition.start, 0  # held: the bytes from `at` on
+            size, held, at, place, searched = f.size(), b"", partition.start, 0, 0  # held: the bytes from `at` on, of which `place` are done with
+            block_bytes = min(_BLOCK, max(1 << 16, partition.stop - partition.start))
 
             def more() -> bool:
-                nonlocal held
+                nonlocal held, at, place
                 f.seek(at + len(held))
-                block = f.read(_BLOCK)
-                held += block
+                block = f.read(block_bytes)
+                held, at, place = held[place:] + block, at + place, 0
                 return bool(block)
 
             pattern = _FEATURES if partition.start == 0 else _FEATURE
@@ -82,37 +86,35 @@ class FeatureReader(DataSourceReader):
                     return
             if partition.start and at + first.start() >= partition.stop:
                 return
-            cut = first.end() if partition.start == 0 else first.start()
-            held, at = held[cut:], at + cut
+            place = first.end() if partition.start == 0 else first.start()
             while True:
-                skip = _GAP.match(held).end()
-                while skip == len(held):
+                place = _GAP.match(held, place).end()
+                while place == len(held):
                     if not more():
                         return
-                    skip = _GAP.match(held).end()
-                held, at = held[skip:], at + skip
-                if held[:1] != b"{":
+                    place = _GAP.match(held, place).end()
+                if held[place : place + 1] != b"{":
                     return  # the end of the collection
-                if at >= partition.stop:
-                    while len(held) < 512 and more():
+                if at + place >= partition.stop:
+                    while len(held) - place < 512 and more():
                         pass
-                    if _FEATURE.match(held):
+                    if _FEATURE.match(held, place):
                         return
-                end = self._end(held)
+                end = self._end(held, place)
                 while end is None:
                     if not more():
                         raise ValueError(f"{partition.path}: a feature is cut short")
-                    end = self._end(held)
-                yield (partition.path, at, held[:end].decode())
-                held, at = held[end:], at + end
-                if not held and at >= size:
+                    end = self._end(held, place)
+                yield (partition.path, at + place, held[place:end].decode())
+                place = end
+                if place == len(held) and at + place >= size:
                     return
 
     @staticmethod
-    def _end(held: bytes) -> int | None:
-        """Where the object at the front ends, None if that is not among these bytes."""
+    def _end(held: bytes, place: int) -> int | None:
+        """Where the object at a place ends, None if that is not among these bytes."""
         depth = 0
-        for token in _TOKEN.finditer(held):
+        for token in _TOKEN.finditer(held, place):
             depth += {b"{": 1, b"}": -1}.get(token.group(), 0)
             if depth == 0:
                 return token.end()
